@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +45,33 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that tasks need no install or PYTHONPATH."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(), f"{root.name}.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for p in root.rglob("*.py"):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """query, after ship()."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: what the session has for shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

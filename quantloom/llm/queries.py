@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import common, mixing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": token_files.op1_token_files,
     "op2_weighted_mix": mixing.op2_weighted_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op2_weighted_mix": mixing.ORACLE_OP2,
 }
+
+QUERIES = {name: common.shipped(query) for name, query in QUERIES.items()}
