@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard, mixing, packing, quality, token_files
+from . import common, jaccard, linededup, mixing, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_weighted_mix": mixing.op2_weighted_mix,
     "op4_importance_resampling": quality.op4_importance_resampling,
     "op5_retrieval_packing": packing.op5_retrieval_packing,
+    "op6_winnowed_lines": linededup.op6_winnowed_lines,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
