@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, embeddings, jaccard, linededup, mixing, packing, quality, secrets, token_files
+from . import common, embeddings, jaccard, linededup, media, mixing, packing, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_importance_resampling": quality.op4_importance_resampling,
     "op5_retrieval_packing": packing.op5_retrieval_packing,
     "op6_winnowed_lines": linededup.op6_winnowed_lines,
+    "op7_progressive_jpeg": media.op7_progressive_jpeg,
     "op8_random_secrets": secrets.op8_random_secrets,
     "op9_rotated_codes": embeddings.op9_rotated_codes,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,

@@ -40,22 +40,31 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def rank_table(docs: DataFrame, text: str, tokenizer: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers, the end id last), encoded once and kept in the shared folder."""
+
+    def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, end = tokens.encoder(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(ids(t) if t else b"") + end for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return common.save(d.mapInArrow(encode_texts, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary"), "ids")
+
+
+def rank_table(ids: DataFrame) -> DataFrame:
     """rank, token, uses of every token of all documents, the most used first (ties: smaller id first)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total, n = tokens.encoder(tokenizer).ids, np.zeros(0, np.int64), 0
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            part = np.bincount(np.frombuffer(b"".join([ids(t) for t in batch.column(0).to_pylist() if t]), "<u4"), minlength=end_id + 1)
-            if len(part) < len(total):
-                part, total = total, part
-            total, n = part + np.pad(total, (0, len(part) - len(total))), n + batch.num_rows
-        if n:
-            total[end_id] += n
+            part = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=len(total))
+            part[: len(total)] += total
+            total = part
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "uses"])
 
-    uses = docs.select(F.col(text)).mapInArrow(count, "token long, uses long").groupBy("token").agg(F.sum("uses").alias("uses"))
+    uses = ids.select("ids").mapInArrow(count, "token long, uses long").groupBy("token").agg(F.sum("uses").alias("uses"))
     return uses.select((F.row_number().over(W.orderBy(F.desc("uses"), "token")) - 1).alias("rank"), "token", "uses")
 
 
@@ -64,37 +73,31 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
 
     A row of a shard is a document: doc_id, shard, pos (its place in the shard), n_tokens (with the end id),
     control, data. The rank table has at most one row per vocabulary entry and goes to the driver and the
-    tasks whole. Texts are dealt out by ranges of the key, so that no shard depends on how ids are spread
+    tasks whole. Documents are dealt out by ranges of the key, so that no shard depends on how ids are spread
     and a hot source or long text only fills its own shard. Null and empty texts have the end id only; null
     keys come first; rows of equal key keep an arbitrary but stored order; no rows give empty files; other
     columns are not looked at.
     """
     spark = docs.sparkSession
-    rank_table(docs, text, tokenizer, end_id).write.parquet(f"{path}/ranks")
+    ids = tokenized(docs, key, text, tokenizer, end_id)
+    rank_table(ids).write.parquet(f"{path}/ranks")
     rows = spark.read.parquet(f"{path}/ranks").select("rank", "token").collect()  # bounded by the vocabulary
     rank_of = np.zeros(max([end_id, *(r.token for r in rows)]) + 1, np.uint32)
     rank_of[[r.token for r in rows]] = [r.rank for r in rows]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ids, shard, pos, end = tokens.encoder(tokenizer).ids, TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                v = rank_of[np.frombuffer((ids(t) if t else b"") + end, "<u4")]
-                out.append((len(v), *encode(v)))
-            n = len(out)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shard] * n, pa.int32()), pa.array(range(pos, pos + n), pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())],
-                ["doc_id", "shard", "pos", "n_tokens", "control", "data"],
-            )
-            pos += n
+            values = [rank_of[np.frombuffer(x, "<u4")] for x in batch.column(1).to_pylist()]
+            coded = [encode(v) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
 
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    d = ids.mapInArrow(pack, f"doc_id {kind}, n_tokens long, control binary, data binary")
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    d.mapInArrow(pack, f"doc_id {kind}, shard int, pos long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/shards")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits, the row below
+    d = d.select("doc_id", F.shiftright(place, 33).cast("int").alias("shard"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), "n_tokens", "control", "data")
+    d.write.option("compression", "zstd").parquet(f"{path}/shards")
+    common.drop(ids)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

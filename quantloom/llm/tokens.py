@@ -42,6 +42,16 @@ def _bytes_table() -> dict[int, str]:
     return table
 
 
+class _Words(dict):
+    """Ids of words, asked of `new` where they aren't known yet."""
+
+    def __init__(self, new):
+        self.new = new
+
+    def __missing__(self, word: str) -> bytes:
+        return self.new(word)
+
+
 class Encoder:
     """ids(text): its ids as little-endian unsigned 32-bit integers, in bytes."""
 
@@ -51,7 +61,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path(file))
         self.model, self.lower = self.tokenizer.model, lower
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""} if lower else {}
+        self.words = _Words(self._word)
+        if lower:
+            self.words[""] = b""
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -73,15 +85,17 @@ class Encoder:
         return got
 
     def ids(self, text: str) -> bytes:
-        get, new = self.words.get, self._word
         if self.lower:
             words = text.replace("\n", " ").split(" ")
         elif _INNER.search(text):
             return self.whole(text)
         else:
-            first, *rest = text.split(" ")
-            words = [first] * bool(first) + [" " + w for w in rest]
-        return b"".join([new(w) if (b := get(w)) is None else b for w in words])
+            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else text.split(" ")
+            if "\0" in text:
+                words = [words[0], *[" " + w for w in words[1:]]]
+            if not words[0]:
+                del words[0]
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @functools.cache
