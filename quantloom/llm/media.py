@@ -178,30 +178,22 @@ class Picture(NamedTuple):
     comment: bytes
 
 
-def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], high: int, low: int, alone: bool) -> None:
-    cells = []
-    if alone:
-        c = comps[0]
-        rows, cols = _own(pic, c)
-        r, k = np.divmod(np.arange(rows * cols), cols)
-        cells.append([(r, k)])
-        units = rows * cols
-    else:
-        h0, v0 = pic.sampling[comps[0]]
-        rows, cols = pic.coefficients[comps[0]].shape[0] // v0, pic.coefficients[comps[0]].shape[1] // h0
-        r, k = np.divmod(np.arange(rows * cols), cols)
-        units = rows * cols
-        for c in comps:
-            h, v = pic.sampling[c]
-            cells.append([(r * v + y, k * h + x) for y in range(v) for x in range(h)])
-    each = sum(map(len, cells))
+def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], high: int, low: int) -> None:
+    """The DC coefficients of one component alone, or of several dealt out by MCUs."""
+    cells = []  # views of the coefficients at one place of every unit, in the order of the scan
+    for c in comps:
+        h, v = pic.sampling[c] if len(comps) > 1 else (1, 1)
+        dc = pic.coefficients[c][:, :, 0]
+        if len(comps) == 1:
+            rows, cols = _own(pic, c)
+            dc = dc[:rows, :cols]
+        cells.append([dc[y::v, x::h] for y in range(v) for x in range(h)])
+    shape = cells[0][0].shape
+    units, each = shape[0] * shape[1], sum(map(len, cells))
     if high:
-        got = bits.many(units * each).reshape(units, each).astype(np.int32) << low
-        k = 0
-        for c, own in zip(comps, cells, strict=True):
-            for y, x in own:
-                pic.coefficients[c][y, x, 0] |= got[:, k]
-                k += 1
+        got = (bits.many(units * each).reshape(units, each).T.astype(np.int32) << low).reshape(each, *shape)
+        for cell, bit in zip([x for own in cells for x in own], got, strict=True):
+            cell |= bit
         return
     diff, unit = np.zeros((units, each), np.int32), 0
     while unit < units:
@@ -214,10 +206,10 @@ def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], h
         diff[unit + 1 : unit + 1 + more] = diff[unit]
         unit += 1 + more
     k = 0
-    for c, own in zip(comps, cells, strict=True):
-        value = np.cumsum(diff[:, k : k + len(own)].reshape(-1)).reshape(units, len(own))
-        for j, (y, x) in enumerate(own):
-            pic.coefficients[c][y, x, 0] = value[:, j] << low
+    for own in cells:
+        value = np.cumsum(diff[:, k : k + len(own)].reshape(-1)).reshape(units, len(own)) << low
+        for j, cell in enumerate(own):
+            cell[:] = value[:, j].reshape(shape)
         k += len(own)
 
 
@@ -235,15 +227,14 @@ def _ac_scan(bits: _Bits, coef: np.ndarray, t: Table, first: int, last: int, hig
         since, k, run = bits.at, first, 0
         row = coef[block]
         while k <= last:
+            start = bits.at
             s = bits.symbol(t)
             zeros, size = s >> 4, s & 15
             if not size and zeros < 15:
-                run = (1 << zeros) + bits.take(zeros)
+                run = (1 << zeros) + (bits.take(zeros) if zeros else 0)
                 break
-            value = 0
             if high:
-                if size:
-                    value = (1 if bits.take(1) else -1) << low
+                value = (1 if bits.take(1) else -1) << low if size else 0
                 while k <= last:
                     if row[k]:
                         if bits.take(1):
@@ -259,16 +250,19 @@ def _ac_scan(bits: _Bits, coef: np.ndarray, t: Table, first: int, last: int, hig
                 k += zeros
                 if size:
                     row[k] = bits.signed(size) << low
+                    if not zeros and (more := bits.again(start, last - k)):
+                        row[k + 1 : k + 1 + more] = row[k]
+                        k += more
             k += 1
         if run:
             if high:  # one bit for each coefficient that isn't 0 yet, in this block from k on and in the run's other blocks
                 part = coef[block : block + run, first : last + 1]
-                seen = part != 0
-                seen[0, : k - first] = False
-                add = bits.many(int(seen.sum())).astype(np.int32) << low
-                if seen.all():
-                    part += np.where(part > 0, add.reshape(part.shape), -add.reshape(part.shape))
+                if k == first and part.min() > 0:
+                    part += bits.many(part.size).reshape(part.shape).astype(np.int32) << low
                 else:
+                    seen = part != 0
+                    seen[0, : k - first] = False
+                    add = bits.many(int(seen.sum())).astype(np.int32) << low
                     part[seen] += np.where(part[seen] > 0, add, -add)
             block += run
         else:
@@ -317,12 +311,14 @@ def coefficients(data: bytes) -> Picture:
             bits = _Bits(data[at:end])
             at = end
             if first == 0:
-                _dc_scan(bits, comps, pic, [huff.get(t >> 4) for t in tables], both >> 4, both & 15, n == 1)
+                _dc_scan(bits, comps, pic, [huff.get(t >> 4) for t in tables], both >> 4, both & 15)
             else:
                 coef, (rows, cols) = pic.coefficients[comps[0]], _own(pic, comps[0])
-                own = np.ascontiguousarray(coef[:rows, :cols]).reshape(-1, 64)
+                whole = coef.shape[:2] == (rows, cols)
+                own = coef.reshape(-1, 64) if whole else coef[:rows, :cols].reshape(-1, 64)
                 _ac_scan(bits, own, huff[0x10 | tables[0] & 15], first, last, both >> 4, both & 15)
-                coef[:rows, :cols] = own.reshape(rows, cols, 64)
+                if not whole:
+                    coef[:rows, :cols] = own.reshape(rows, cols, 64)
     return pic._replace(quantisers=[quant[p] for p in picks], comment=comment)
 
 
@@ -344,13 +340,21 @@ def rgb(pic: Picture) -> np.ndarray:
         px = px.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * cols)
         if (h, v) != (most_h, most_v):
             px = px.repeat(most_v // v, 0).repeat(most_h // h, 1)
-        planes.append(px[: pic.height, : pic.width] + np.float32(128))
+        planes.append(px[: pic.height, : pic.width])
+    out = np.empty((pic.height, pic.width, 3), np.uint8)
     if len(planes) == 1:
-        planes *= 3
+        out[:] = _byte(planes[0])[:, :, None]
     else:
-        y, b, r = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
-        planes = [y + np.float32(1.402) * r, y - np.float32(0.344136) * b - np.float32(0.714136) * r, y + np.float32(1.772) * b]
-    return np.rint(np.clip(np.stack(planes, axis=-1), 0, 255)).astype(np.uint8)
+        y, b, r = planes
+        out[:, :, 0] = _byte(y + np.float32(1.402) * r)
+        out[:, :, 1] = _byte(y - np.float32(0.344136) * b - np.float32(0.714136) * r)
+        out[:, :, 2] = _byte(y + np.float32(1.772) * b)
+    return out
+
+
+def _byte(x: np.ndarray) -> np.ndarray:
+    """Samples around 0 -> 0 to 255."""
+    return np.clip(x + np.float32(128.5), np.float32(0), np.float32(255)).astype(np.uint8)
 
 
 def payload_of(pic: Picture) -> bytes:

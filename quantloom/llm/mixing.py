@@ -34,14 +34,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     return t.select("source", "source_size", "source_no", "weight", "target", "budget")
 
 
-def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """row_id, doc_id, source, size, ticket of every document; the texts go no further. ticket: the shuffle, md5 of the id."""
-    d = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), common.words(F.col(text)).alias("size"))
+def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", extra: str | None = None) -> DataFrame:
+    """row_id, doc_id, source, size, ticket and an extra column if asked for of every document; the texts go no further. ticket: the shuffle, md5 of the id."""
+    d = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), common.words(F.col(text)).alias("size"), *([F.col(extra).alias("extra")] if extra else []))
     d = d.withColumns({"row_id": F.monotonically_increasing_id(), "ticket": F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
     return common.save(d, "sized")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, buckets: int = 8192) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, buckets: int = 8192, extra: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sized documents with their source's target, queue entries that the mix takes).
 
     Entries: row_id, doc_id, source, pass_no (0 is a document's first use), size, words (of them taken),
@@ -57,14 +57,14 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     Null and empty texts have size 0 and are never taken. Null sources form a source of their own. Repeated
     rows are documents of their own. An empty table gives empty results. Other columns are not looked at.
     """
-    d = sized(docs, key, source, text)
+    d = sized(docs, key, source, text, extra)
     d = d.withColumn("lane", F.conv(F.substring("ticket", 1, 3), 16, 10).cast("int"))
     lanes = d.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     goal = targets(lanes.groupBy("source").agg(F.sum("lane_size").alias("source_size")), weights, share, max_repeats)
     earlier = W.partitionBy("source").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
     lanes = lanes.withColumn("before", F.coalesce(F.sum("lane_size").over(earlier), F.lit(0)))
     lanes = lanes.alias("l").join(goal.alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).select("l.source", "l.lane", "l.before", "g.source_size", "g.source_no", "g.target", "g.budget")
-    q = d.alias("d").join(lanes.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")) & (F.col("d.lane") == F.col("l.lane"))).select("d.row_id", "d.doc_id", "d.source", "d.size", "d.ticket", "d.lane", "l.before", "l.source_size", "l.source_no", "l.target", "l.budget")
+    q = d.alias("d").join(lanes.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")) & (F.col("d.lane") == F.col("l.lane"))).select(*[f"d.{c}" for c in d.columns], "l.before", "l.source_size", "l.source_no", "l.target", "l.budget")
     in_lane = W.partitionBy("source", "lane").orderBy("ticket", "doc_id", "size", "row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     q = common.save(q.withColumn("upto", F.col("before") + F.sum("size").over(in_lane)).drop("before", "lane"), "queue")
 
@@ -83,6 +83,20 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return q, e.select("row_id", "doc_id", "source", "pass_no", "size", "words", "finish", "mix_offset")
 
 
+def apply(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """docs with each document as often as the mix takes it; an entry that is cut counts if more than half of it is taken.
+
+    Documents are told apart by key, source and text's hash, so rows that repeat share what the mix takes of them.
+    Documents without words are never taken.
+    """
+    d = docs.withColumn("_v", F.xxhash64(text))
+    sizes, entries = mix(d, key, source, text, extra="_v", **options)
+    times = entries.where(F.col("words") * 2 > F.col("size")).groupBy("row_id").agg(F.count("*").alias("times"))
+    times = sizes.join(times, "row_id").groupBy("doc_id", "extra").agg(F.max("times").cast("int").alias("_times")).select(F.col("doc_id").alias("_id"), F.col("extra").alias("_w"), "_times")
+    out = d.join(times, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_w")))
+    return out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     q, entries = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -31,7 +31,7 @@ def features(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndar
 
 def ratios(docs: DataFrame, labels: DataFrame, key: str, text: str, buckets: int, smooth: float = 4.0) -> np.ndarray:
     """log p_target - log p_raw of each bucket in UNITs: target counts from the documents in `labels` (a
-    column of distinct keys), raw counts from all documents. `smooth` counts at even odds are added, so that
+    column of distinct keys, few enough to broadcast), raw counts from all documents. `smooth` counts at even odds are added, so that
     buckets of which the target sample says little stay near 0. Only `buckets` numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +43,7 @@ def ratios(docs: DataFrame, labels: DataFrame, key: str, text: str, buckets: int
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
     labelled = labels.select(F.col(labels.columns[0]).alias("k"), F.lit(True).alias("good"))
-    d = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(labelled, "k", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    d = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(labelled), "k", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     rows = d.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     c = np.zeros((2, buckets))
     for b, r, t in rows:
@@ -66,10 +66,11 @@ def noisy(doc: F.Column, units: F.Column, seed: str) -> F.Column:
     return units / float(UNIT) - F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 16384, slack: float = 8.0, seed: str = "gumbel:") -> tuple[DataFrame, np.ndarray, float | None]:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 16384, slack: float = 8.0, sample: int = 20_000, seed: str = "gumbel:") -> tuple[DataFrame, np.ndarray, float | None]:
     """Every document with doc_id, log_ratio, noisy, rank_no, kept; the ratios; the last kept row's noisy value.
 
-    labels: doc_id, good (boolean), the documents that stand for the target. The k best of log_ratio + Gumbel
+    labels: doc_id, good (boolean), the documents that stand for the target; of more than `sample` good ones,
+    `sample` by hash are used, so that they can go to every task. The k best of log_ratio + Gumbel
     noise are kept, a sample without replacement in proportion to the importance weights; k is the number of
     documents whose weight isn't below exp(-slack), so that no document that looks like the target (or has no
     words, weight 1) hangs on the noise. Ranks come from one range-partitioned sort and a sum of the
@@ -77,7 +78,8 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     the last kept row is kept. Null and empty texts have log ratio 0. Empty tables give empty results;
     without labels all ratios are 0. Other columns are not looked at.
     """
-    good = labels.where("good").select(F.col("doc_id").alias("k")).distinct()
+    pick = F.md5(F.concat(F.lit("sample:"), F.col("k").cast("string")))
+    good = labels.where("good").select(F.col("doc_id").alias("k")).distinct().orderBy(pick, "k").limit(sample)
     ratio = ratios(docs, good, key, text, buckets)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

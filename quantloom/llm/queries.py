@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, embeddings, jaccard, linededup, media, mixing, packing, quality, secrets, token_files
+import corpus_pipeline
+
+from . import common, embeddings, jaccard, linededup, media, mixing, packing, quality, secrets, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_weighted_mix": mixing.op2_weighted_mix,
+    "op3_attention_toxicity": toxicity.op3_attention_toxicity,
     "op4_importance_resampling": quality.op4_importance_resampling,
     "op5_retrieval_packing": packing.op5_retrieval_packing,
     "op6_winnowed_lines": linededup.op6_winnowed_lines,
@@ -18,10 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_random_secrets": secrets.op8_random_secrets,
     "op9_rotated_codes": embeddings.op9_rotated_codes,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op2_weighted_mix": mixing.ORACLE_OP2,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 QUERIES = {name: common.shipped(query) for name, query in QUERIES.items()}
