@@ -1 +1,6 @@
-"""See the package README."""
+"""Registered queries with the SQL that checks them."""
+
+from . import catalog, stateful
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog", "stateful"]
