@@ -14,7 +14,7 @@ from quantloom.operators import timeseries as ts
 
 
 def series(spark, values, name="x", kind="double"):
-    return spark.createDataFrame([("a", dt.date(2024, 1, 1) + dt.timedelta(days=k), v) for k, v in enumerate(values)], f"k string, d date, {name} {kind}")
+    return spark.createDataFrame([("a", dt.date(2024, 1, 1) + dt.timedelta(days=k), v if v is None else float(v)) for k, v in enumerate(values)], f"k string, d date, {name} {kind}")
 
 
 def column(df, name, order="d"):
