@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from . import catalog, stateful
+from . import catalog, screens, stateful
 from .catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "stateful"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "screens", "stateful"]
