@@ -29,10 +29,15 @@ def _signature(s: np.ndarray) -> int:
     return int(hashing.mixed(hashing.mixed(s + hashing.GOLDEN).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
-def _pairs(token: np.ndarray, sig: np.ndarray, n: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (a, b, size a, size b) of the sets that share a token; and which rows stand in groups larger than `small`.
+def least_shared(n):
+    """How many n-grams of their prefixes two linked sets share at least, the smaller one having n."""
+    return n // 20 + 1
 
-    Such a group gives only the pairs with its first member here.
+
+def _pairs(token: np.ndarray, sig: np.ndarray, n: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, size a, size b, shared tokens) of the sets that share a token; and which rows stand in groups larger than `small`.
+
+    Such groups give no pairs here.
     """
     order = np.lexsort((sig, token))
     token, sig, n = token[order], sig[order], n[order]
@@ -43,20 +48,19 @@ def _pairs(token: np.ndarray, sig: np.ndarray, n: np.ndarray, small: int) -> tup
     group = np.repeat(np.arange(len(begin)), size)
     place = np.arange(len(token)) - begin[group]
     left, right = [], []
-    for back in range(1, small):  # all pairs of the small groups, the first member's of the others
+    for back in range(1, small):
         k = np.flatnonzero((place >= back) & (size[group] <= small))
         left.append(k - back)
         right.append(k)
-    k = np.flatnonzero((size[group] > small) & (place > 0))
-    left.append(begin[group[k]])
-    right.append(k)
     a, b = np.concatenate(left), np.concatenate(right)
     fits = _OF * np.minimum(n[a], n[b]) >= _NEED * np.maximum(n[a], n[b])
     a, b = a[fits], b[fits]
     swap = sig[a] > sig[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    _, once = np.unique(np.stack([sig[a], sig[b]]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
-    return sig[a[once]], sig[b[once]], n[a[once]], n[b[once]], order[size[group] > small]
+    order_ab = np.lexsort((sig[b], sig[a]))
+    a, b = a[order_ab], b[order_ab]
+    new = np.flatnonzero(np.concatenate(([True], (sig[a][1:] != sig[a][:-1]) | (sig[b][1:] != sig[b][:-1])))[: len(a)])
+    return sig[a[new]], sig[b[new]], n[a[new]], n[b[new]], np.diff(np.append(new, len(a))), order[size[group] > small]
 
 
 class Join:
@@ -64,18 +68,21 @@ class Join:
 
     Classes of equal sets count as one member throughout (their signature, 64 bits of the whole set). The
     global order of n-grams puts those that are frequent in some task's documents after all others and is by
-    hash otherwise; two sets that link must share one of their first 20 % of n-grams in any such order, so
-    these are joined on and give candidate pairs, as a rule without shared passages. Pairs are then counted
-    exactly: both sets are cut into `fragments` ranges of the order, each range gives its partial overlap,
-    and the partial overlaps are summed per pair.
-
-    A token that more than `small` sets share gives only pairs with its first set at first; those whose
-    members still stand in different components after these links are then compared in full.
+    hash otherwise. Of two sets that link, each one's first n - ceil(0.8 n) + n // 20 + 1 n-grams in any such
+    order share n // 20 + 1 at least (n of the smaller set). So these prefixes are dealt out by n-gram, the
+    partial counts of every pair are summed, and pairs with fewer go, which are nearly all that only share a
+    passage. What stays is counted exactly: both sets are cut into `fragments` ranges of the order, each
+    range gives its partial overlap, and the partial overlaps are summed per pair.
+
+    A token that more than `small` sets share gives no pairs at first and counts as shared by any two of its
+    sets. Such groups are then taken hub by hub: the member with the most tokens of this kind, which is the
+    likeliest original of a family of copies, is compared with all members in other components, then the
+    next one, up to `hubs` times; members that still stand in different components after that are compared in full.
     """
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, small: int = 24, fragments: int = 8):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, small: int = 4, fragments: int = 8, hubs: int = 4):
         self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        self.width, self.small, self.fragments = width, small, fragments
+        self.width, self.small, self.fragments, self.hubs = width, small, fragments, hubs
         self.kind = self.docs.schema["doc_id"].dataType.simpleString()
 
     def members(self) -> DataFrame:
@@ -112,7 +119,7 @@ class Join:
         return np.packbits(bits)
 
     def prefixes(self, frequent: np.ndarray) -> DataFrame:
-        """token, sig, n: the first n - ceil(0.8 n) + 1 n-grams of each set in the global order."""
+        """token, sig, n: the prefix of each set in the global order."""
         width, shift = self.width, np.uint64(64 - FREQUENT_BITS)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +130,7 @@ class Join:
                     n = len(s)
                     if n:
                         late = bits[s >> shift]
-                        first = n - -(-_NEED * n // _OF) + 1
+                        first = n - -(-_NEED * n // _OF) + least_shared(n)
                         tokens.append(np.concatenate([s[~late], s[late]])[:first] if late.any() else s[:first])
                         sigs.append(_signature(s))
                         sizes.append(n)
@@ -134,7 +141,8 @@ class Join:
         return self.docs.select("text").mapInArrow(cut, "token long, sig long, n int")
 
     def candidates(self, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        """Pairs (a, b, na, nb), a < b; and the rows (token, sig, n) of large groups."""
+        """Pairs (a, b, na, nb, shared), a < b, with the prefix tokens they share in small groups; and the rows
+        (token, sig, n, m) of large groups, m being the number of such rows of the set."""
         small = self.small
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +150,29 @@ class Join:
             if t is None or not t.num_rows:
                 return
             token, sig, n = (t.column(k).to_numpy() for k in ("token", "sig", "n"))
-            a, b, na, nb, large = _pairs(token, sig, n, small)
+            a, b, na, nb, shared, large = _pairs(token, sig, n, small)
             m = len(large)
-            cols = [pa.array(np.concatenate([a, sig[large]])), pa.array(np.concatenate([b, np.zeros(m, np.int64)])), pa.array(np.concatenate([na, n[large]]).astype(np.int32)), pa.array(np.concatenate([nb, np.zeros(m, np.int32)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(a), np.int64), token[large]])), pa.array(np.concatenate([np.zeros(len(a), bool), np.ones(m, bool)]))]
-            whole = pa.RecordBatch.from_arrays(cols, ["a", "b", "na", "nb", "token", "large"])
+            cols = [pa.array(np.concatenate([a, sig[large]])), pa.array(np.concatenate([b, np.zeros(m, np.int64)])), pa.array(np.concatenate([na, n[large]]).astype(np.int32)), pa.array(np.concatenate([nb, np.zeros(m, np.int32)]).astype(np.int32)), pa.array(np.concatenate([shared, token[large]])), pa.array(np.concatenate([np.zeros(len(a), bool), np.ones(m, bool)]))]
+            whole = pa.RecordBatch.from_arrays(cols, ["a", "b", "na", "nb", "x", "large"])
             for at in range(0, whole.num_rows, 100_000):
                 yield whole.slice(at, 100_000)
 
-        both = common.save(self.prefixes(frequent).repartition("token").mapInArrow(match, "a long, b long, na int, nb int, token long, large boolean"), "candidates")
-        return both.where("not large").select("a", "b", "na", "nb").distinct(), both.where("large").select("token", F.col("a").alias("sig"), F.col("na").alias("n"))
+        both = common.save(self.prefixes(frequent).repartition("token").mapInArrow(match, "a long, b long, na int, nb int, x long, large boolean"), "candidates")
+        pairs = both.where("not large").groupBy("a", "b", "na", "nb").agg(F.sum("x").alias("shared"))
+        large = both.where("large").select(F.col("x").alias("token"), F.col("a").alias("sig"), F.col("na").alias("n"))
+        many = large.groupBy("sig").agg(F.count("*").alias("m"))
+        return pairs, large.join(many, "sig").select("token", "sig", "n", "m")
+
+    @staticmethod
+    def enough(pairs: DataFrame, large: DataFrame) -> DataFrame:
+        """The pairs that can link by what they share, tokens of large groups counted in their favour."""
+        more = large.groupBy("sig").agg(F.first("m").alias("m"))
+        p = pairs.join(more.select(F.col("sig").alias("a"), F.col("m").alias("ma")), "a", "left").join(more.select(F.col("sig").alias("b"), F.col("m").alias("mb")), "b", "left")
+        held = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+        return p.where(F.col("shared") + held > F.floor(F.least("na", "nb") / 20)).select("a", "b", "na", "nb")
 
     def fragments_of(self, sigs: DataFrame) -> DataFrame:
-        """sig, fragment, tokens of the sets that `sigs` (a column sig) names: sets first go by a table of hashed signatures, then by join."""
+        """sig, fragment, tokens of the sets that `sigs` (a column sig) names, and of a few more whose signatures begin like theirs."""
         width, top, kind = self.width, np.uint64(64 - (self.fragments - 1).bit_length()), "sig long, fragment int, tokens array<long>"
         rows = sigs.select(F.shiftrightunsigned("sig", 64 - FREQUENT_BITS).alias("k")).distinct().toPandas()  # at most 2 ** FREQUENT_BITS numbers
         wanted = np.zeros(1 << FREQUENT_BITS, bool)
@@ -174,7 +193,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["sig", "fragment", "tokens"])
 
         sets = self.docs.select("text").mapInArrow(cut, kind)
-        return sets.join(sigs.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig", "fragment"])
+        return sets.dropDuplicates(["sig", "fragment"])  # copies in different tasks
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of the pairs (a, b, na, nb) those with 100 * intersection >= 80 * union."""
@@ -187,27 +206,57 @@ class Join:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, sig, component_sig of every document (equal sets share a sig; null for empty sets)."""
         members = self.members()
-        pairs, large = self.candidates(self.frequent())
-        pairs = common.save(pairs, "pairs")
+        counted, large = self.candidates(self.frequent())
+        counted, large = common.save(counted, "counted"), common.save(large, "large")
+        pairs = common.save(self.enough(counted, large), "pairs")
         sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct()
         sets = common.save(self.fragments_of(common.save(sigs, "sigs")), "sets")
-        links = common.save(self.links(pairs, sets), "links")
-        found = common.save(common.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "component")
-        rest = self.rest(large, found, pairs)
-        more = common.save(self.links(rest, sets), "links")
-        if not more.isEmpty():
-            found = common.save(common.components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "component")
+        found, done, last = self.grouped(self.links(pairs, sets)), pairs.select("a", "b"), None
+        for turn in range(self.hubs + 1):
+            group = self.open_groups(large, found)
+            if group.isEmpty():
+                break
+            if turn < self.hubs:
+                more, last = self.hub_pairs(group, last)
+            else:
+                more = self.all_pairs(group, counted)
+            more = common.save(more.join(done, ["a", "b"], "left_anti"), "pairs")
+            known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            found, done = self.grouped(self.links(more, sets).unionByName(known)), done.unionByName(more.select("a", "b"))
         return members.join(found.select(F.col("id").alias("sig"), F.col("component").alias("component_sig")), "sig", "left").withColumn("component_sig", F.coalesce("component_sig", "sig"))
 
-    def rest(self, large: DataFrame, found: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of large groups that stand in different components and haven't been compared."""
+    @staticmethod
+    def grouped(links: DataFrame) -> DataFrame:
+        return common.save(common.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "component")
+
+    @staticmethod
+    def open_groups(large: DataFrame, found: DataFrame) -> DataFrame:
+        """The large groups whose members stand in more than one component, with these."""
         g = large.join(found.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         open_ = g.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        g = common.save(g.join(open_, "token", "left_semi"), "open")
-        x = g.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        y = g.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        return common.save(g.join(open_, "token", "left_semi"), "open")
+
+    @staticmethod
+    def hub_pairs(group: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Each group's next hub (most tokens, then largest signature) with its members in other components; and the hubs."""
+        rank = F.struct("m", "sig")
+        g = group
+        if last is not None:
+            g = g.join(last, "token", "left").where(F.col("hub").isNull() | (rank < F.struct("hub.m", "hub.sig")))
+        hubs = common.save(g.groupBy("token").agg(F.max(F.struct("m", "sig", "n", "component")).alias("hub")), "hubs")
+        p = group.join(hubs, "token").where(F.col("component") != F.col("hub.component"))
+        p = p.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b"), F.when(F.col("sig") < F.col("hub.sig"), F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(F.col("sig") < F.col("hub.sig"), F.col("hub.n")).otherwise(F.col("n")).alias("nb"))
+        return p.where(F.lit(_OF) * F.least("na", "nb") >= F.lit(_NEED) * F.greatest("na", "nb")).distinct(), hubs
+
+    @staticmethod
+    def all_pairs(group: DataFrame, counted: DataFrame) -> DataFrame:
+        """Pairs of members in different components that share enough."""
+        x = group.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        y = group.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
         near = (F.lit(_OF) * F.least("na", "nb") >= F.lit(_NEED) * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        return x.join(y, "token").where(near).select("a", "b", "na", "nb").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+        p = x.join(y, "token").where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("more"))
+        p = p.join(counted.select("a", "b", "shared"), ["a", "b"], "left")
+        return p.where(F.col("more") + F.coalesce("shared", F.lit(0)) > F.floor(F.least("na", "nb") / 20)).select("a", "b", "na", "nb")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -225,9 +274,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id (and one row of it), with all columns."""
-    first = near_duplicates(docs, key, text).where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(first, key, "left_semi").dropDuplicates([key])
+    """One document of each component, the one with the smallest id (and one row of it), with all columns.
+
+    Documents with a null id can't be told apart and all stay.
+    """
+    named = docs.where(F.col(key).isNotNull())
+    first = near_duplicates(named, key, text).where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return named.join(first, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
