@@ -30,6 +30,7 @@ def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the driver's, so that Spark drops the shuffle files of finished jobs
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out

@@ -12,48 +12,55 @@ from . import common
 CUT = r"(?<=\n)|(?<=[.!?]\x20)"
 #: Lines in a winnowing window; lines that a fingerprint looks at on either side.
 WINDOW, REACH = 3, 3
-#: Words that a line must have to be a fingerprint whatever its neighbours are, and that a run must have to be deleted.
-LONG, LEAST = 25, 25
+#: Characters that a line must have to be a fingerprint whatever its neighbours are, and that a run must have to be deleted:
+#: some 25 words.
+LONG, LEAST = 150, 150
+#: Rank of what is beyond a document's ends.
+_LAST = (1 << 63) - 1
 
 
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), CUT)
 
 
-def _hash(line: Column) -> Column:
-    """60 bits of the line's md5, without the white space around it."""
-    return F.conv(F.substring(F.md5(F.btrim(line, F.lit(" \t\r\n"))), 1, 15), 16, 10).cast("long")
-
-
 def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, version (hash of the text), h and n: hash and word count of each line. A line without words has hash null."""
-    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), lines(F.col(text)).alias("l"))
-    each = F.transform("l", lambda x: F.struct(F.when(F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")), _hash(x)).alias("h"), F.regexp_count(x, F.lit(common.WORD)).alias("n")))
-    d = d.select("doc_id", "version", each.alias("e"))
-    return common.save(d.select("doc_id", "version", F.col("e.h").alias("h"), F.col("e.n").alias("n")), "lines")
+    """doc_id, version (hash of the text), h and n: hash and length of each line without the white space around
+    it. A line of white space has hash null."""
+    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), F.transform(lines(F.col(text)), lambda x: F.btrim(x, F.lit(" \t\r\n"))).alias("l"))
+    d = d.select("doc_id", "version", F.transform("l", lambda x: F.when(x != "", F.xxhash64(x))).alias("h"), F.transform("l", F.length).alias("n"))
+    return common.save(d, "lines")
 
 
 def fingerprints(d: DataFrame) -> DataFrame:
-    """doc_id, version, pos, code, near_h, near_n: the lines that are the minimum of some window of WINDOW lines, and
-    all lines of LONG words; near_*: the lines from pos - REACH to pos + REACH, null beyond the document."""
-    # Longer lines come first: they are rarer than short ones, whose first place is often elsewhere.
-    r = d.withColumn("r", F.transform(F.arrays_zip("h", "n"), lambda x: F.struct((-F.least(x["n"], F.lit(63))).alias("w"), x["h"].alias("h"))))
-    r = r.select("doc_id", "version", "h", "n", "r", F.posexplode("r").alias("pos", "own"))
-
-    def below(k: int) -> Column:
-        other = F.get("r", F.col("pos") + k)
-        return other.isNull() | (F.col("own") <= other)
-
-    window = F.lit(False)
-    for first in range(-WINDOW + 1, 1):
-        inside = F.lit(True)
-        for k in range(first, first + WINDOW):
-            if k:
-                inside = inside & below(k)
-        window = window | inside
-    r = r.where(F.col("own.h").isNotNull() & (window | (F.col("own.w") <= -LONG)))
-    span = F.sequence(F.col("pos") - REACH, F.col("pos") + REACH)
-    return r.select("doc_id", "version", "pos", F.col("own.h").alias("code"), F.transform(span, lambda k: F.get("h", k)).alias("near_h"), F.transform(span, lambda k: F.get("n", k)).alias("near_n"))
+    """doc_id, version, pos, code: the lines that are the minimum of some window of WINDOW lines, and all LONG ones.
+
+    Windows take the longest line, then the smallest hash: long lines are rarer than short ones, whose first
+    place is often elsewhere. All is computed within a document's arrays, so no line carries its document along.
+    """
+    rank = F.zip_with("h", "n", lambda h, n: F.when(h.isNull(), F.lit(_LAST - 1)).otherwise(-F.least(n, F.lit(2047)).cast("long") * F.lit(1 << 52) + F.shiftrightunsigned(h, 12)))
+    edge = F.array_repeat(F.lit(_LAST), 2)
+    d = d.withColumn("r", F.concat(edge, rank, edge))
+
+    def one(i: Column) -> Column:
+        left2, left, own, right, right2 = (F.get("r", i + k) for k in range(5))
+        window = ((own <= left) & ((own <= left2) | (own <= right))) | ((own <= right) & (own <= right2))
+        code = F.get("h", i)
+        return F.when(code.isNotNull() & (window | (F.get("n", i) >= LONG)), F.struct(i.alias("pos"), code.alias("code")))
+
+    marks = F.filter(F.transform(F.sequence(F.lit(0), F.size("h") - 1), one), lambda x: x.isNotNull())
+    return d.select("doc_id", "version", F.explode(marks).alias("p")).select("doc_id", "version", "p.pos", "p.code")
+
+
+def surrounded(marks: DataFrame, d: DataFrame) -> DataFrame:
+    """marks with near_h and near_n: hashes and lengths of the lines from pos - REACH to pos + REACH, null beyond the document."""
+    per_doc = marks.groupBy("doc_id", "version").agg(F.collect_list(F.struct("pos", "code")).alias("marks"))
+    same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("m.version").eqNullSafe(F.col("d.version"))
+    one = d.dropDuplicates(["doc_id", "version"])
+    x = one.alias("d").join(per_doc.alias("m"), same).select("d.doc_id", "d.version", "d.h", "d.n", "m.marks")
+    edge = F.array_repeat(F.lit(None), REACH)
+    x = x.withColumns({"h": F.concat(edge.cast("array<bigint>"), "h", edge.cast("array<bigint>")), "n": F.concat(edge.cast("array<int>"), "n", edge.cast("array<int>"))})
+    near = F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["code"].alias("code"), F.slice("h", m["pos"] + 1, 2 * REACH + 1).alias("near_h"), F.slice("n", m["pos"] + 1, 2 * REACH + 1).alias("near_n")))
+    return x.select("doc_id", "version", F.explode(near).alias("p")).select("doc_id", "version", "p.pos", "p.code", "p.near_h", "p.near_n")
 
 
 def _reach(step: int) -> Column:
@@ -74,17 +81,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     with the first only, so a line of any number of copies gives one row a copy. Matches are extended by
     up to REACH equal lines both ways; since the next fingerprint of a shared run is no further than that, a
     run is covered as a whole. The covered lines of one document against the same place of another are joined
-    into runs, and runs of LEAST words or more are deleted.
+    into runs, and runs of LEAST characters or more are deleted.
 
-    Guarantee: any run of WINDOW or more lines, or any line of LONG words, that an earlier place has too is seen.
+    Guarantee: any run of WINDOW or more lines, or any line of LONG characters, that an earlier place has too is seen.
     """
-    f = common.save(fingerprints(coded(docs, key, text)), "fingerprints")
+    d = coded(docs, key, text)
+    f = common.save(fingerprints(d), "fingerprints")
+    again = f.groupBy("code").agg(F.count("*").alias("times")).where("times > 1").select("code")
+    f = common.save(surrounded(f.join(again.hint("shuffle_hash"), "code").distinct(), d), "repeated")
     place = F.struct("doc_id", "version", "pos")
-    first = f.groupBy("code").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("code", "first")
-    first = common.save(first, "repeated")
+    first = common.save(f.groupBy("code").agg(F.min(place).alias("first")), "first")
     later = f.join(first, "code").where(place != F.col("first"))
-    anchors = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"), F.col("first.pos").alias("pos"), "code")
-    near = f.alias("f").join(anchors.alias("a"), F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.version") == F.col("a.version")) & (F.col("f.pos") == F.col("a.pos")), "left_semi").select("code", F.col("near_h").alias("first_h")).dropDuplicates(["code"])
+    near = f.join(first, "code").where(place == F.col("first")).select("code", F.col("near_h").alias("first_h"))
     m = later.join(near, "code").select("doc_id", "version", "first", "pos", "near_n", _reach(-1).alias("before"), _reach(1).alias("after"))
     # In a document's own later copy a run may not reach back over its first place.
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version"))
@@ -101,7 +109,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text without its later repeated runs, and the columns lines_in and lines_out.
 
-    Only the first place of a repeated run of lines (here also sentences) of 25 or more words stays; order of
+    Only the first place of a repeated run of lines (here also sentences) of 150 or more characters stays; order of
     places: smaller id, then line. Rows of equal id and text are one document. Null texts stay null, with no
     lines; empty ones have one empty line. Short lines and lines without words never start a deletion. Long
     texts are handled line by line. An empty table gives no rows. Columns named as the operator's own are
@@ -118,6 +126,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def op6_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lines_in, lines_out, words_in, words_out, text_md5 of every document after the deletion."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("words_in", common.words(F.col("text")))
-    return dedup(docs).select("doc_id", F.greatest("lines_in", F.lit(0)).cast("long").alias("lines_in"), F.greatest("lines_out", F.lit(0)).cast("long").alias("lines_out"), "words_in", common.words(F.col("text")).alias("words_out"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    """doc_id, lines_in, lines_out, chars_in, chars_out, text_md5 of every document after the deletion."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("chars_in", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return dedup(docs).select("doc_id", F.greatest("lines_in", F.lit(0)).cast("long").alias("lines_in"), F.greatest("lines_out", F.lit(0)).cast("long").alias("lines_out"), "chars_in", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars_out"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))

@@ -3,15 +3,15 @@ from itertools import combinations
 import numpy as np
 
 from quantloom.llm import embeddings, jaccard, linededup
-from tests_llm_brute import lines_left, sets_of, smallest
+from tests_llm_brute import line_codes, lines_left, sets_of, smallest
 
 
 def test_near_duplicates(docs, rows, none):
     s = sets_of(rows)
     links = [(a, b) for a, b in combinations(s, 2) if s[a] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]) > 0]
     want = smallest(s, links)
-    for small in (24, 2):  # with 2, nearly all groups go the way of large ones
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, small=small).collect()}
+    for small, hubs in ((4, 4), (1, 0), (1, 9)):  # without small groups all go the way of large ones
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, small=small, hubs=hubs).collect()}
         assert got == {i: (len(s[i]), want[i]) for i in s}
     assert len(links) > 15
     assert jaccard.near_duplicates(none).count() == 0
@@ -20,9 +20,9 @@ def test_near_duplicates(docs, rows, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in s if want[i] == i}
 
 
-def test_line_dedup(docs, rows, none):
+def test_line_dedup(spark, docs, rows, none):
     got = linededup.dedup(docs)
-    want = lines_left(rows)
+    want = lines_left(rows, line_codes(spark, rows))
     assert {r.doc_id: r.text for r in got.collect()} == want
     assert sum(1 for i, t, *_ in rows if want[i] != t) > 8
     assert linededup.dedup(none).count() == 0

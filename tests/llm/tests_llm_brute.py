@@ -1,6 +1,5 @@
 """Brute-force versions of the pair and line operators."""
 
-import hashlib
 import re
 from collections import defaultdict
 
@@ -31,17 +30,17 @@ def smallest(ids, links):
     return {i: find(i) for i in ids}
 
 
-def lines_left(rows):
-    """What line dedup leaves, one line and place at a time."""
+def lines_left(rows, code):
+    """What line dedup leaves, one line and place at a time. code: the order of lines of equal length."""
     W = R = 3
     D = {}
     for i, t, *_ in rows:
         parts = re.split(r"(?<=\n)|(?<=[.!?] )", t or "")
-        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in parts]
-        D[i] = (parts, [int(hashlib.md5(x.strip(" \t\r\n").encode()).hexdigest()[:15], 16) if k else None for x, k in zip(parts, n, strict=True)], n)
+        bare = [x.strip(" \t\r\n") for x in parts]
+        D[i] = (parts, [x or None for x in bare], [len(x) for x in bare])
     marks = []
     for i, (parts, h, n) in D.items():
-        rank = [(-min(a, 63), -1 if b is None else b) for a, b in zip(n, h, strict=True)]
+        rank = [(1, 0) if b is None else (-min(a, 2047), code[b]) for a, b in zip(n, h, strict=True)]
         for p in range(len(parts)):
             windows = [all(not 0 <= p + k < len(parts) or rank[p] <= rank[p + k] for k in range(f, f + W)) for f in range(-W + 1, 1)]
             if h[p] is not None and (n[p] >= linededup.LONG or any(windows)):
@@ -68,3 +67,12 @@ def lines_left(rows):
                 run = []
             run.append(p)
     return {i: None if t is None else "".join(x for k, x in enumerate(D[i][0]) if k not in gone[i]) for i, t, *_ in rows}
+
+
+def line_codes(spark, rows):
+    """The order of equally long lines: Spark's hash without its low bits, as a signed number."""
+    from pyspark.sql import functions as F
+
+    bare = sorted({x.strip(" \t\r\n") for _, t, *_ in rows for x in re.split(r"(?<=\n)|(?<=[.!?] )", t or "")})
+    d = spark.createDataFrame([(x,) for x in bare], "x string").withColumn("h", F.shiftrightunsigned(F.xxhash64("x"), 12))
+    return {r.x: r.h for r in d.collect()}
