@@ -20,8 +20,8 @@ CACHE = 600_000
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
 _LOWER = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _SPACED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
-#: A space with white space on both sides: there a cut could part what belongs together.
-_INNER = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
+#: Three white-space characters, or two at the end: there a cut could part what belongs together.
+_INNER = re.compile(r"\s\s(?:\s|$)")
 
 
 def path(name: str) -> str:
@@ -63,25 +63,27 @@ class Encoder:
         self.model, self.lower = self.tokenizer.model, lower
         self.pieces: dict[str, bytes] = {}
         self.words = _Words(self._word)
-        if lower:
-            self.words[""] = b""
+        self.words[""] = b""
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if (got := self.pieces.get(piece)) is None:
-            plain = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(_bytes_table())
-            got = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-            if len(self.pieces) < CACHE:
-                self.pieces[piece] = got
-        return got
+        plain = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(_bytes_table())
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if self.lower:
-            got = b"".join(map(self._piece, _LOWER.findall(word.lower()))) if _PLAIN.fullmatch(word) else self.whole(word)
+        if _PLAIN.fullmatch(word, 1 if word[0] == " " and not self.lower else 0):
+            known, parts = self.pieces, _LOWER.findall(word.lower()) if self.lower else _SPACED.findall(word)
+            got = b""
+            for p in parts:
+                if (ids := known.get(p)) is None:
+                    ids = self._piece(p)
+                    if len(known) < CACHE:
+                        known[p] = ids
+                got += ids
         else:
-            got = b"".join(map(self._piece, _SPACED.findall(word))) if _PLAIN.fullmatch(word, 1 if word[:1] == " " else 0) else self.whole(word)
+            got = self.whole(word)
         if len(self.words) < CACHE:
             self.words[word] = got
         return got
@@ -89,14 +91,10 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if self.lower:
             words = text.replace("\n", " ").split(" ")
-        elif _INNER.search(text):
+        elif "\0" in text or "<|" in text or _INNER.search(text):
             return self.whole(text)
         else:
-            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else text.split(" ")
-            if "\0" in text:
-                words = [words[0], *[" " + w for w in words[1:]]]
-            if not words[0]:
-                del words[0]
+            words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         return b"".join(map(self.words.__getitem__, words))
 
 
