@@ -27,23 +27,26 @@ _MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
 
 
 class Table(NamedTuple):
-    """A Huffman table: symbols by (length, code), and as stored."""
+    """A Huffman table: symbols by (length, code), as stored, and (length, symbol) by the next 16 bits."""
 
     symbols: dict[tuple[int, int], int]
     stored: bytes
+    ahead: list[tuple[int, int] | None]
 
 
 @functools.cache
 def table(lengths: tuple[int, ...], symbols: bytes) -> Table:
     """Canonical codes from the number of codes of each length 1..16 and the symbols in order."""
     out, code, k = {}, 0, 0
+    ahead: list = [None] * 65536
     for length, n in enumerate(lengths, 1):
         for _ in range(n):
             out[length, code] = symbols[k]
+            ahead[code << 16 - length : code + 1 << 16 - length] = [(length, symbols[k])] * (1 << 16 - length)
             code += 1
             k += 1
         code <<= 1
-    return Table(out, bytes(lengths) + symbols)
+    return Table(out, bytes(lengths) + symbols, ahead)
 
 
 DC = table((1, 1, *[0] * 14), b"\x00\x01")  # 0: no change; 10: by one, and its sign
@@ -131,27 +134,29 @@ class _Bits:
     """The bits of a scan, read from `at` on."""
 
     def __init__(self, data: bytes):
-        self.bits, self.at = np.unpackbits(np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8)), 0
+        self.data, self.at = data.replace(b"\xff\x00", b"\xff") + b"\0\0\0", 0
+
+    @functools.cached_property
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(self.data, np.uint8))
 
     def take(self, n: int) -> int:
-        v = 0
-        for b in self.bits[self.at : self.at + n].tolist():
-            v = v << 1 | b
+        first = self.at >> 3
         self.at += n
-        return v
+        last = (self.at + 7) >> 3
+        return int.from_bytes(self.data[first:last]) >> (8 * last - self.at) & ((1 << n) - 1)
 
     def many(self, n: int) -> np.ndarray:
         self.at += n
         return self.bits[self.at - n : self.at]
 
     def symbol(self, t: Table) -> int:
-        code = 0
-        for length, b in enumerate(self.bits[self.at : self.at + 16].tolist(), 1):
-            code = code << 1 | b
-            if (s := t.symbols.get((length, code))) is not None:
-                self.at += length
-                return s
-        raise ValueError("no such Huffman code")
+        first = self.at >> 3
+        got = t.ahead[int.from_bytes(self.data[first : first + 3]) >> (8 - (self.at & 7)) & 0xFFFF]
+        if got is None:
+            raise ValueError("no such Huffman code")
+        self.at += got[0]
+        return got[1]
 
     def signed(self, size: int) -> int:
         v = self.take(size)
@@ -162,7 +167,7 @@ class _Bits:
         n = self.at - since
         if most <= 0 or not n:
             return 0
-        rest = self.bits[self.at : self.at + most * n]
+        rest = self.bits[self.at : min(self.at + most * n, len(self.bits) - 24)]
         same = rest == self.bits[since : since + len(rest)]
         k = (len(rest) if same.all() else int(same.argmin())) // n
         self.at += k * n
@@ -176,6 +181,7 @@ class Picture(NamedTuple):
     coefficients: list[np.ndarray]  # of each component: block rows, block columns, 64 in zigzag order
     quantisers: list[np.ndarray]
     comment: bytes
+    own: list[tuple[int, int]]  # of each component: block rows and columns without what only fills up MCUs
 
 
 def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], high: int, low: int) -> None:
@@ -185,7 +191,7 @@ def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], h
         h, v = pic.sampling[c] if len(comps) > 1 else (1, 1)
         dc = pic.coefficients[c][:, :, 0]
         if len(comps) == 1:
-            rows, cols = _own(pic, c)
+            rows, cols = pic.own[c]
             dc = dc[:rows, :cols]
         cells.append([dc[y::v, x::h] for y in range(v) for x in range(h)])
     shape = cells[0][0].shape
@@ -213,13 +219,6 @@ def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], h
         k += len(own)
 
 
-def _own(pic: Picture, c: int) -> tuple[int, int]:
-    """Block rows and columns of a component alone, without what only fills up MCUs."""
-    h, v = pic.sampling[c]
-    most_h, most_v = max(s[0] for s in pic.sampling), max(s[1] for s in pic.sampling)
-    return -(-(-(-pic.height * v // most_v)) // 8), -(-(-(-pic.width * h // most_h)) // 8)
-
-
 def _ac_scan(bits: _Bits, coef: np.ndarray, t: Table, first: int, last: int, high: int, low: int) -> None:
     """coef: blocks x 64 of one component, changed in place."""
     block, n = 0, len(coef)
@@ -301,7 +300,7 @@ def coefficients(data: bytes) -> Picture:
             sampling = [(e[1] >> 4, e[1] & 15) for e in each]
             h, v = max(s[0] for s in sampling), max(s[1] for s in sampling)
             across, down = -(-width // (8 * h)), -(-height // (8 * v))
-            pic = Picture(height, width, sampling, [np.zeros((down * sv, across * sh, 64), np.int32) for sh, sv in sampling], [], b"")
+            pic = Picture(height, width, sampling, [np.zeros((down * sv, across * sh, 64), np.int32) for sh, sv in sampling], [], b"", [(-(-(-(-height * sv // v)) // 8), -(-(-(-width * sh // h)) // 8)) for sh, sv in sampling])
         elif marker == 0xDA:
             n = body[0]
             comps = [ids.index(body[1 + 2 * k]) for k in range(n)]
@@ -313,7 +312,7 @@ def coefficients(data: bytes) -> Picture:
             if first == 0:
                 _dc_scan(bits, comps, pic, [huff.get(t >> 4) for t in tables], both >> 4, both & 15)
             else:
-                coef, (rows, cols) = pic.coefficients[comps[0]], _own(pic, comps[0])
+                coef, (rows, cols) = pic.coefficients[comps[0]], pic.own[comps[0]]
                 whole = coef.shape[:2] == (rows, cols)
                 own = coef.reshape(-1, 64) if whole else coef[:rows, :cols].reshape(-1, 64)
                 _ac_scan(bits, own, huff[0x10 | tables[0] & 15], first, last, both >> 4, both & 15)
@@ -383,25 +382,27 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return common.save(d.mapInArrow(write, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary"), "media")
 
 
-def load(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media -> the same with payload, height, width and rgb (row by row, 3 bytes a pixel)."""
+def load(media: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, n_bytes, media and other columns to keep -> doc_id, n_bytes, those, payload, height, width and rgb (row by row, 3 bytes a pixel)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 b = batch.slice(at, 200)
-                pics = [coefficients(m) for m in b.column(2).to_pylist()]
+                pics = [coefficients(m) for m in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array([payload_of(p) for p in pics], pa.binary()), pa.array([p.height for p in pics], pa.int32()), pa.array([p.width for p in pics], pa.int32()), pa.array([rgb(p).tobytes() for p in pics], pa.binary())],
-                    ["doc_id", "n_bytes", "media", "payload", "height", "width", "rgb"],
+                    [*b.columns[1:], pa.array([payload_of(p) for p in pics], pa.binary()), pa.array([p.height for p in pics], pa.int32()), pa.array([p.width for p in pics], pa.int32()), pa.array([rgb(p).tobytes() for p in pics], pa.binary())],
+                    [*b.schema.names[1:], "payload", "height", "width", "rgb"],
                 )
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {kind}, n_bytes long, media binary, payload binary, height int, width int, rgb binary")
+    m = media.select("media", "doc_id", "n_bytes", *keep)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema.fields[1:])
+    return m.mapInArrow(read, f"{kinds}, payload binary, height int, width int, rgb binary")
 
 
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document."""
-    m = load(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    m = store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    m = load(m.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}), "media_bytes", "media_sha256")
     feature = F.concat_ws(":", F.col("height").cast("string"), F.col("width").cast("string"), F.crc32("rgb").cast("string"))
-    return m.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    return m.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))

@@ -11,13 +11,13 @@ from quantloom.llm import media, secrets, toxicity
 
 
 def test_media_round_trip(docs, rows, none):
-    m = media.load(media.store(docs.select("doc_id", "text", "size"))).collect()
+    m = media.load(media.store(docs.select("doc_id", "text", "size")).withColumn("file", F.col("media")), "file").collect()
     seen = {}
     for r in m:
         raw = (dict((x[0], x[1]) for x in rows)[r.doc_id] or "").encode()
         assert r.n_bytes == len(raw) and bytes(r.payload) == raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert len(r.rgb) == 3 * r.height * r.width
-        assert seen.setdefault(raw, (bytes(r.media), bytes(r.rgb))) == (bytes(r.media), bytes(r.rgb))
+        assert seen.setdefault(raw, (bytes(r.file), bytes(r.rgb))) == (bytes(r.file), bytes(r.rgb))
     assert len(m) == len(rows) and media.load(media.store(none)).count() == 0
 
 
