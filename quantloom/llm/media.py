@@ -184,6 +184,44 @@ class Picture(NamedTuple):
     own: list[tuple[int, int]]  # of each component: block rows and columns without what only fills up MCUs
 
 
+def refined(planes: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Bits of equal places in several refining scans, (bit number, bits), put together."""
+    if [low for low, _ in planes] == list(range(7, -1, -1)):
+        return np.packbits(np.stack([b for _, b in planes]), axis=0)[0].astype(np.int32)
+    out = np.zeros(len(planes[0][1]), np.int32)
+    for low, b in planes:
+        out |= b.astype(np.int32) << low
+    return out
+
+
+class Later:
+    """Refining scans that only append a bit to coefficients that aren't 0: kept as they are and added together.
+
+    A scan qualifies if all coefficients of its band are positive and one run of ends of band covers all blocks.
+    """
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
+
+    def take(self, bits: _Bits, coef: np.ndarray, t: Table, which: int, first: int, last: int, low: int) -> bool:
+        key = (which, first, last)
+        if key not in self.held and coef[:, first : last + 1].min(initial=1) <= 0:
+            return False
+        begun = bits.at
+        s = bits.symbol(t)
+        zeros = s >> 4
+        if s & 15 or zeros == 15 or (1 << zeros) + (bits.take(zeros) if zeros else 0) < len(coef):
+            bits.at = begun
+            return False
+        self.held.setdefault(key, []).append((low, bits.many(len(coef) * (last - first + 1))))
+        return True
+
+    def put(self, which: int, coef: np.ndarray) -> None:
+        for key in [k for k in self.held if k[0] == which]:
+            part = coef[:, key[1] : key[2] + 1]
+            part += refined(self.held.pop(key)).reshape(part.shape)
+
+
 def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], high: int, low: int) -> None:
     """The DC coefficients of one component alone, or of several dealt out by MCUs."""
     cells = []  # views of the coefficients at one place of every unit, in the order of the scan
@@ -197,7 +235,7 @@ def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], h
     shape = cells[0][0].shape
     units, each = shape[0] * shape[1], sum(map(len, cells))
     if high:
-        got = (bits.many(units * each).reshape(units, each).T.astype(np.int32) << low).reshape(each, *shape)
+        got = refined([(low, bits.many(units * each))]).reshape(units, each).T.reshape(each, *shape)
         for cell, bit in zip([x for own in cells for x in own], got, strict=True):
             cell |= bit
         return
@@ -219,6 +257,23 @@ def _dc_scan(bits: _Bits, comps: list[int], pic: Picture, tables: list[Table], h
         k += len(own)
 
 
+def _dc_put(held: list[tuple[int, _Bits]], pic: Picture) -> None:
+    """Adds refining DC scans over all components at once."""
+    if not held:
+        return
+    h0, v0 = pic.sampling[0]
+    rows, cols = pic.coefficients[0].shape[0] // v0, pic.coefficients[0].shape[1] // h0
+    each = sum(h * v for h, v in pic.sampling)
+    got = refined([(low, bits.many(rows * cols * each)) for low, bits in held]).reshape(rows, cols, each)
+    held.clear()
+    k = 0
+    for coef, (h, v) in zip(pic.coefficients, pic.sampling, strict=True):
+        for y in range(v):
+            for x in range(h):
+                coef[y::v, x::h, 0] |= got[:, :, k]
+                k += 1
+
+
 def _ac_scan(bits: _Bits, coef: np.ndarray, t: Table, first: int, last: int, high: int, low: int) -> None:
     """coef: blocks x 64 of one component, changed in place."""
     block, n = 0, len(coef)
@@ -277,6 +332,7 @@ def coefficients(data: bytes) -> Picture:
     at, quant, huff, pic, comment = 2, {}, {}, None, b""
     ids: list[int] = []
     picks: list[int] = []
+    later, dc_later = Later(), []  # dc_later: refining DC scans of all components, bit number and bits
     while data[at + 1] != 0xD9:
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
@@ -309,15 +365,28 @@ def coefficients(data: bytes) -> Picture:
             end = _MARKER.search(data, at).start()
             bits = _Bits(data[at:end])
             at = end
+            high, low = both >> 4, both & 15
             if first == 0:
-                _dc_scan(bits, comps, pic, [huff.get(t >> 4) for t in tables], both >> 4, both & 15)
+                if high and n == len(ids) > 1:
+                    dc_later.append((low, bits))
+                else:
+                    _dc_put(dc_later, pic)
+                    _dc_scan(bits, comps, pic, [huff.get(t >> 4) for t in tables], high, low)
             else:
-                coef, (rows, cols) = pic.coefficients[comps[0]], pic.own[comps[0]]
+                which = comps[0]
+                coef, (rows, cols), t = pic.coefficients[which], pic.own[which], huff[0x10 | tables[0] & 15]
                 whole = coef.shape[:2] == (rows, cols)
                 own = coef.reshape(-1, 64) if whole else coef[:rows, :cols].reshape(-1, 64)
-                _ac_scan(bits, own, huff[0x10 | tables[0] & 15], first, last, both >> 4, both & 15)
+                if high and whole and later.take(bits, own, t, which, first, last, low):
+                    continue
+                later.put(which, own)
+                _ac_scan(bits, own, t, first, last, high, low)
                 if not whole:
                     coef[:rows, :cols] = own.reshape(rows, cols, 64)
+    if pic is not None:
+        _dc_put(dc_later, pic)
+        for which, coef in enumerate(pic.coefficients):
+            later.put(which, coef.reshape(-1, 64))
     return pic._replace(quantisers=[quant[p] for p in picks], comment=comment)
 
 
