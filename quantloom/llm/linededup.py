@@ -24,15 +24,15 @@ def lines(text: Column) -> Column:
 
 
 def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, version (hash of the text), h and n: hash and length of each line without the white space around
-    it. A line of white space has hash null."""
+    """row, doc_id, version (hash of the text), h and n: hash and length of each line without the white space
+    around it. A line of white space has hash null."""
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), F.transform(lines(F.col(text)), lambda x: F.btrim(x, F.lit(" \t\r\n"))).alias("l"))
     d = d.select("doc_id", "version", F.transform("l", lambda x: F.when(x != "", F.xxhash64(x))).alias("h"), F.transform("l", F.length).alias("n"))
-    return common.save(d, "lines")
+    return common.save(d.withColumn("row", F.monotonically_increasing_id()), "lines")
 
 
 def fingerprints(d: DataFrame) -> DataFrame:
-    """doc_id, version, pos, code: the lines that are the minimum of some window of WINDOW lines, and all LONG ones.
+    """row, pos, code: the lines that are the minimum of some window of WINDOW lines, and all LONG ones.
 
     Windows take the longest line, then the smallest hash: long lines are rarer than short ones, whose first
     place is often elsewhere. All is computed within a document's arrays, so no line carries its document along.
@@ -48,15 +48,14 @@ def fingerprints(d: DataFrame) -> DataFrame:
         return F.when(code.isNotNull() & (window | (F.get("n", i) >= LONG)), F.struct(i.alias("pos"), code.alias("code")))
 
     marks = F.filter(F.transform(F.sequence(F.lit(0), F.size("h") - 1), one), lambda x: x.isNotNull())
-    return d.select("doc_id", "version", F.explode(marks).alias("p")).select("doc_id", "version", "p.pos", "p.code")
+    return d.select("row", F.explode(marks).alias("p")).select("row", "p.pos", "p.code")
 
 
 def surrounded(marks: DataFrame, d: DataFrame) -> DataFrame:
-    """marks with near_h and near_n: hashes and lengths of the lines from pos - REACH to pos + REACH, null beyond the document."""
-    per_doc = marks.groupBy("doc_id", "version").agg(F.collect_list(F.struct("pos", "code")).alias("marks"))
-    same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("m.version").eqNullSafe(F.col("d.version"))
-    one = d.dropDuplicates(["doc_id", "version"])
-    x = one.alias("d").join(per_doc.alias("m"), same).select("d.doc_id", "d.version", "d.h", "d.n", "m.marks")
+    """doc_id, version, pos, code of the marks with near_h and near_n: hashes and lengths of the lines from pos - REACH
+    to pos + REACH, null beyond the document."""
+    per_doc = marks.groupBy("row").agg(F.collect_list(F.struct("pos", "code")).alias("marks"))
+    x = d.join(per_doc, "row")
     edge = F.array_repeat(F.lit(None), REACH)
     x = x.withColumns({"h": F.concat(edge.cast("array<bigint>"), "h", edge.cast("array<bigint>")), "n": F.concat(edge.cast("array<int>"), "n", edge.cast("array<int>"))})
     near = F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["code"].alias("code"), F.slice("h", m["pos"] + 1, 2 * REACH + 1).alias("near_h"), F.slice("n", m["pos"] + 1, 2 * REACH + 1).alias("near_n")))
@@ -80,30 +79,38 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     A fingerprint's first place (smallest doc_id, then version and position) stays; each later place is joined
     with the first only, so a line of any number of copies gives one row a copy. Matches are extended by
     up to REACH equal lines both ways; since the next fingerprint of a shared run is no further than that, a
-    run is covered as a whole. The covered lines of one document against the same place of another are joined
-    into runs, and runs of LEAST characters or more are deleted.
+    run is covered as a whole. Stretches of one document against the same place of another are joined into
+    runs, and runs of LEAST characters or more are deleted.
 
     Guarantee: any run of WINDOW or more lines, or any line of LONG characters, that an earlier place has too is seen.
     """
     d = coded(docs, key, text)
     f = common.save(fingerprints(d), "fingerprints")
     again = f.groupBy("code").agg(F.count("*").alias("times")).where("times > 1").select("code")
-    f = common.save(surrounded(f.join(again.hint("shuffle_hash"), "code").distinct(), d), "repeated")
-    place = F.struct("doc_id", "version", "pos")
-    first = common.save(f.groupBy("code").agg(F.min(place).alias("first")), "first")
-    later = f.join(first, "code").where(place != F.col("first"))
-    near = f.join(first, "code").where(place == F.col("first")).select("code", F.col("near_h").alias("first_h"))
-    m = later.join(near, "code").select("doc_id", "version", "first", "pos", "near_n", _reach(-1).alias("before"), _reach(1).alias("after"))
+    near = common.save(surrounded(f.join(again.hint("shuffle_hash"), "code"), d), "repeated")
+    common.drop(f)
+    common.drop(d)
+    first = near.groupBy("code").agg(F.min(F.struct("doc_id", "version", "pos", "near_h")).alias("first"))
+    same_doc = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version"))
+    m = near.join(first, "code").where(~(same_doc & (F.col("first.pos") == F.col("pos"))))
+    m = m.withColumns({"first_h": F.col("first.near_h"), "own": same_doc, "shift": F.col("pos") - F.col("first.pos")})
+    m = m.select("doc_id", "version", F.col("first.doc_id").alias("d1"), F.col("first.version").alias("v1"), "shift", "pos", "own", "near_n", _reach(-1).alias("before"), _reach(1).alias("after"))
     # In a document's own later copy a run may not reach back over its first place.
-    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version"))
-    gap = F.when(own, F.col("pos") - F.col("first.pos") - 1)
-    m = m.withColumns({"before": F.least("before", F.coalesce(gap, "before")), "shift": F.col("pos") - F.col("first.pos")})
-    c = m.select("doc_id", "version", F.col("first.doc_id").alias("d1"), F.col("first.version").alias("v1"), "shift", "pos", "near_n", F.explode(F.sequence(-F.col("before"), F.col("after"))).alias("k"))
-    c = c.select("doc_id", "version", "d1", "v1", "shift", (F.col("pos") + F.col("k")).alias("at"), F.get("near_n", F.col("k") + REACH).alias("n")).distinct()
+    before = F.when(F.col("own"), F.least(F.col("before"), F.col("shift") - 1)).otherwise(F.col("before"))
+    m = m.select("doc_id", "version", "d1", "v1", "shift", "pos", "near_n", (F.col("pos") - before).alias("from"), (F.col("pos") + F.col("after")).alias("to"))
+    # The stretches of one document against the same shift of another are joined where they touch; each adds the
+    # characters of the lines that it covers first.
     diagonal = ["doc_id", "version", "d1", "v1", "shift"]
-    c = c.withColumn("island", F.col("at") - F.row_number().over(W.partitionBy(*diagonal).orderBy("at")))
-    runs = c.groupBy(*diagonal, "island").agg(F.min("at").alias("from"), F.max("at").alias("to"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    return runs.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs"))
+    w = W.partitionBy(*diagonal).orderBy("pos")
+    m = m.withColumn("seen", F.max("to").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    m = m.withColumn("fresh", F.greatest("from", F.coalesce(F.col("seen") + 1, F.col("from"))))
+    added = F.aggregate(F.slice("near_n", F.col("fresh") - F.col("pos") + REACH + 1, F.greatest(F.col("to") - F.col("fresh") + 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
+    m = m.withColumns({"added": added, "new": F.coalesce((F.col("from") > F.col("seen") + 1).cast("int"), F.lit(1))})
+    m = m.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = m.groupBy(*diagonal, "island").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.sum("added").alias("n")).where(F.col("n") >= LEAST)
+    out = common.save(runs.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")), "runs")
+    common.drop(near)
+    return out
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,7 +122,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     texts are handled line by line. An empty table gives no rows. Columns named as the operator's own are
     replaced.
     """
-    r = common.save(repeats(docs, key, text), "runs").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("runs").alias("_runs"))
+    r = repeats(docs, key, text).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("runs").alias("_runs"))
     d = docs.withColumn("_v", F.xxhash64(text))
     d = d.join(r, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
     d = d.withColumn("_lines", F.when(F.col(text).isNotNull(), lines(F.col(text))))
