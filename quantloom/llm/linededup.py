@@ -10,10 +10,11 @@ from . import common
 
 #: Where a text is cut into lines: after each line break and, inside long lines, after each sentence.
 CUT = r"(?<=\n)|(?<=[.!?]\x20)"
-#: Lines in a winnowing window; lines that a fingerprint looks at on either side.
-WINDOW, REACH = 3, 3
-#: Characters that a line must have to be a fingerprint whatever its neighbours are, and that a run must have to be deleted:
-#: some 25 words.
+#: Units in a winnowing window (a unit is a pair of neighbouring lines, or one LONG line); lines that a fingerprint
+#: looks at on either side.
+WINDOW, REACH = 2, 3
+#: Characters that a unit must have to be a fingerprint whatever its neighbours are (a line that has them is a unit
+#: by itself), and that a run must have to be deleted: some 25 words.
 LONG, LEAST = 150, 150
 #: Rank of what is beyond a document's ends.
 _LAST = (1 << 63) - 1
@@ -32,22 +33,28 @@ def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fingerprints(d: DataFrame) -> DataFrame:
-    """row, pos, code: the lines that are the minimum of some window of WINDOW lines, and all LONG ones.
+    """row, pos, code: the units that are the minimum of some window of WINDOW units, and all LONG ones.
 
-    Windows take the longest line, then the smallest hash: long lines are rarer than short ones, whose first
-    place is often elsewhere. All is computed within a document's arrays, so no line carries its document along.
+    Windows take the longest unit, then the smallest hash. Pairs of lines rather than lines are hashed, as single
+    short lines come again in more and more documents the more there are, without any run around them. All is
+    computed within a document's arrays, so no line carries its document along.
     """
-    rank = F.zip_with("h", "n", lambda h, n: F.when(h.isNull(), F.lit(_LAST - 1)).otherwise(-F.least(n, F.lit(2047)).cast("long") * F.lit(1 << 52) + F.shiftrightunsigned(h, 12)))
-    edge = F.array_repeat(F.lit(_LAST), 2)
-    d = d.withColumn("r", F.concat(edge, rank, edge))
 
-    def one(i: Column) -> Column:
-        left2, left, own, right, right2 = (F.get("r", i + k) for k in range(5))
-        window = ((own <= left) & ((own <= left2) | (own <= right))) | ((own <= right) & (own <= right2))
-        code = F.get("h", i)
-        return F.when(code.isNotNull() & (window | (F.get("n", i) >= LONG)), F.struct(i.alias("pos"), code.alias("code")))
+    def unit(h: Column, i: Column) -> Column:
+        n, next_h = F.get("n", i), F.get("h", i + 1)
+        alone = F.struct(h.alias("code"), n.alias("n"))
+        pair = F.struct(F.xxhash64(h, next_h).alias("code"), (n + F.get("n", i + 1)).alias("n"))
+        return F.when(n >= LONG, alone).when(h.isNotNull() & next_h.isNotNull(), pair)
 
-    marks = F.filter(F.transform(F.sequence(F.lit(0), F.size("h") - 1), one), lambda x: x.isNotNull())
+    d = d.select("row", F.transform("h", unit).alias("u"))
+    rank = F.transform("u", lambda x: F.when(x.isNull(), F.lit(_LAST - 1)).otherwise(-F.least(x["n"], F.lit(2047)).cast("long") * F.lit(1 << 52) + F.shiftrightunsigned(x["code"], 12)))
+    d = d.withColumn("r", F.concat(F.array(F.lit(_LAST)), rank, F.array(F.lit(_LAST))))
+
+    def one(u: Column, i: Column) -> Column:
+        left, own, right = (F.get("r", i + k) for k in range(3))
+        return F.when(u.isNotNull() & ((own <= left) | (own <= right) | (u["n"] >= LONG)), F.struct(i.alias("pos"), u["code"].alias("code")))
+
+    marks = F.filter(F.transform("u", one), lambda x: x.isNotNull())
     return d.select("row", F.explode(marks).alias("p")).select("row", "p.pos", "p.code")
 
 
@@ -82,7 +89,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     run is covered as a whole. Stretches of one document against the same place of another are joined into
     runs, and runs of LEAST characters or more are deleted.
 
-    Guarantee: any run of WINDOW or more lines, or any line of LONG characters, that an earlier place has too is seen.
+    Guarantee: a run that an earlier place has too is seen if it has three or more lines or LONG characters in one or
+    two, which is any run that is long enough to be deleted.
     """
     d = coded(docs, key, text)
     f = common.save(fingerprints(d), "fingerprints")

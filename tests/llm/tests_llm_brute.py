@@ -31,27 +31,29 @@ def smallest(ids, links):
 
 
 def lines_left(rows, code):
-    """What line dedup leaves, one line and place at a time. code: the order of lines of equal length."""
-    W = R = 3
+    """What line dedup leaves, one line and place at a time. code: the order of units of equal length."""
+    W, R = 2, 3
     D = {}
     for i, t, *_ in rows:
         parts = re.split(r"(?<=\n)|(?<=[.!?] )", t or "")
         bare = [x.strip(" \t\r\n") for x in parts]
         D[i] = (parts, [x or None for x in bare], [len(x) for x in bare])
     marks = []
+    units = {}
     for i, (parts, h, n) in D.items():
-        rank = [(1, 0) if b is None else (-min(a, 2047), code[b]) for a, b in zip(n, h, strict=True)]
+        u = units[i] = [(n[p], (h[p],)) if n[p] >= linededup.LONG else (n[p] + n[p + 1], (h[p], h[p + 1])) if all(h[p : p + 2]) and p + 1 < len(h) else None for p in range(len(parts))]
+        rank = [(1, 0) if x is None else (-min(x[0], 2047), code[x[1]]) for x in u]
         for p in range(len(parts)):
             windows = [all(not 0 <= p + k < len(parts) or rank[p] <= rank[p + k] for k in range(f, f + W)) for f in range(-W + 1, 1)]
-            if h[p] is not None and (n[p] >= linededup.LONG or any(windows)):
+            if u[p] and (u[p][0] >= linededup.LONG or any(windows)):
                 marks.append((i, p))
     first = {}
     for i, p in marks:
-        first.setdefault(D[i][1][p], (i, p))
+        first.setdefault(units[i][p][1], (i, p))
     at = lambda h, p: h[p] if 0 <= p < len(h) else None
     covered = defaultdict(set)
     for i, p in marks:
-        a, q = first[D[i][1][p]]
+        a, q = first[units[i][p][1]]
         if (a, q) != (i, p):
             h, g = D[i][1], D[a][1]
             b = next((k for k in range(R) if at(h, p - k - 1) is None or at(h, p - k - 1) != at(g, q - k - 1)), R)
@@ -70,9 +72,11 @@ def lines_left(rows, code):
 
 
 def line_codes(spark, rows):
-    """The order of equally long lines: Spark's hash without its low bits, as a signed number."""
+    """The order of equally long units: Spark's hash of a line, or of two lines' hashes, without its low bits."""
     from pyspark.sql import functions as F
 
-    bare = sorted({x.strip(" \t\r\n") for _, t, *_ in rows for x in re.split(r"(?<=\n)|(?<=[.!?] )", t or "")})
-    d = spark.createDataFrame([(x,) for x in bare], "x string").withColumn("h", F.shiftrightunsigned(F.xxhash64("x"), 12))
-    return {r.x: r.h for r in d.collect()}
+    docs = [[x.strip(" \t\r\n") for x in re.split(r"(?<=\n)|(?<=[.!?] )", t or "")] for _, t, *_ in rows]
+    units = sorted({(x, None) for d in docs for x in d} | {p for d in docs for p in zip(d, d[1:], strict=False)}, key=str)
+    h = F.when(F.col("y").isNull(), F.xxhash64("x")).otherwise(F.xxhash64(F.xxhash64("x"), F.xxhash64("y")))
+    d = spark.createDataFrame(units, "x string, y string").withColumn("h", F.shiftrightunsigned(h, 12))
+    return {(r.x,) if r.y is None else (r.x, r.y): r.h for r in d.collect()}
