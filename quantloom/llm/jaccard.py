@@ -47,7 +47,7 @@ def _pairs(token: np.ndarray, sig: np.ndarray, n: np.ndarray, small: int) -> tup
     size = np.diff(np.append(begin, len(token)))
     group = np.repeat(np.arange(len(begin)), size)
     place = np.arange(len(token)) - begin[group]
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for back in range(1, small):
         k = np.flatnonzero((place >= back) & (size[group] <= small))
         left.append(k - back)
