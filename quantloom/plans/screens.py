@@ -59,7 +59,7 @@ def a13(spark, d):
 
 @query("a21_pearson", "lang ~corr", "", "SELECT lang, corr(n_chars, quality) AS corr FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def a21(spark, d):
-    return fr.table(spark, d, "documents").join(fr.table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.corr("n_chars", "quality").alias("corr"))
+    return fr.table(spark, d, "documents").join(fr.table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.try_divide(F.covar_pop("n_chars", "quality"), F.stddev_pop("n_chars") * F.stddev_pop("quality")).alias("corr"))
 
 
 @query("w3_contiguous_lag", "key #year ~growth", "y AS (SELECT o_custkey AS key, year(o_orderdate) AS year, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2)", "SELECT key, year, CASE WHEN lag(year) OVER w = year - 1 THEN v / lag(v) OVER w - 1 END AS growth FROM y WINDOW w AS (PARTITION BY key ORDER BY year)")
