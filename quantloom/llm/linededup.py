@@ -24,11 +24,15 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), CUT)
 
 
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\n"))
+
+
 def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
     """row, doc_id, version (hash of the text), h and n: hash and length of each line without the white space
-    around it. A line of white space has hash null."""
-    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), F.transform(lines(F.col(text)), lambda x: F.btrim(x, F.lit(" \t\r\n"))).alias("l"))
-    d = d.select("doc_id", "version", F.transform("l", lambda x: F.when(x != "", F.xxhash64(x))).alias("h"), F.transform("l", F.length).alias("n"))
+    around it. Lines of white space are left out, so that runs go on across them; positions count the others."""
+    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), F.filter(F.transform(lines(F.col(text)), bare), lambda x: x != "").alias("l"))
+    d = d.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", F.length).alias("n"))
     return common.save(d.withColumn("row", F.monotonically_increasing_id()), "lines")
 
 
@@ -81,7 +85,8 @@ def _reach(step: int) -> Column:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, version, runs (array of from, to): the lines to delete from each document that has any.
+    """doc_id, version, runs (array of from, to): the lines to delete from each document that has any, counted without
+    lines of white space.
 
     A fingerprint's first place (smallest doc_id, then version and position) stays; each later place is joined
     with the first only, so a line of any number of copies gives one row a copy. Matches are extended by
@@ -126,7 +131,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Only the first place of a repeated run of lines (here also sentences) of 150 or more characters stays; order of
     places: smaller id, then line. Rows of equal id and text are one document. Null texts stay null, with no
-    lines; empty ones have one empty line. Short lines and lines without words never start a deletion. Long
+    lines; empty ones have one empty line. Lines of white space count for nothing: runs go on across them. Long
     texts are handled line by line. An empty table gives no rows. Columns named as the operator's own are
     replaced.
     """
@@ -134,10 +139,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     d = docs.withColumn("_v", F.xxhash64(text))
     d = d.join(r, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
     d = d.withColumn("_lines", F.when(F.col(text).isNotNull(), lines(F.col(text))))
+    # Runs count lines that are not white space; what stands between two lines of a run goes with it.
+    at = F.filter(F.transform("_lines", lambda x, i: F.when(bare(x) != "", i)), lambda i: i.isNotNull())
+    d = d.withColumn("_at", F.when(F.col("_runs").isNotNull(), at))
+    d = d.withColumn("_runs", F.transform("_runs", lambda r: F.struct(F.get("_at", r["from"]).alias("from"), F.get("_at", r["to"]).alias("to"))))
     stay = F.filter("_lines", lambda x, i: ~F.exists("_runs", lambda r: i.between(r["from"], r["to"])))
     d = d.withColumn("_stay", F.when(F.col("_runs").isNull(), F.col("_lines")).otherwise(stay))
     out = {"lines_in": F.coalesce(F.size("_lines"), F.lit(0)), "lines_out": F.coalesce(F.size("_stay"), F.lit(0)), text: F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join("_stay", ""))}
-    return d.withColumns(out).drop("_id", "_version", "_runs", "_v", "_lines", "_stay")
+    return d.withColumns(out).drop("_id", "_version", "_runs", "_v", "_lines", "_at", "_stay")
 
 
 def op6_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
