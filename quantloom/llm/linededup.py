@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,9 +12,8 @@ from . import common
 
 #: Where a text is cut into lines: after each line break and, inside long lines, after each sentence.
 CUT = r"(?<=\n)|(?<=[.!?]\x20)"
-#: Units in a winnowing window (a unit is a pair of neighbouring lines, or one LONG line); lines that a fingerprint
-#: looks at on either side.
-WINDOW, REACH = 2, 3
+#: Units in a winnowing window (a unit is a pair of neighbouring lines, or one LONG line).
+WINDOW = 2
 #: Characters that a unit must have to be a fingerprint whatever its neighbours are (a line that has them is a unit
 #: by itself), and that a run must have to be deleted: some 25 words.
 LONG, LEAST = 150, 150
@@ -62,66 +63,76 @@ def fingerprints(d: DataFrame) -> DataFrame:
     return d.select("row", F.explode(marks).alias("p")).select("row", "p.pos", "p.code")
 
 
-def surrounded(marks: DataFrame, d: DataFrame) -> DataFrame:
-    """doc_id, version, pos, code of the marks with near_h and near_n: hashes and lengths of the lines from pos - REACH
-    to pos + REACH, null beyond the document."""
-    per_doc = marks.groupBy("row").agg(F.collect_list(F.struct("pos", "code")).alias("marks"))
+def _scan(n: Column, least: int) -> Column:
+    """How many of the first lengths of n it takes to have least characters, and those characters."""
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("sum"))
+    return F.aggregate(n, start, lambda a, x: F.when(a["sum"] >= least, a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["sum"] + x).alias("sum"))))
+
+
+def _shortest(part: Callable[[int], Column]) -> Column:
+    """_scan of the fewest lines that have LEAST characters; part(k) gives the next k lengths. Most need few."""
+    few = _scan(part(8), LEAST)
+    return F.when(few["sum"] >= LEAST, few).otherwise(_scan(part(LEAST), LEAST))
+
+
+def windows(marks: DataFrame, d: DataFrame) -> DataFrame:
+    """doc_id, version, from, to, code: the shortest runs of LEAST characters from a line on and up to a line, as far
+    as they have one of the marks.
+
+    A run of LEAST characters or more is the union of the shortest ones in it, so it stands at another place
+    just if these do. Each line looks at the next mark only, so work and rows are in proportion to the lines.
+    """
+    per_doc = marks.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("m"))
     x = d.join(per_doc, "row")
-    edge = F.array_repeat(F.lit(None), REACH)
-    x = x.withColumns({"h": F.concat(edge.cast("array<bigint>"), "h", edge.cast("array<bigint>")), "n": F.concat(edge.cast("array<int>"), "n", edge.cast("array<int>"))})
-    near = F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["code"].alias("code"), F.slice("h", m["pos"] + 1, 2 * REACH + 1).alias("near_h"), F.slice("n", m["pos"] + 1, 2 * REACH + 1).alias("near_n")))
-    return x.select("doc_id", "version", F.explode(near).alias("p")).select("doc_id", "version", "p.pos", "p.code", "p.near_h", "p.near_n")
+    end = lambda p: p + F.when(F.get("n", p) >= LONG, 0).otherwise(1)
+
+    def starts(p: Column, k: Column) -> Column:
+        low = F.greatest(F.when(k > 0, F.get("m", k - 1) + 1).otherwise(0), p - LEAST)
+        return F.transform(F.sequence(low, p), lambda i: F.struct(i.alias("from"), _shortest(lambda c: F.slice("n", i + 1, c)).alias("s"), end(p).alias("e")))
+
+    def ends(p: Column, k: Column) -> Column:
+        last = F.least(F.coalesce(end(F.get("m", k + 1)) - 1, F.size("n") - 1), end(p) + LEAST)
+        back = lambda j, c: F.reverse(F.slice("n", F.greatest(j + 2 - c, F.lit(1)), F.least(j + 1, F.lit(c))))
+        return F.when(last >= end(p), F.transform(F.sequence(end(p), last), lambda j: F.struct(j.alias("to"), _shortest(lambda c: back(j, c)).alias("s"), p.alias("p"))))
 
+    def whole(i: Column, k: Column) -> Column:
+        return F.struct(i.alias("from"), (i + k - 1).alias("to"), F.xxhash64(F.slice("h", i + 1, k)).alias("code"))
 
-def _reach(step: int) -> Column:
-    """How many lines next to the fingerprint, in one direction, are the same on both sides."""
-    n = F.lit(0)
-    same = F.lit(True)
-    for k in range(1, REACH + 1):
-        at = REACH + k * step
-        same = same & F.coalesce(F.get("near_h", F.lit(at)) == F.get("first_h", F.lit(at)), F.lit(False))
-        n = n + same.cast("int")
-    return n
+    ahead = F.filter(F.flatten(F.transform("m", starts)), lambda w: (w["s"]["sum"] >= LEAST) & (w["from"] + w["s"]["k"] - 1 >= w["e"]))
+    # One that would be too short without its last line is among those ahead.
+    back = F.filter(F.flatten(F.filter(F.transform("m", ends), lambda w: w.isNotNull())), lambda w: (w["s"]["sum"] - F.get("n", w["to"]) >= LEAST) & (w["to"] - w["s"]["k"] + 1 <= w["p"]))
+    x = x.select("doc_id", "version", "h", "n", ahead.alias("a"), back.alias("b"))
+    both = F.concat(F.transform("a", lambda w: whole(w["from"], w["s"]["k"])), F.transform("b", lambda w: whole(w["to"] - w["s"]["k"] + 1, w["s"]["k"])))
+    return x.select("doc_id", "version", F.explode(both).alias("w")).select("doc_id", "version", "w.from", "w.to", "w.code")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, version, runs (array of from, to): the lines to delete from each document that has any, counted without
     lines of white space.
 
-    A fingerprint's first place (smallest doc_id, then version and position) stays; each later place is joined
-    with the first only, so a line of any number of copies gives one row a copy. Matches are extended by
-    up to REACH equal lines both ways; since the next fingerprint of a shared run is no further than that, a
-    run is covered as a whole. Stretches of one document against the same place of another are joined into
-    runs, and runs of LEAST characters or more are deleted.
+    Fingerprints that come again say where to look: matches are extended from them to the shortest runs of LEAST
+    characters, and these are compared as a whole. The first place of each (smallest doc_id, then version and
+    position) stays; each later place is joined with the first only, so a run of any number of copies gives one
+    row a copy. What later places cover is joined into runs.
 
-    Guarantee: a run that an earlier place has too is seen if it has three or more lines or LONG characters in one or
-    two, which is any run that is long enough to be deleted.
+    Guarantee: a line goes just if it lies in a run of LEAST characters or more that stands at an earlier place too,
+    whatever stands around it there: such a run has three or more lines or LONG characters in one or two, hence a
+    fingerprint, and so has each of the shortest runs in it.
     """
     d = coded(docs, key, text)
     f = common.save(fingerprints(d), "fingerprints")
     again = f.groupBy("code").agg(F.count("*").alias("times")).where("times > 1").select("code")
-    near = common.save(surrounded(f.join(again.hint("shuffle_hash"), "code"), d), "repeated")
+    near = common.save(windows(f.join(again.hint("shuffle_hash"), "code"), d), "windows")
     common.drop(f)
     common.drop(d)
-    first = near.groupBy("code").agg(F.min(F.struct("doc_id", "version", "pos", "near_h")).alias("first"))
-    same_doc = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version"))
-    m = near.join(first, "code").where(~(same_doc & (F.col("first.pos") == F.col("pos"))))
-    m = m.withColumns({"first_h": F.col("first.near_h"), "own": same_doc, "shift": F.col("pos") - F.col("first.pos")})
-    m = m.select("doc_id", "version", F.col("first.doc_id").alias("d1"), F.col("first.version").alias("v1"), "shift", "pos", "own", "near_n", _reach(-1).alias("before"), _reach(1).alias("after"))
-    # In a document's own later copy a run may not reach back over its first place.
-    before = F.when(F.col("own"), F.least(F.col("before"), F.col("shift") - 1)).otherwise(F.col("before"))
-    m = m.select("doc_id", "version", "d1", "v1", "shift", "pos", "near_n", (F.col("pos") - before).alias("from"), (F.col("pos") + F.col("after")).alias("to"))
-    # The stretches of one document against the same shift of another are joined where they touch; each adds the
-    # characters of the lines that it covers first.
-    diagonal = ["doc_id", "version", "d1", "v1", "shift"]
-    w = W.partitionBy(*diagonal).orderBy("pos")
+    first = near.groupBy("code").agg(F.min(F.struct("doc_id", "version", "from")).alias("first"), F.count("*").alias("times")).where("times > 1").select("code", "first")
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version")) & (F.col("first.from") == F.col("from"))
+    m = near.join(first, "code").where(~same).select("doc_id", "version", "from", "to")
+    w = W.partitionBy("doc_id", "version").orderBy("from")
     m = m.withColumn("seen", F.max("to").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    m = m.withColumn("fresh", F.greatest("from", F.coalesce(F.col("seen") + 1, F.col("from"))))
-    added = F.aggregate(F.slice("near_n", F.col("fresh") - F.col("pos") + REACH + 1, F.greatest(F.col("to") - F.col("fresh") + 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
-    m = m.withColumns({"added": added, "new": F.coalesce((F.col("from") > F.col("seen") + 1).cast("int"), F.lit(1))})
-    m = m.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = m.groupBy(*diagonal, "island").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.sum("added").alias("n")).where(F.col("n") >= LEAST)
-    out = common.save(runs.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")), "runs")
+    m = m.withColumn("island", F.sum(F.coalesce((F.col("from") > F.col("seen") + 1).cast("int"), F.lit(1))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = m.groupBy("doc_id", "version", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    out = common.save(runs.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs")), "runs")
     common.drop(near)
     return out
 

@@ -47,3 +47,25 @@ def test_runs_go_on_across_blank_lines(spark):
     want = purpose(rows)
     assert [len(want[k]) for k in range(1, 7)] == [10, 2, 0, 0, 3, 2]
     assert left(spark, rows) == want
+
+
+def test_runs_whose_parts_stand_first_elsewhere(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):  # a passage whole in two documents, its parts in three earlier ones
+        p = [line(rng, 40) for _ in range(6)]
+        other = lambda n: [line(rng, rng.randint(5, 60)) for _ in range(n)]
+        for at, part in enumerate((p[:3], p[2:5], p[4:], p, p)):
+            rows.append((10 * k + at, "\n".join(other(rng.randint(0, 3)) + part + other(rng.randint(0, 3)))))
+    want = purpose(rows)
+    assert all(len(want[10 * k + 4]) == len(rows[5 * k + 4][1].split("\n")) - 6 for k in range(60))
+    assert left(spark, rows) == want
+
+
+def test_runs_of_few_kinds_of_lines(spark):
+    rng = random.Random(5)
+    kinds = [line(rng, n) for n in (1, 3, 20, 30, 40, 60, 80, 100, 149, 150, 160)]
+    rows = [(k, "".join(rng.choice(kinds) + rng.choice(["\n", "\n\n", "\n \n"]) for _ in range(rng.randint(0, 40)))) for k in range(60)]
+    rows += [(60, "\n".join("xyz"[k % 3] for k in range(400))), (61, "\n".join("xyz"[k % 3] for k in range(170)) + "\n" + kinds[5])]
+    want = purpose(rows)
+    assert left(spark, rows) == want
