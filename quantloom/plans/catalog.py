@@ -178,8 +178,8 @@ PROBE = fr.FACTS + ", months AS (SELECT DISTINCT last_day(avail) AS month FROM f
 
 def _probe(spark, d):
     f = fr.facts(spark, d)
-    months = f.select(F.last_day("avail").alias("month")).distinct()  # a few dozen rows
-    return f.select("key").where("key % 10 = 1").distinct().crossJoin(F.broadcast(months))
+    months = f.agg(F.sort_array(F.collect_set(F.last_day("avail"))))  # one array of a few dozen dates
+    return f.select("key").distinct().select("key", F.explode(months.scalar()).alias("month"))
 
 
 @query("j7_asof_backward", "key month ~value", PROBE, "SELECT p.key, p.month, CASE WHEN p.month - b.avail <= 450 THEN b.value END AS value FROM probe p ASOF LEFT JOIN best b ON p.key = b.key AND p.month >= b.avail")
