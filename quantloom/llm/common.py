@@ -14,23 +14,35 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether Spark removes a query's shuffle files as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where all tasks run in the driver's
+    own process (master local) may it be unset; then it is a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quantloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quantloom-{spark.sparkContext.applicationId}"
 
 
 def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write are removed when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the driver's, so that Spark drops the shuffle files of finished jobs
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,13 +10,15 @@ from . import common
 
 #: Where a text is cut into lines: after each line break and, inside long lines, after each sentence.
 CUT = r"(?<=\n)|(?<=[.!?]\x20)"
-#: Units in a winnowing window (a unit is a pair of neighbouring lines, or one LONG line).
-WINDOW = 2
-#: Characters that a unit must have to be a fingerprint whatever its neighbours are (a line that has them is a unit
-#: by itself), and that a run must have to be deleted: some 25 words.
-LONG, LEAST = 150, 150
-#: Rank of what is beyond a document's ends.
-_LAST = (1 << 63) - 1
+#: Characters of a winnowing window, the shortest run that has them, and of a run that is deleted: some 25 words.
+#: A single line that has them is a window by itself.
+LONG = LEAST = 150
+#: Lines that windows are looked for in without a loop; longer ones (of very short lines) are taken line by line.
+FEW = 8
+#: Bits of a place that hold the line's number in its document; a string can't have more lines than that in memory.
+POS_BITS = 23
+#: A window with more than a 1/SPREAD of all repeated places is salted; there are less than SPREAD of these at any size.
+SPREAD, SALTS = 10_000, 64
 
 
 def lines(text: Column) -> Column:
@@ -31,109 +31,115 @@ def bare(line: Column) -> Column:
 
 def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
     """row, doc_id, version (hash of the text), h and n: hash and length of each line without the white space
-    around it. Lines of white space are left out, so that runs go on across them; positions count the others."""
+    around it, once for each id and text. Lines of white space are left out, so that runs go on across them;
+    positions count the others. row counts the documents in the order of id and version."""
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), F.filter(F.transform(lines(F.col(text)), bare), lambda x: x != "").alias("l"))
-    d = d.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", F.length).alias("n"))
-    return common.save(d.withColumn("row", F.monotonically_increasing_id()), "lines")
-
-
-def fingerprints(d: DataFrame) -> DataFrame:
-    """row, pos, code: the units that are the minimum of some window of WINDOW units, and all LONG ones.
-
-    Windows take the longest unit, then the smallest hash. Pairs of lines rather than lines are hashed, as single
-    short lines come again in more and more documents the more there are, without any run around them. All is
-    computed within a document's arrays, so no line carries its document along.
-    """
-
-    def unit(h: Column, i: Column) -> Column:
-        n, next_h = F.get("n", i), F.get("h", i + 1)
-        alone = F.struct(h.alias("code"), n.alias("n"))
-        pair = F.struct(F.xxhash64(h, next_h).alias("code"), (n + F.get("n", i + 1)).alias("n"))
-        return F.when(n >= LONG, alone).when(h.isNotNull() & next_h.isNotNull(), pair)
-
-    d = d.select("row", F.transform("h", unit).alias("u"))
-    rank = F.transform("u", lambda x: F.when(x.isNull(), F.lit(_LAST - 1)).otherwise(-F.least(x["n"], F.lit(2047)).cast("long") * F.lit(1 << 52) + F.shiftrightunsigned(x["code"], 12)))
-    d = d.withColumn("r", F.concat(F.array(F.lit(_LAST)), rank, F.array(F.lit(_LAST))))
-
-    def one(u: Column, i: Column) -> Column:
-        left, own, right = (F.get("r", i + k) for k in range(3))
-        return F.when(u.isNotNull() & ((own <= left) | (own <= right) | (u["n"] >= LONG)), F.struct(i.alias("pos"), u["code"].alias("code")))
-
-    marks = F.filter(F.transform("u", one), lambda x: x.isNotNull())
-    return d.select("row", F.explode(marks).alias("p")).select("row", "p.pos", "p.code")
+    d = common.save(d.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", F.length).alias("n")), "lines")
+    o = d.repartitionByRange("doc_id", "version").dropDuplicates(["doc_id", "version"]).sortWithinPartitions("doc_id", "version")
+    o = common.save(o.withColumn("at", F.monotonically_increasing_id()), "numbered")  # the partition above 33 bits, the row below
+    common.drop(d)
+    shard = F.shiftright("at", 33)
+    sizes = o.groupBy(shard.alias("shard")).count()
+    sizes = sizes.select("shard", F.coalesce(F.sum("count").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # One row per partition of the table.
+    out = o.withColumn("shard", shard).join(F.broadcast(sizes), "shard").withColumn("row", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    out = out.select("row", "doc_id", "version", "h", "n")
+    out.saved_path = o.saved_path
+    return out
 
 
-def _scan(n: Column, least: int) -> Column:
-    """How many of the first lengths of n it takes to have least characters, and those characters."""
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("sum"))
-    return F.aggregate(n, start, lambda a, x: F.when(a["sum"] >= least, a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["sum"] + x).alias("sum"))))
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by % 64 else x
 
 
-def _shortest(part: Callable[[int], Column]) -> Column:
-    """_scan of the fewest lines that have LEAST characters; part(k) gives the next k lengths. Most need few."""
-    few = _scan(part(8), LEAST)
-    return F.when(few["sum"] >= LEAST, few).otherwise(_scan(part(LEAST), LEAST))
+def _first_of(cases: list[tuple[Column, Column]]) -> Column:
+    out = F.when(*cases[0])
+    for c in cases[1:]:
+        out = out.when(*c)
+    return out
 
 
-def windows(marks: DataFrame, d: DataFrame) -> DataFrame:
-    """doc_id, version, from, to, code: the shortest runs of LEAST characters from a line on and up to a line, as far
-    as they have one of the marks.
+def windows(d: DataFrame) -> DataFrame:
+    """row, from, to, print, code of the winnowing windows: from each line on and up to each line the fewest lines
+    that have LEAST characters. print: the window's minimum, the smallest hash of its lines, which is its
+    fingerprint; code: a rolling hash of all its lines.
 
-    A run of LEAST characters or more is the union of the shortest ones in it, so it stands at another place
-    just if these do. Each line looks at the next mark only, so work and rows are in proportion to the lines.
+    A run of LEAST characters or more is the union of the windows in it, so it stands at another place just if
+    these do. Lines are exploded and read their neighbours from the document's arrays inside one generated
+    loop; only windows of more than FEW lines take a slice of the arrays along.
     """
-    per_doc = marks.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("m"))
-    x = d.join(per_doc, "row")
-    end = lambda p: p + F.when(F.get("n", p) >= LONG, 0).otherwise(1)
-
-    def starts(p: Column, k: Column) -> Column:
-        low = F.greatest(F.when(k > 0, F.get("m", k - 1) + 1).otherwise(0), p - LEAST)
-        return F.transform(F.sequence(low, p), lambda i: F.struct(i.alias("from"), _shortest(lambda c: F.slice("n", i + 1, c)).alias("s"), end(p).alias("e")))
-
-    def ends(p: Column, k: Column) -> Column:
-        last = F.least(F.coalesce(end(F.get("m", k + 1)) - 1, F.size("n") - 1), end(p) + LEAST)
-        back = lambda j, c: F.reverse(F.slice("n", F.greatest(j + 2 - c, F.lit(1)), F.least(j + 1, F.lit(c))))
-        return F.when(last >= end(p), F.transform(F.sequence(end(p), last), lambda j: F.struct(j.alias("to"), _shortest(lambda c: back(j, c)).alias("s"), p.alias("p"))))
-
-    def whole(i: Column, k: Column) -> Column:
-        return F.struct(i.alias("from"), (i + k - 1).alias("to"), F.xxhash64(F.slice("h", i + 1, k)).alias("code"))
-
-    ahead = F.filter(F.flatten(F.transform("m", starts)), lambda w: (w["s"]["sum"] >= LEAST) & (w["from"] + w["s"]["k"] - 1 >= w["e"]))
-    # One that would be too short without its last line is among those ahead.
-    back = F.filter(F.flatten(F.filter(F.transform("m", ends), lambda w: w.isNotNull())), lambda w: (w["s"]["sum"] - F.get("n", w["to"]) >= LEAST) & (w["to"] - w["s"]["k"] + 1 <= w["p"]))
-    x = x.select("doc_id", "version", "h", "n", ahead.alias("a"), back.alias("b"))
-    both = F.concat(F.transform("a", lambda w: whole(w["from"], w["s"]["k"])), F.transform("b", lambda w: whole(w["to"] - w["s"]["k"] + 1, w["s"]["k"])))
-    return x.select("doc_id", "version", F.explode(both).alias("w")).select("doc_id", "version", "w.from", "w.to", "w.code")
+    x = d.select("row", "h", "n", F.posexplode("h").alias("pos", "own"))
+    near = x
+    for way, name in ((1, "f"), (-1, "b")):
+        near = near.withColumns({f"{name}s0": F.get("n", F.col("pos")), f"{name}c0": F.col("own"), f"{name}m0": F.col("own")})
+        for k in range(1, FEW):
+            h, n = (F.get(c, F.col("pos") + way * k) for c in ("h", "n"))
+            c = _turned(F.col(f"{name}c{k - 1}"), 1).bitwiseXOR(h) if way > 0 else F.col(f"{name}c{k - 1}").bitwiseXOR(_turned(h, k))
+            near = near.withColumns({f"{name}s{k}": F.col(f"{name}s{k - 1}") + n, f"{name}c{k}": c, f"{name}m{k}": F.least(f"{name}m{k - 1}", h)})
+
+    def window(name: str, way: int) -> Column:
+        def one(k: int) -> Column:
+            ends = (F.col("pos"), F.col("pos") + way * k)
+            return F.struct(ends[way < 0].alias("from"), ends[way > 0].alias("to"), F.col(f"{name}m{k}").alias("print"), F.xxhash64(F.col(f"{name}c{k}"), F.lit(k + 1)).alias("code"))
+
+        return _first_of([(F.col(f"{name}s{k}") >= LEAST, one(k)) for k in range(FEW)])
+
+    # One up to a line that would be too short without its last line is the one from its first line on.
+    new = _first_of([(F.col(f"bs{k}") >= LEAST, F.col(f"bs{k}") - F.col("bs0") >= LEAST) for k in range(FEW)])
+    few = near.select("row", F.explode(F.array(window("f", 1), F.when(new, window("b", -1)))).alias("w")).where("w is not null").select("row", "w.*")
+
+    def many(name: str, way: int) -> DataFrame:
+        """Those of more than FEW lines, from slices of the arrays in the order in which they grow."""
+        begin = F.greatest(F.col("pos") + 2 - LEAST, F.lit(1)) if way < 0 else F.col("pos") + 1
+        count = F.least(F.col("pos") + 1, F.lit(LEAST)) if way < 0 else F.lit(LEAST)
+        far = x.select("row", "pos", F.col("n"), F.col("h"), sum(F.get("n", F.col("pos") + way * k) for k in range(FEW)).alias("s")).where(F.col("s") < LEAST)
+        far = far.select("row", "pos", F.slice("n", begin, count).alias("ns"), F.slice("h", begin, count).alias("hs"))
+        if way < 0:
+            far = far.select("row", "pos", F.reverse("ns").alias("ns"), F.reverse("hs").alias("hs"))
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"))
+        far = far.withColumn("a", F.aggregate("ns", start, lambda a, n: F.when(a["s"] >= LEAST, a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["s"] + n).alias("s")))))
+        far = far.where(F.col("a.s") >= LEAST)
+        if way < 0:
+            far = far.where(F.col("a.s") - F.get("ns", F.lit(0)) >= LEAST)
+        own = F.slice("hs", F.lit(1), F.col("a.k"))
+        code = F.aggregate(own if way > 0 else F.reverse(own), F.lit(0).cast("long"), lambda c, h: _turned(c, 1).bitwiseXOR(h))
+        ends = (F.col("pos"), F.col("pos") + way * (F.col("a.k") - 1))
+        return far.select("row", ends[way < 0].alias("from"), ends[way > 0].alias("to"), F.array_min(own).alias("print"), F.xxhash64(code, F.col("a.k")).alias("code"))
+
+    return few.unionByName(many("f", 1)).unionByName(many("b", -1))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, version, runs (array of from, to): the lines to delete from each document that has any, counted without
     lines of white space.
 
-    Fingerprints that come again say where to look: matches are extended from them to the shortest runs of LEAST
-    characters, and these are compared as a whole. The first place of each (smallest doc_id, then version and
-    position) stays; each later place is joined with the first only, so a run of any number of copies gives one
-    row a copy. What later places cover is joined into runs.
+    The windows' positions are joined on their fingerprints: the first place of each window (smallest doc_id, then
+    version and position) stays; each later place is joined with the first only, so a run of any number of
+    copies gives one row a window. What later places cover is joined into runs. Very common windows are salted.
 
     Guarantee: a line goes just if it lies in a run of LEAST characters or more that stands at an earlier place too,
-    whatever stands around it there: such a run has three or more lines or LONG characters in one or two, hence a
-    fingerprint, and so has each of the shortest runs in it.
+    whatever stands around it there.
     """
     d = coded(docs, key, text)
-    f = common.save(fingerprints(d), "fingerprints")
-    again = f.groupBy("code").agg(F.count("*").alias("times")).where("times > 1").select("code")
-    near = common.save(windows(f.join(again.hint("shuffle_hash"), "code"), d), "windows")
-    common.drop(f)
-    common.drop(d)
-    first = near.groupBy("code").agg(F.min(F.struct("doc_id", "version", "from")).alias("first"), F.count("*").alias("times")).where("times > 1").select("code", "first")
-    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.version") == F.col("version")) & (F.col("first.from") == F.col("from"))
-    m = near.join(first, "code").where(~same).select("doc_id", "version", "from", "to")
-    w = W.partitionBy("doc_id", "version").orderBy("from")
-    m = m.withColumn("seen", F.max("to").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    m = m.withColumn("island", F.sum(F.coalesce((F.col("from") > F.col("seen") + 1).cast("int"), F.lit(1))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = m.groupBy("doc_id", "version", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    out = common.save(runs.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs")), "runs")
-    common.drop(near)
+    place = F.shiftleft("row", POS_BITS).bitwiseOR(F.col("from"))
+    w = windows(d)
+    first = w.groupBy("print", "code").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = common.save(first, "first")
+    total = first.agg(F.sum("times")).first()[0] or 0
+    salts = F.when(F.col("times") * SPREAD > max(total, SPREAD * 1000), SALTS).otherwise(1)
+    first = first.withColumn("salts", salts)
+    hot = first.where("salts > 1").select("print", "code", F.col("salts").alias("hot"))  # less than SPREAD rows
+    first = first.select("print", "code", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    m = w.join(F.broadcast(hot), ["print", "code"], "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("row", "hot")).cast("int"))
+    m = m.join(first, ["print", "code", "salt"]).where(place != F.col("first")).select("row", "from", "to")
+    o = W.partitionBy("row").orderBy("from")
+    m = m.withColumn("seen", F.max("to").over(o.rowsBetween(W.unboundedPreceding, -1)))
+    m = m.withColumn("island", F.sum(F.coalesce((F.col("from") > F.col("seen") + 1).cast("int"), F.lit(1))).over(o.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = m.groupBy("row", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    runs = common.save(runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs")), "islands")
+    out = common.save(d.select("row", "doc_id", "version").join(runs, "row").select("doc_id", "version", "runs"), "runs")
+    for t in (d, first, runs):
+        common.drop(t)
     return out
 
 
@@ -143,21 +149,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     Only the first place of a repeated run of lines (here also sentences) of 150 or more characters stays; order of
     places: smaller id, then line. Rows of equal id and text are one document. Null texts stay null, with no
     lines; empty ones have one empty line. Lines of white space count for nothing: runs go on across them. Long
-    texts are handled line by line. An empty table gives no rows. Columns named as the operator's own are
-    replaced.
+    texts are handled line by line. An empty table gives no rows. Other columns are kept whatever their names are;
+    ones named lines_in or lines_out are replaced.
     """
-    r = repeats(docs, key, text).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("runs").alias("_runs"))
-    d = docs.withColumn("_v", F.xxhash64(text))
-    d = d.join(r, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
-    d = d.withColumn("_lines", F.when(F.col(text).isNotNull(), lines(F.col(text))))
+    r = repeats(docs, key, text).select(F.col("doc_id").alias("id"), F.col("version").alias("of"), "runs")
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text).alias("version"))
+    own = F.col("doc")[text]
+    d = d.join(r.hint("shuffle_hash"), F.col("doc")[key].eqNullSafe(F.col("id")) & (F.col("version") == F.col("of")), "left")
+    d = d.select("doc", "runs", F.when(own.isNotNull(), lines(own)).alias("l"))
     # Runs count lines that are not white space; what stands between two lines of a run goes with it.
-    at = F.filter(F.transform("_lines", lambda x, i: F.when(bare(x) != "", i)), lambda i: i.isNotNull())
-    d = d.withColumn("_at", F.when(F.col("_runs").isNotNull(), at))
-    d = d.withColumn("_runs", F.transform("_runs", lambda r: F.struct(F.get("_at", r["from"]).alias("from"), F.get("_at", r["to"]).alias("to"))))
-    stay = F.filter("_lines", lambda x, i: ~F.exists("_runs", lambda r: i.between(r["from"], r["to"])))
-    d = d.withColumn("_stay", F.when(F.col("_runs").isNull(), F.col("_lines")).otherwise(stay))
-    out = {"lines_in": F.coalesce(F.size("_lines"), F.lit(0)), "lines_out": F.coalesce(F.size("_stay"), F.lit(0)), text: F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join("_stay", ""))}
-    return d.withColumns(out).drop("_id", "_version", "_runs", "_v", "_lines", "_at", "_stay")
+    at = F.filter(F.transform("l", lambda x, i: F.when(bare(x) != "", i)), lambda i: i.isNotNull())
+    d = d.withColumn("at", F.when(F.col("runs").isNotNull(), at))
+    d = d.withColumn("runs", F.transform("runs", lambda r: F.struct(F.get("at", r["from"]).alias("from"), F.get("at", r["to"]).alias("to"))))
+    stay = F.filter("l", lambda x, i: ~F.exists("runs", lambda r: i.between(r["from"], r["to"])))
+    d = d.withColumn("stay", F.when(F.col("runs").isNull(), F.col("l")).otherwise(stay))
+    new = {"lines_in": F.coalesce(F.size("l"), F.lit(0)), "lines_out": F.coalesce(F.size("stay"), F.lit(0)), text: F.when(F.col("runs").isNull(), own).otherwise(F.array_join("stay", ""))}
+    return d.select(*[new.pop(c, F.col("doc")[c]).alias(c) for c in docs.columns], *[v.alias(c) for c, v in new.items()])
 
 
 def op6_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
