@@ -13,8 +13,6 @@ CUT = r"(?<=\n)|(?<=[.!?]\x20)"
 #: Characters of a winnowing window, the shortest run that has them, and of a run that is deleted: some 25 words.
 #: A single line that has them is a window by itself.
 LONG = LEAST = 150
-#: Lines that windows are looked for in without a loop; longer ones (of very short lines) are taken line by line.
-FEW = 8
 #: Bits of a place that hold the line's number in its document; a string can't have more lines than that in memory.
 POS_BITS = 23
 #: A window with more than a 1/SPREAD of all repeated places is salted; there are less than SPREAD of these at any size.
@@ -29,13 +27,30 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\n"))
 
 
+def _turned(x: Column, by: Column) -> Column:
+    """x rotated left by `by` bits, modulo 64."""
+    by = by.bitwiseAND(F.lit(63)).cast("int")
+    return F.call_function("shiftleft", x, by).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64) - by))
+
+
 def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """row, doc_id, version (hash of the text), h and n: hash and length of each line without the white space
-    around it, once for each id and text. Lines of white space are left out, so that runs go on across them;
-    positions count the others. row counts the documents in the order of id and version."""
+    """row, doc_id, version (hash of the text), h, x and k once for each id and text that has lines: the hash of each
+    line without the white space around it, a rolling hash of all lines before (one entry longer), and the number
+    of lines of the winnowing window from it on, the fewest that have LEAST characters; 0 where there is none.
+
+    Lines of white space are left out, so that runs go on across them; positions count the others. row counts the
+    documents in the order of id and version. A document's lines are summed where its arrays lie.
+    """
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), F.filter(F.transform(lines(F.col(text)), bare), lambda x: x != "").alias("l"))
     d = common.save(d.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", F.length).alias("n")), "lines")
-    o = d.repartitionByRange("doc_id", "version").dropDuplicates(["doc_id", "version"]).sortWithinPartitions("doc_id", "version")
+    doc = ["doc_id", "version"]
+    upto = W.partitionBy(*doc).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    o = d.repartitionByRange(*doc).dropDuplicates(doc).select(*doc, "n", F.posexplode("h").alias("pos", "h")).withColumn("n", F.get("n", "pos").cast("long"))
+    o = o.withColumns({"end": F.sum("n").over(upto), "x": F.bit_xor(_turned(F.col("h"), F.col("pos"))).over(upto)}).withColumn("begin", F.col("end") - F.col("n"))
+    span = W.partitionBy(*doc).orderBy("begin").rangeBetween(0, LEAST - 1)  # the lines that begin before the window may end
+    o = o.withColumn("k", F.when(F.last("end").over(span) - F.col("begin") >= LEAST, F.count("*").over(span)).otherwise(0).cast("int"))
+    o = o.groupBy(*doc).agg(F.sort_array(F.collect_list(F.struct("pos", "h", "x", "k"))).alias("l")).sortWithinPartitions(*doc)
+    o = o.select(*doc, F.col("l.h").alias("h"), F.concat(F.array(F.lit(0).cast("long")), F.col("l.x")).alias("x"), F.col("l.k").alias("k"))
     o = common.save(o.withColumn("at", F.monotonically_increasing_id()), "numbered")  # the partition above 33 bits, the row below
     common.drop(d)
     shard = F.shiftright("at", 33)
@@ -43,70 +58,28 @@ def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
     sizes = sizes.select("shard", F.coalesce(F.sum("count").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     # One row per partition of the table.
     out = o.withColumn("shard", shard).join(F.broadcast(sizes), "shard").withColumn("row", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    out = out.select("row", "doc_id", "version", "h", "n")
+    out = out.select("row", "doc_id", "version", "h", "x", "k")
     out.saved_path = o.saved_path
     return out
 
 
-def _turned(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by % 64 else x
-
-
-def _first_of(cases: list[tuple[Column, Column]]) -> Column:
-    out = F.when(*cases[0])
-    for c in cases[1:]:
-        out = out.when(*c)
-    return out
-
-
 def windows(d: DataFrame) -> DataFrame:
-    """row, from, to, print, code of the winnowing windows: from each line on and up to each line the fewest lines
-    that have LEAST characters. print: the window's minimum, the smallest hash of its lines, which is its
-    fingerprint; code: a rolling hash of all its lines.
+    """row, from, to, print, code of the winnowing windows, from each line on and up to each line the fewest lines that
+    have LEAST characters. print: the window's minimum, the smallest hash of its lines, which is its fingerprint;
+    code: a rolling hash of all its lines.
 
     A run of LEAST characters or more is the union of the windows in it, so it stands at another place just if
-    these do. Lines are exploded and read their neighbours from the document's arrays inside one generated
-    loop; only windows of more than FEW lines take a slice of the arrays along.
+    these do. Up to a line where no window from a line on ends, the window begins where the last of these does.
+    Lines are exploded and read their document's arrays inside one generated loop.
     """
-    x = d.select("row", "h", "n", F.posexplode("h").alias("pos", "own"))
-    near = x
-    for way, name in ((1, "f"), (-1, "b")):
-        near = near.withColumns({f"{name}s0": F.get("n", F.col("pos")), f"{name}c0": F.col("own"), f"{name}m0": F.col("own")})
-        for k in range(1, FEW):
-            h, n = (F.get(c, F.col("pos") + way * k) for c in ("h", "n"))
-            c = _turned(F.col(f"{name}c{k - 1}"), 1).bitwiseXOR(h) if way > 0 else F.col(f"{name}c{k - 1}").bitwiseXOR(_turned(h, k))
-            near = near.withColumns({f"{name}s{k}": F.col(f"{name}s{k - 1}") + n, f"{name}c{k}": c, f"{name}m{k}": F.least(f"{name}m{k - 1}", h)})
-
-    def window(name: str, way: int) -> Column:
-        def one(k: int) -> Column:
-            ends = (F.col("pos"), F.col("pos") + way * k)
-            return F.struct(ends[way < 0].alias("from"), ends[way > 0].alias("to"), F.col(f"{name}m{k}").alias("print"), F.xxhash64(F.col(f"{name}c{k}"), F.lit(k + 1)).alias("code"))
-
-        return _first_of([(F.col(f"{name}s{k}") >= LEAST, one(k)) for k in range(FEW)])
-
-    # One up to a line that would be too short without its last line is the one from its first line on.
-    new = _first_of([(F.col(f"bs{k}") >= LEAST, F.col(f"bs{k}") - F.col("bs0") >= LEAST) for k in range(FEW)])
-    few = near.select("row", F.explode(F.array(window("f", 1), F.when(new, window("b", -1)))).alias("w")).where("w is not null").select("row", "w.*")
-
-    def many(name: str, way: int) -> DataFrame:
-        """Those of more than FEW lines, from slices of the arrays in the order in which they grow."""
-        begin = F.greatest(F.col("pos") + 2 - LEAST, F.lit(1)) if way < 0 else F.col("pos") + 1
-        count = F.least(F.col("pos") + 1, F.lit(LEAST)) if way < 0 else F.lit(LEAST)
-        far = x.select("row", "pos", F.col("n"), F.col("h"), sum(F.get("n", F.col("pos") + way * k) for k in range(FEW)).alias("s")).where(F.col("s") < LEAST)
-        far = far.select("row", "pos", F.slice("n", begin, count).alias("ns"), F.slice("h", begin, count).alias("hs"))
-        if way < 0:
-            far = far.select("row", "pos", F.reverse("ns").alias("ns"), F.reverse("hs").alias("hs"))
-        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"))
-        far = far.withColumn("a", F.aggregate("ns", start, lambda a, n: F.when(a["s"] >= LEAST, a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["s"] + n).alias("s")))))
-        far = far.where(F.col("a.s") >= LEAST)
-        if way < 0:
-            far = far.where(F.col("a.s") - F.get("ns", F.lit(0)) >= LEAST)
-        own = F.slice("hs", F.lit(1), F.col("a.k"))
-        code = F.aggregate(own if way > 0 else F.reverse(own), F.lit(0).cast("long"), lambda c, h: _turned(c, 1).bitwiseXOR(h))
-        ends = (F.col("pos"), F.col("pos") + way * (F.col("a.k") - 1))
-        return far.select("row", ends[way < 0].alias("from"), ends[way > 0].alias("to"), F.array_min(own).alias("print"), F.xxhash64(code, F.col("a.k")).alias("code"))
-
-    return few.unionByName(many("f", 1)).unionByName(many("b", -1))
+    p = F.col("pos")
+    x = d.select("row", "h", "x", "k", F.posexplode("k").alias("pos", "own")).where("own > 0")
+    to, following = p + F.col("own") - 1, F.get("k", p + 1)
+    last = F.greatest(to, F.when(following > 0, p + following - 1).otherwise(F.size("h") - 1))
+    x = x.select("row", "h", "x", p.alias("from"), F.explode(F.sequence(to, last)).alias("to"))
+    count = F.col("to") - F.col("from") + 1
+    code = _turned(F.get("x", F.col("to") + 1).bitwiseXOR(F.get("x", F.col("from"))), -F.col("from"))
+    return x.select("row", "from", "to", F.array_min(F.slice("h", F.col("from") + 1, count)).alias("print"), F.xxhash64(code, count).alias("code"))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
