@@ -95,14 +95,34 @@ def words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key with more rows than HOT is salted in skew_join; the MOST with the most rows are, any other has less than a
+#: MOST-th of all rows.
+HOT, MOST, SALTS = 5_000, 10_000, 64
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys (inner or left), whatever share of left's rows one key has.
+
+    left should be a saved table, as it is read twice; right has few rows a key. The rows of hot keys, at most MOST
+    of them, are dealt to SALTS parts on the left and repeated for each part on the right.
+    """
+    rows = left.groupBy(*keys).agg(F.count("*").alias("rows_")).where(F.col("rows_") > HOT).orderBy(F.desc("rows_")).limit(MOST).collect()
+    if not rows:
+        return left.join(right, keys, how)
+    hot = left.sparkSession.createDataFrame(rows, left.select(*keys, F.lit(0).cast("long").alias("rows_")).schema).select(*keys, F.lit(True).alias("hot_"))
+    a = left.join(F.broadcast(hot), keys, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot_")
+    b = right.join(F.broadcast(hot), keys, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.when(F.col("hot_"), SALTS - 1).otherwise(0)))).drop("hot_")
+    return a.join(b, [*keys, "salt_"], how).drop("salt_")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges: columns u, v (orderable ids, either direction, loops and repeats allowed, nulls ignored).
     Returns id, component (the smallest id reachable) for every id that stands in an edge between two
-    different ids. Each round is two joins on node ids whose minimum is pre-aggregated per task, so a hub
-    with any number of edges never meets in one group; rounds are written to the shared folder. The number
-    of rounds grows with the logarithm of the longest chain.
+    different ids. Each round is two joins on node ids: minima are pre-aggregated per task and the edges of a hub
+    with many of them are salted; rounds are written to the shared folder. The number of rounds grows with the
+    logarithm of the longest chain.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = save(e, "cc")
@@ -110,7 +130,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = skew_join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

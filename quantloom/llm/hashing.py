@@ -61,6 +61,16 @@ def _hash(data: bytes, marks: bool) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(value, np.searchsorted(at, begin))), begin
 
 
+def parts(batch, column: int, most: int = 2 << 20) -> Iterator:
+    """The batch in slices of some `most` bytes of the texts in a column, so that what is computed from a slice stays small."""
+    sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(column).offset).astype(np.int64)) if batch.num_rows else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0))
+    edges = [0, *cut.tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def words(texts: list[str | None], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and how many each text has. Words are lower-cased (A-Z) runs of what
     isn't ASCII white space; with marks, runs of letters and digits or runs of other marks."""

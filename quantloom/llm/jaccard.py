@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, hashing
 
-#: Bits of the table of frequent n-grams that goes to every task: 512 KB at any input size.
-FREQUENT_BITS = 22
+#: Bits of the table of the most frequent n-grams, and how many of its buckets are in use at most: 2 MB at any input size.
+FREQUENT_BITS, FREQUENT = 24, 1 << 20
+#: n-grams that are counted at once in a task, and rows of the inverted index in one.
+COUNTED, POSTINGS = 4 << 20, 500_000
+#: Sets that a task remembers so as to send no copy of them.
+KNOWN = 1 << 19
 _NEED, _OF = 80, 100
 
 
@@ -24,9 +28,12 @@ def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
         yield hashing.shingles(h[e - n : e], width)
 
 
-def _signature(s: np.ndarray) -> int:
-    """Of a whole set; equal sets, equal signatures."""
-    return int(hashing.mixed(hashing.mixed(s + hashing.GOLDEN).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole set; equal sets, equal signatures."""
+    a = hashing.mixed(s + hashing.GOLDEN)
+    b = hashing.mixed(hashing.mixed(s ^ hashing.GOLDEN) * hashing.GOLDEN)
+    n = np.uint64(len(s))
+    return tuple(int(hashing.mixed(x.sum(keepdims=True) + n).view(np.int64)[0]) for x in (a, b))
 
 
 def least_shared(n):
@@ -34,229 +41,261 @@ def least_shared(n):
     return n // 20 + 1
 
 
-def _pairs(token: np.ndarray, sig: np.ndarray, n: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, size a, size b, shared tokens) of the sets that share a token; and which rows stand in groups larger than `small`.
+def _first(n: int) -> int:
+    """Length of the prefix of a set of n n-grams."""
+    return n - -(-_NEED * n // _OF) + least_shared(n)
+
+
+def _fits(a: Column, b: Column) -> Column:
+    return F.lit(_OF) * F.least(a, b) >= F.lit(_NEED) * F.greatest(a, b)
 
-    Such groups give no pairs here.
-    """
-    order = np.lexsort((sig, token))
-    token, sig, n = token[order], sig[order], n[order]
-    fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])))[: len(token)]
-    token, sig, n, order = token[fresh], sig[fresh], n[fresh], order[fresh]
-    begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))[: len(token)]
-    size = np.diff(np.append(begin, len(token)))
-    group = np.repeat(np.arange(len(begin)), size)
-    place = np.arange(len(token)) - begin[group]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for back in range(1, small):
-        k = np.flatnonzero((place >= back) & (size[group] <= small))
-        left.append(k - back)
-        right.append(k)
-    a, b = np.concatenate(left), np.concatenate(right)
-    fits = _OF * np.minimum(n[a], n[b]) >= _NEED * np.maximum(n[a], n[b])
-    a, b = a[fits], b[fits]
-    swap = sig[a] > sig[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    order_ab = np.lexsort((sig[b], sig[a]))
-    a, b = a[order_ab], b[order_ab]
-    new = np.flatnonzero(np.concatenate(([True], (sig[a][1:] != sig[a][:-1]) | (sig[b][1:] != sig[b][:-1])))[: len(a)])
-    return sig[a[new]], sig[b[new]], n[a[new]], n[b[new]], np.diff(np.append(new, len(a))), order[size[group] > small]
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, sig, n, late) in the order of token and sig those whose token is late or stands in another set
+    too, each once; only the last row of a batch is held."""
+    held, out = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        token, sig = cols[:2]
+        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])))
+        cols = [c[fresh] for c in cols]
+        token = cols[0]
+        change = token[1:] != token[:-1]
+        first = np.concatenate(([True], change))
+        give = ~(first & np.concatenate((change, [True]))) | cols[3]
+        if out:
+            give[0] = False
+        held = [c[-1:] for c in cols]
+        out = bool(give[-1]) or (out and len(token) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in cols], ["token", "sig", "n", "late"])
 
 
 class Join:
     """Links between the sets of n-grams of documents whose Jaccard similarity is 0.8 or more.
 
-    Classes of equal sets count as one member throughout (their signature, 64 bits of the whole set). The
-    global order of n-grams puts those that are frequent in some task's documents after all others and is by
-    hash otherwise. Of two sets that link, each one's first n - ceil(0.8 n) + n // 20 + 1 n-grams in any such
-    order share n // 20 + 1 at least (n of the smaller set). So these prefixes are dealt out by n-gram, the
-    partial counts of every pair are summed, and pairs with fewer go, which are nearly all that only share a
-    passage. What stays is counted exactly: both sets are cut into `fragments` ranges of the order, each
-    range gives its partial overlap, and the partial overlaps are summed per pair.
-
-    A token that more than `small` sets share gives no pairs at first and counts as shared by any two of its
-    sets. Such groups are then taken hub by hub: the member with the most tokens of this kind, which is the
-    likeliest original of a family of copies, is compared with all members in other components, then the
-    next one, up to `hubs` times; members that still stand in different components after that are compared in full.
+    Classes of equal sets count as one member throughout. The global order of n-grams puts the most frequent ones
+    (a table of fixed size, by counts over all documents) after all others and is by hash otherwise. It is cut into
+    vertical fragments: of each set the part that falls to the front, its first n - ceil(0.8 n) + n // 20 + 1
+    n-grams, and `fragments` ranges of hashes.
+
+    Front fragment: any two sets that link share n // 20 + 1 of these n-grams at least (n of the smaller set), in
+    whatever order. Each range of n-grams is dealt to a task of its own as an inverted index; what only one set
+    holds goes at once, then sets with too few shared n-grams, and n-grams that only one of the other sets
+    holds. Partial overlaps of pairs are counted n-gram by n-gram and summed per pair, and pairs with too few go.
+
+    Ranges: for pairs that are left, each range gives its partial overlap, and their sum over all ranges decides
+    exactly.
+
+    An n-gram that more than `small` sets share gives no pairs at first and counts as shared by any two of its
+    sets. Such groups are taken hub by hub: the member with the most shared n-grams is compared with all
+    members in other components, then in each round `hubs`, 4 `hubs`, 16 `hubs`, ... further members at once, until
+    all members of a group stand in one component or each has been a hub. So a family of copies costs one pair
+    a member, and no link is lost in a group that isn't one.
     """
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, small: int = 4, fragments: int = 8, hubs: int = 4):
-        self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        self.width, self.small, self.fragments, self.hubs = width, small, fragments, hubs
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, small: int = 4, fragments: int = 8, hubs: int = 1):
+        self.docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+        self.width, self.small, self.fragments, self.hubs = width, small, fragments, max(1, hubs)
         self.kind = self.docs.schema["doc_id"].dataType.simpleString()
 
     def members(self) -> DataFrame:
-        """doc_id, n_shingles, sig of every document; sig is null for an empty set."""
+        """doc_id, version (hash of the text), n_shingles, sig and more (the signature's halves; null for an empty set) of every document."""
         width, kind = self.width, self.kind
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(len(s), _signature(s) if len(s) else None) for s in _sets(batch.column(1).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "n_shingles", "sig"])
+            for batch in (p for b in batches for p in hashing.parts(b, 2)):
+                rows = [(len(s), *(_signature(s) if len(s) else (None, None))) for s in _sets(batch.column(2).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["doc_id", "version", "n_shingles", "sig", "more"])
 
-        return common.save(self.docs.mapInArrow(sign, f"doc_id {kind}, n_shingles long, sig long"), "members")
+        return common.save(self.docs.mapInArrow(sign, f"doc_id {kind}, version long, n_shingles long, sig long, more long"), "members")
 
     def frequent(self, least: int = 4) -> np.ndarray:
-        """A bit for each bucket of n-grams that `least` different sets of one task's documents share."""
+        """A bit for each bucket of the n-grams that are the most frequent ones. Counted are those that `least` different
+        sets share among COUNTED n-grams of a task; the FREQUENT buckets with the largest counts stay."""
         width, shift = self.width, np.uint64(64 - FREQUENT_BITS)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: set[int] = set()
-            held = []
-            for batch in batches:
+            held: dict[int, np.ndarray] = {}
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                token, uses = np.unique(np.concatenate(list(held.values())), return_counts=True)
+                many = uses >= least
+                return pa.RecordBatch.from_arrays([pa.array((token[many] >> shift).astype(np.int64)), pa.array(uses[many].astype(np.int64))], ["bucket", "uses"])
+
+            for batch in (p for b in batches for p in hashing.parts(b, 0)):
                 for s in _sets(batch.column(0).to_pylist(), width):
-                    if len(s) and (g := _signature(s)) not in known:
-                        known.add(g)
-                        held.append(s)
+                    if len(s) and held.setdefault(_signature(s)[0], s) is s:
+                        size += len(s)
+                if size >= COUNTED:
+                    yield flush()
+                    held, size = {}, 0
             if held:
-                every = np.sort(np.concatenate(held))
-                many = every[least - 1 :][every[least - 1 :] == every[: len(every) - least + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(many >> shift).astype(np.int64))], ["bucket"])
-
+                yield flush()
+
+        counts = common.save(self.docs.select("text").mapInArrow(count, "bucket long, uses long").groupBy("bucket").agg(F.sum("uses").alias("uses")), "frequent")
+        level = F.floor(F.log2("uses") * 8).cast("int")
+        left, cut = FREQUENT, 0
+        for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # a row per eighth of a power of two
+            left -= r["count"]
+            if left < 0:
+                cut = r.level + 1
+                break
+        rows = counts.where(level >= cut).select("bucket").toPandas()  # at most FREQUENT numbers
+        common.drop(counts)
         bits = np.zeros(1 << FREQUENT_BITS, bool)
-        rows = self.docs.select("text").mapInArrow(count, "bucket long").distinct().toPandas()  # at most 2 ** FREQUENT_BITS numbers
         bits[rows["bucket"].to_numpy(np.int64)] = True
         return np.packbits(bits)
 
-    def prefixes(self, frequent: np.ndarray) -> DataFrame:
-        """token, sig, n: the prefix of each set in the global order."""
+    def front(self, members: DataFrame, frequent: np.ndarray) -> DataFrame:
+        """token, sig, n, late (is a frequent one): the n-grams of the front fragment that can be shared, for each set that holds them."""
         width, shift = self.width, np.uint64(64 - FREQUENT_BITS)
+        sent = self.docs.sparkSession.sparkContext.broadcast(frequent)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(frequent).astype(bool)
-            for batch in batches:
-                tokens, sigs, sizes = [], [], []
+            bits, known = np.unpackbits(sent.value).astype(bool), set()
+            for batch in (p for b in batches for p in hashing.parts(b, 0)):
+                rows = []
                 for s in _sets(batch.column(0).to_pylist(), width):
                     n = len(s)
-                    if n:
-                        late = bits[s >> shift]
-                        first = n - -(-_NEED * n // _OF) + least_shared(n)
-                        tokens.append(np.concatenate([s[~late], s[late]])[:first] if late.any() else s[:first])
-                        sigs.append(_signature(s))
-                        sizes.append(n)
-                if tokens:
-                    k = [len(t) for t in tokens]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), k)), pa.array(np.repeat(np.array(sizes, np.int32), k))], ["token", "sig", "n"])
-
-        return self.docs.select("text").mapInArrow(cut, "token long, sig long, n int")
-
-    def candidates(self, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        """Pairs (a, b, na, nb, shared), a < b, with the prefix tokens they share in small groups; and the rows
-        (token, sig, n, m) of large groups, m being the number of such rows of the set."""
-        small = self.small
-
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-            if t is None or not t.num_rows:
-                return
-            token, sig, n = (t.column(k).to_numpy() for k in ("token", "sig", "n"))
-            a, b, na, nb, shared, large = _pairs(token, sig, n, small)
-            m = len(large)
-            cols = [pa.array(np.concatenate([a, sig[large]])), pa.array(np.concatenate([b, np.zeros(m, np.int64)])), pa.array(np.concatenate([na, n[large]]).astype(np.int32)), pa.array(np.concatenate([nb, np.zeros(m, np.int32)]).astype(np.int32)), pa.array(np.concatenate([shared, token[large]])), pa.array(np.concatenate([np.zeros(len(a), bool), np.ones(m, bool)]))]
-            whole = pa.RecordBatch.from_arrays(cols, ["a", "b", "na", "nb", "x", "large"])
-            for at in range(0, whole.num_rows, 100_000):
-                yield whole.slice(at, 100_000)
-
-        both = common.save(self.prefixes(frequent).repartition("token").mapInArrow(match, "a long, b long, na int, nb int, x long, large boolean"), "candidates")
-        pairs = both.where("not large").groupBy("a", "b", "na", "nb").agg(F.sum("x").alias("shared"))
-        large = both.where("large").select(F.col("x").alias("token"), F.col("a").alias("sig"), F.col("na").alias("n"))
-        many = large.groupBy("sig").agg(F.count("*").alias("m"))
-        return pairs, large.join(many, "sig").select("token", "sig", "n", "m")
+                    if not n or (g := _signature(s)[0]) in known:  # copies in other tasks are dropped later
+                        continue
+                    if len(known) < KNOWN:
+                        known.add(g)
+                    late = bits[s >> shift]
+                    first = _first(n)
+                    k = first - min(first, n - int(late.sum()))
+                    rows.append((np.concatenate([s[~late][:first], s[late][:k]]) if late.any() else s[:first], g, n, k))
+                if rows:
+                    token, sig, n, k = zip(*rows, strict=True)
+                    size = np.array([len(t) for t in token])
+                    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    late = place >= np.repeat(size - np.array(k), size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(sig, np.int64), size)), pa.array(np.repeat(np.array(n, np.int32), size)), pa.array(late)], ["token", "sig", "n", "late"])
+
+        total = members.agg(F.sum(F.col("n_shingles") * 0.25 + 1)).first()[0] or 0
+        salt = F.when(F.col("late"), F.pmod("sig", F.lit(common.SALTS))).otherwise(0)
+        d = self.docs.select("text").mapInArrow(cut, "token long, sig long, n int, late boolean")
+        d = d.repartition(int(total) // POSTINGS + 1, "token", salt).sortWithinPartitions("token", "sig").mapInArrow(_shared, "token long, sig long, n int, late boolean")
+        d = common.save(d, "front")
+        rows = common.save(self.busy(d), "busy")
+        # n-grams that only one of the sets that are left holds; late ones count as shared
+        more = rows.where("not late").groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+        kept = rows.where("not late").join(more, "token").unionByName(rows.where("late").withColumn("size", F.lit(None).cast("long")))
+        kept = common.save(kept, "kept")
+        out = common.save(self.busy(kept), "busy")
+        for t in (d, rows, kept):
+            common.drop(t)
+        return out
 
     @staticmethod
-    def enough(pairs: DataFrame, large: DataFrame) -> DataFrame:
-        """The pairs that can link by what they share, tokens of large groups counted in their favour."""
-        more = large.groupBy("sig").agg(F.first("m").alias("m"))
-        p = pairs.join(more.select(F.col("sig").alias("a"), F.col("m").alias("ma")), "a", "left").join(more.select(F.col("sig").alias("b"), F.col("m").alias("mb")), "b", "left")
-        held = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-        return p.where(F.col("shared") + held > F.floor(F.least("na", "nb") / 20)).select("a", "b", "na", "nb")
-
-    def fragments_of(self, sigs: DataFrame) -> DataFrame:
-        """sig, fragment, tokens of the sets that `sigs` (a column sig) names, and of a few more whose signatures begin like theirs."""
-        width, top, kind = self.width, np.uint64(64 - (self.fragments - 1).bit_length()), "sig long, fragment int, tokens array<long>"
-        rows = sigs.select(F.shiftrightunsigned("sig", 64 - FREQUENT_BITS).alias("k")).distinct().toPandas()  # at most 2 ** FREQUENT_BITS numbers
-        wanted = np.zeros(1 << FREQUENT_BITS, bool)
-        wanted[rows["k"].to_numpy(np.int64)] = True
-        packed = np.packbits(wanted)
+    def busy(rows: DataFrame) -> DataFrame:
+        """The rows of sets that share as many n-grams of the front fragment as a link takes, with that number, m. A linked set has 0.8 n at least."""
+        enough = rows.groupBy("sig").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") > F.floor(F.col("n") / 25)).select("sig", "m")
+        return rows.drop("m").join(enough, "sig")
+
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b), a < b, of sets that can link by what they share in the front fragment."""
+        few = rows.where(F.col("size") <= self.small).groupBy("token").agg(F.collect_list(F.struct("sig", "n")).alias("g"))  # at most `small` sets
+        p = few.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).where((F.col("x.sig") < F.col("y.sig")) & _fits(F.col("x.n"), F.col("y.n")))
+        pairs = p.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.least("x.n", "y.n").alias("n")).agg(F.count("*").alias("shared"))
+        held = self.large(rows).groupBy("sig").agg(F.count("*").alias("held"))
+        for side in "ab":
+            pairs = pairs.join(held.select(F.col("sig").alias(side), F.col("held").alias(f"held_{side}")), side, "left")
+        may = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
+        return pairs.where(F.col("shared") + may > F.floor(F.col("n") / 20)).select("a", "b")
+
+    def large(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("size").isNull() | (F.col("size") > self.small))
+
+    def sets(self, members: DataFrame, sigs: DataFrame) -> DataFrame:
+        """sig, more, n, fragment, tokens (a range's n-grams) of the sets that `sigs` names, from one document each."""
+        width, top = self.width, np.uint64(64 - (self.fragments - 1).bit_length())
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, known = np.unpackbits(packed).astype(bool), set()
-            for batch in batches:
+            for batch in (p for b in batches for p in hashing.parts(b, 0)):
                 out = []
                 for s in _sets(batch.column(0).to_pylist(), width):
-                    if len(s) and bits[(g := _signature(s)) % (1 << 64) >> (64 - FREQUENT_BITS)] and g not in known:
-                        known.add(g)
-                        part = s >> top
-                        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                        out += [(g, int(part[e]), t) for e, t in zip(edge.tolist(), np.split(s.view(np.int64), edge[1:]), strict=True)]
+                    part = s >> top
+                    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    g = _signature(s)
+                    out += [(*g, len(s), int(part[e]), t) for e, t in zip(edge.tolist(), np.split(s.view(np.int64), edge[1:]), strict=True)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["sig", "fragment", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["sig", "more", "n", "fragment", "tokens"])
 
-        sets = self.docs.select("text").mapInArrow(cut, kind)
-        return sets.dropDuplicates(["sig", "fragment"])  # copies in different tasks
+        one = members.join(sigs, "sig", "left_semi").groupBy("sig", "more").agg(F.min(F.struct("doc_id", "version")).alias("one")).select(F.col("one.doc_id").alias("i"), F.col("one.version").alias("v"))
+        d = self.docs.join(one, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v"))).dropDuplicates(["doc_id", "version"])
+        return common.save(d.select("text").mapInArrow(cut, "sig long, more long, n int, fragment int, tokens array<long>"), "sets")
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of the pairs (a, b, na, nb) those with 100 * intersection >= 80 * union."""
-        x = pairs.join(sets.select(F.col("sig").alias("a"), "fragment", F.col("tokens").alias("ta")), "a")
-        x = x.join(sets.select(F.col("sig").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
-        partial = x.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-        shared = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-        return shared.where(F.lit(_OF) * F.col("shared") >= F.lit(_NEED) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
-
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, sig, component_sig of every document (equal sets share a sig; null for empty sets)."""
-        members = self.members()
-        counted, large = self.candidates(self.frequent())
-        counted, large = common.save(counted, "counted"), common.save(large, "large")
-        pairs = common.save(self.enough(counted, large), "pairs")
-        sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct()
-        sets = common.save(self.fragments_of(common.save(sigs, "sigs")), "sets")
-        found, done, last = self.grouped(self.links(pairs, sets)), pairs.select("a", "b"), None
-        for turn in range(self.hubs + 1):
-            group = self.open_groups(large, found)
-            if group.isEmpty():
+    @staticmethod
+    def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """u, v (structs of sig and more): of the pairs (a, b) those with 100 * intersection >= 80 * union."""
+        x = common.skew_join(pairs, sets.select(F.col("sig").alias("a"), F.struct("sig", "more").alias("u"), F.col("n").alias("na"), "fragment", F.col("tokens").alias("ta")), ["a"])
+        x = x.join(sets.select(F.col("sig").alias("b"), F.struct("sig", "more").alias("v"), F.col("n").alias("nb"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
+        partial = x.select("u", "v", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
+        shared = partial.groupBy("u", "v", "na", "nb").agg(F.sum("shared").alias("shared"))
+        return shared.where(F.lit(_OF) * F.col("shared") >= F.lit(_NEED) * (F.col("na") + F.col("nb") - F.col("shared"))).select("u", "v")
+
+    def linked(self, members: DataFrame) -> DataFrame:
+        """id, component (both structs of sig and more) of each set that links with another one."""
+        rows = self.front(members, self.frequent())
+        pairs = common.save(self.candidates(rows), "pairs")
+        large = common.save(self.large(rows).select("token", "sig", "n", "m"), "large")
+        sets = self.sets(members, pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct())
+        common.drop(rows)
+        found, used, turn = self.grouped(self.links(pairs, sets)), None, 0
+        while True:
+            group = large.join(found.select(F.col("id.sig").alias("sig"), F.col("component.sig").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+            group = common.save(group, "group")
+            hubs, used = self.next_hubs(group, used, self.hubs << 2 * turn if turn else self.hubs)
+            if hubs.isEmpty():
                 break
-            if turn < self.hubs:
-                more, last = self.hub_pairs(group, last)
-            else:
-                more = self.all_pairs(group, counted)
-            more = common.save(more.join(done, ["a", "b"], "left_anti"), "pairs")
-            known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            found, done = self.grouped(self.links(more, sets).unionByName(known)), done.unionByName(more.select("a", "b"))
-        return members.join(found.select(F.col("id").alias("sig"), F.col("component").alias("component_sig")), "sig", "left").withColumn("component_sig", F.coalesce("component_sig", "sig"))
+            p = common.skew_join(group, hubs, ["token"]).where((F.col("label") != F.col("hub.label")) & _fits(F.col("n"), F.col("hub.n")))
+            p = p.where(F.least("m", "hub.m") > F.floor(F.least("n", "hub.n") / 20))
+            p = p.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+            more = common.save(p, "pairs")
+            known = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
+            last, found = found, self.grouped(self.links(more, sets).unionByName(known))
+            pairs = common.save(pairs.unionByName(more), "pairs")
+            for t in (last, group, more):
+                common.drop(t)
+            turn += 1
+        for t in (group, large, pairs, sets):
+            common.drop(t)
+        return found
 
     @staticmethod
     def grouped(links: DataFrame) -> DataFrame:
-        return common.save(common.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "component")
+        return common.save(common.components(links), "component")
 
     @staticmethod
-    def open_groups(large: DataFrame, found: DataFrame) -> DataFrame:
-        """The large groups whose members stand in more than one component, with these."""
-        g = large.join(found.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        open_ = g.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return common.save(g.join(open_, "token", "left_semi"), "open")
-
-    @staticmethod
-    def hub_pairs(group: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Each group's next hub (most tokens, then largest signature) with its members in other components; and the hubs."""
-        rank = F.struct("m", "sig")
-        g = group
-        if last is not None:
-            g = g.join(last, "token", "left").where(F.col("hub").isNull() | (rank < F.struct("hub.m", "hub.sig")))
-        hubs = common.save(g.groupBy("token").agg(F.max(F.struct("m", "sig", "n", "component")).alias("hub")), "hubs")
-        p = group.join(hubs, "token").where(F.col("component") != F.col("hub.component"))
-        p = p.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b"), F.when(F.col("sig") < F.col("hub.sig"), F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(F.col("sig") < F.col("hub.sig"), F.col("hub.n")).otherwise(F.col("n")).alias("nb"))
-        return p.where(F.lit(_OF) * F.least("na", "nb") >= F.lit(_NEED) * F.greatest("na", "nb")).distinct(), hubs
-
-    @staticmethod
-    def all_pairs(group: DataFrame, counted: DataFrame) -> DataFrame:
-        """Pairs of members in different components that share enough."""
-        x = group.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        y = group.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        near = (F.lit(_OF) * F.least("na", "nb") >= F.lit(_NEED) * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        p = x.join(y, "token").where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("more"))
-        p = p.join(counted.select("a", "b", "shared"), ["a", "b"], "left")
-        return p.where(F.col("more") + F.coalesce("shared", F.lit(0)) > F.floor(F.least("na", "nb") / 20)).select("a", "b", "na", "nb")
+    def next_hubs(group: DataFrame, used: DataFrame | None, count: int) -> tuple[DataFrame, DataFrame]:
+        """token, hub: up to `count` members of each n-gram's group in more than one component that weren't hubs, those with the most shared n-grams
+        of a share of the members each; and token, sig of all hubs so far."""
+        open_ = group.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        g = group if used is None else group.join(used, ["token", "sig"], "left_anti")
+        best = g.groupBy("token", F.pmod(F.xxhash64("sig"), F.lit(count)).alias("share")).agg(F.max(F.struct("m", "sig", "n", "label")).alias("hub"))
+        hubs = common.save(best.join(open_, "token", "left_semi").select("token", "hub"), "hubs")
+        new = hubs.select("token", F.col("hub.sig").alias("sig"))
+        return hubs, new if used is None else used.unionByName(new)
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """members(), and sig, more, low_id, low_version of each set that several documents have or that links: the first document of its component."""
+        members = self.members()
+        found = self.linked(members)
+        own = members.where("sig is not null").groupBy("sig", "more").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "version")).alias("one"))
+        c = own.join(found.select("id.sig", "id.more", "component"), ["sig", "more"], "left").where("copies > 1 or component is not null")
+        c = common.save(c.withColumn("component", F.coalesce("component", F.struct("sig", "more"))), "classes")
+        low = c.groupBy("component").agg(F.min("low").alias("low_id"), F.min(F.when(F.col("one.doc_id").isNotNull(), F.col("one"))).alias("first"))
+        ids = common.skew_join(c, low, ["component"]).select("sig", "more", "low_id", F.col("first.version").alias("low_version"))
+        out = common.save(ids, "ids")
+        for t in (found, c):
+            common.drop(t)
+        return members, out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -265,22 +304,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     A document's set: distinct runs of five words (lower-cased A-Z, split at ASCII white space); the whole
     sequence where it has fewer words. Links at Jaccard 0.8 or more, compared in whole numbers; component_id is
     the smallest doc_id reachable. Documents without words, null texts included, link with nothing and have
-    their own id. Repeated rows come back as often as they stand in the input. n-grams and sets are compared
-    by 64-bit hashes. An empty table gives no rows; other columns are not looked at.
+    their own id. Repeated rows come back as often as they stand in the input. n-grams are compared by 64-bit
+    hashes, whole sets by 128 bits. An empty table gives no rows; other columns are not looked at.
     """
-    d = Join(docs, key, text, **options).run()
-    low = d.where("sig is not null").groupBy("component_sig").agg(F.min("doc_id").alias("component_id"))
-    return d.join(low, "component_sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    members, ids = Join(docs, key, text, **options).run()
+    d = common.skew_join(members, ids, ["sig", "more"], "left")
+    return d.select("doc_id", "n_shingles", F.coalesce("low_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id (and one row of it), with all columns.
 
-    Documents with a null id can't be told apart and all stay.
+    Different texts under one id are documents of their own. Documents with a null id can't be told apart and all
+    stay. Other columns are kept whatever their names are.
     """
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("id"), F.xxhash64(text).alias("of"))
     named = docs.where(F.col(key).isNotNull())
-    first = near_duplicates(named, key, text).where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return named.join(first, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    members, ids = Join(named, key, text).run()
+    m = common.skew_join(members, ids, ["sig", "more"], "left")
+    first = m.where(F.col("low_version").isNull() | ((F.col("low_id") == F.col("doc_id")) & (F.col("low_version") == F.col("version"))))
+    first = common.save(first.select(F.col("doc_id").alias("id"), F.col("version").alias("of")).distinct(), "kept")
+    one = d.where(F.col("id").isNotNull()).join(first, ["id", "of"], "left_semi").dropDuplicates(["id", "of"])
+    return one.unionByName(d.where(F.col("id").isNull())).select("doc.*")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
