@@ -17,6 +17,8 @@ from . import common, hashing
 WINDOW, STRIDE = 48, 32
 #: Sizes: word embedding, character embedding, hidden state of each direction; buckets of character n-grams.
 WORD_DIM, CHAR_DIM, HIDDEN, GRAMS = 8, 12, 8, 16384
+#: Windows that are scored at once.
+ROWS = 512
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
@@ -25,13 +27,17 @@ def tokens_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's character n-grams of 3 and 5 characters, with its ends marked."""
-    b = np.frombuffer(f"\x02{word[:32]}\x03".encode("utf-32-le"), "<u4").astype(np.uint64)
-    h = (b[:-2] * hashing.GOLDEN + b[1:-1]) * hashing.GOLDEN + b[2:]
-    if len(b) > 4:
-        h = np.concatenate([h, ((h[:-2] * hashing.GOLDEN + b[3:-1]) * hashing.GOLDEN + b[4:])])
-    return (hashing.mixed(h) % np.uint64(GRAMS)).astype(np.int64).tolist()
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word's character n-grams of 3 and 5 characters, with its ends marked, and how many each word has."""
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    b = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    end = np.cumsum(size)
+    left = np.repeat(end, size) - np.arange(len(b))  # characters from here to the word's end
+    three = (b[:-2] * hashing.GOLDEN + b[1:-1]) * hashing.GOLDEN + b[2:]
+    five = (three[:-2] * hashing.GOLDEN + b[3:-1]) * hashing.GOLDEN + b[4:]
+    both = np.stack([three, np.concatenate([five, np.zeros(min(2, len(three)), np.uint64)])], axis=1)
+    real = np.stack([left[:-2] >= 3, left[:-2] >= 5], axis=1)
+    return (hashing.mixed(both[real]) % np.uint64(GRAMS)).astype(np.int64), np.maximum(size - 2, 0) + np.maximum(size - 4, 0)
 
 
 @dataclass
@@ -124,7 +130,8 @@ def fit(texts: list[str], toxic: list[int], vocabulary_size: int = 1000, rounds:
             seen[t] = seen.get(t, 0) + 1
     known = sorted((t for t, n in seen.items() if n >= 5), key=lambda t: (-seen[t], t))[:vocabulary_size]
     m = start({t: k for k, t in enumerate(known, 1)}, seed)
-    parts = {t: grams(t) for t in seen}
+    g, n = grams(list(seen)) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    parts = dict(zip(seen, np.split(g, np.cumsum(n)[:-1]), strict=True)) if seen else {}
     rng = np.random.default_rng(seed)
     w = m.w
     state = ({k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, [0])
@@ -172,7 +179,7 @@ def _step(m: Model, rows: list[list[str]], y: np.ndarray, weight: np.ndarray, pa
     ids = np.array([m.vocabulary.get(t, 0) for t in words], np.int64)
     ids[rng.random(len(ids)) < blind] = 0
     lengths = np.array([len(parts[t]) for t in words], np.int64)
-    g = np.array([x for t in words for x in parts[t]], np.int64)
+    g = np.concatenate([np.zeros(0, np.int64), *(parts[t] for t in words)])
     owner = np.repeat(np.arange(len(words)), lengths)
     root = np.sqrt(lengths).astype(np.float32)
     emb = np.zeros((len(words) + 1, WORD_DIM + CHAR_DIM), np.float32)  # the last row stands for no word
@@ -234,11 +241,10 @@ class Scorer:
 
     def _learn(self, new: list[str]) -> None:
         w = self.m.w
-        own = [grams(t) for t in new]
-        n = np.array([len(g) for g in own])
+        own, n = grams(new)
         emb = np.zeros((len(new), WORD_DIM + CHAR_DIM), np.float32)
         emb[:, :WORD_DIM] = w["word"][[self.m.vocabulary.get(t, 0) for t in new]]
-        emb[:, WORD_DIM:] = np.add.reduceat(w["char"][np.concatenate(own)], np.concatenate([[0], np.cumsum(n)[:-1]])) / np.sqrt(n)[:, None]
+        emb[:, WORD_DIM:] = np.add.reduceat(w["char"][own], np.cumsum(n) - n) / np.sqrt(n)[:, None]
         first = len(self.rows)
         self.rows = np.concatenate([self.rows, emb @ self.project + self.bias])
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
@@ -259,15 +265,17 @@ class Scorer:
         doc = np.repeat(np.arange(len(docs)), windows)
         place = (np.arange(len(doc)) - begin[doc]) * STRIDE
         size = np.minimum(WINDOW, count[doc] - place)
-        logit = np.empty(len(doc), np.float32)
         padded = np.concatenate([ids, np.zeros(WINDOW, np.int32)])
         step = np.arange(WINDOW)[:, None]
-        for at in range(0, len(doc), 1024):
-            k = slice(at, at + 1024)
-            real = step < size[k]
-            x = self.rows[np.where(real, padded[np.minimum(first[doc[k]] + place[k] + step, len(padded) - 1)], 0)]
+        start = first[doc] + place
+        full = -len(doc) % ROWS  # rows without words, so that all products have one shape and equal windows equal sums
+        size, start = np.concatenate([size, np.zeros(full, np.int64)]), np.concatenate([start, np.zeros(full, np.int64)])
+        logit = np.empty(len(size), np.float32)
+        for at in range(0, len(size), ROWS):
+            k = slice(at, at + ROWS)
+            x = self.rows[np.where(step < size[k], padded[np.minimum(start[k] + step, len(padded) - 1)], 0)]
             logit[k] = forward(self.m.w, x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], step < np.maximum(size[k], 1))[0]
-        return logit, begin
+        return logit[: len(doc)], begin
 
     def highest(self, texts: list[str]) -> np.ndarray:
         logit, begin = self.windows(texts)
@@ -278,17 +286,19 @@ class Scorer:
         return sigmoid(a * self.highest(texts).astype(float) + b)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, words: int = 400, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, **options) -> Model:
     """A model from the labelled rows of docs. labels: doc_id, toxic (0 or 1).
 
-    At most `sample` labelled rows, chosen by a hash of their id, and `words` words of each are fetched to the
-    driver, whatever the size of the tables; up to half of the sample is toxic.
+    At most `sample` labelled rows, chosen by a hash of their id, are fetched to the driver with their whole texts,
+    whatever the size of the tables; up to half of the sample is toxic. An id's label is the highest of its rows;
+    rows without a label are left out. Of rows with the same id one is taken. Ties of the hash go by id. Without
+    labels the model is one that wasn't trained.
     """
     pick = F.md5(F.concat(F.lit("tox:"), F.col("doc_id").cast("string")))
     l = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = l.where("toxic = 1").orderBy(pick).limit(sample // 2).unionByName(l.where("toxic = 0").orderBy(pick).limit(sample // 2))
+    some = l.where("toxic = 1").orderBy(pick, "doc_id").limit(sample // 2).unionByName(l.where("toxic = 0").orderBy(pick, "doc_id").limit(sample // 2))
     got = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
-    got = got.select("doc_id", "toxic", F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, words), " ").alias("text")).dropDuplicates(["doc_id"])
+    got = got.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
     rows = sorted(got.collect(), key=lambda r: str(r.doc_id))
     return fit([r.text for r in rows], [int(r.toxic) for r in rows], **options)
 
@@ -296,16 +306,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score of every document: all overlapping windows of the whole text are scored, the highest counts.
 
-    Null and empty texts are one window without words. Equal texts get equal scores up to the last digits of
-    single precision. An empty table gives no rows; columns other than key and text are not looked at.
+    Null and empty texts are one window without words. Equal texts get equal scores, in repeated rows too: windows
+    are computed in products of one shape. An empty table gives no rows; columns other than key and text are not looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for b in hashing.parts(batch, 1):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores([t or "" for t in b.column(1).to_pylist()]))], ["doc_id", "score"])
 
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
