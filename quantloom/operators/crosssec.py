@@ -46,8 +46,14 @@ def turnover(picks: DataFrame, date: str, name: str) -> DataFrame:
 
 
 def expanding_mean_by_year(monthly: DataFrame, date: str, keys: list[str], value: str, least: int = 24) -> DataFrame:
-    """For each year the mean of the values of the months before it, if there are `least`."""
-    y = monthly.withColumn("year", F.year(date)).groupBy(*keys, "year").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    """For each year, up to the one after the last, the mean of the values of the months that are known before it, if there are `least`.
+
+    date is a month end; the return that a value measures ends a month later, and only then is the value known.
+    """
+    span = monthly.groupBy(*keys).agg(F.min(F.year(date)).alias("_a"), F.max(F.year(date)).alias("_b"))
+    years = span.select(*keys, F.explode(F.sequence("_a", F.col("_b") + 1)).alias("year"))
+    known = F.year(F.last_day(F.add_months(date, 1)))
+    y = monthly.groupBy(*keys, known.alias("year")).agg(F.sum(value).alias("_s"), F.count(value).alias("_v"), F.count("*").alias("_n"))
     w = W.partitionBy(*keys).orderBy("year").rowsBetween(W.unboundedPreceding, -1)
-    y = y.withColumns({"_cs": F.sum("_s").over(w), "months": F.coalesce(F.sum("_n").over(w), F.lit(0))})
-    return y.where(F.col("months") >= least).select(*keys, "year", "months", (F.col("_cs") / F.col("months")).alias("weight"))
+    y = years.join(y, [*keys, "year"], "left").withColumns({"_cs": F.sum("_s").over(w), "_cv": F.sum("_v").over(w), "months": F.coalesce(F.sum("_n").over(w), F.lit(0))})
+    return y.where(F.col("months") >= least).select(*keys, "year", "months", F.try_divide("_cs", "_cv").alias("weight"))

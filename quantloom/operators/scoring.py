@@ -59,8 +59,8 @@ def class_of(score: Column) -> Column:
     return F.when(score >= 8, "high").when(score >= 6, "good").when(score >= 5, "fair").otherwise("low")
 
 
-def nearest(df: DataFrame, keys: list[str], age: str, value: str, target: float, within: float) -> DataFrame:
-    """The value whose age is nearest to the target, at most `within` away; the earlier one on ties."""
+def nearest(df: DataFrame, keys: list[str], age: str, value: str, target: float, within: float, tie: str | None = None) -> DataFrame:
+    """The value whose age is nearest to the target, at most `within` away; of equally near ones the smaller age, then the smaller `tie`."""
     d = df.withColumn("_d", F.abs(F.col(age) - target)).where(F.col("_d") <= within)
-    w = W.partitionBy(*keys).orderBy("_d", age)
+    w = W.partitionBy(*keys).orderBy("_d", age, *([tie] if tie else []))
     return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*keys, value)

@@ -49,16 +49,27 @@ def t_threshold(tests: int, base: float = 2.0) -> float:
     return n.inv_cdf(1 - (1 - n.cdf(base)) / max(1, tests))
 
 
-def gate(m: DataFrame, tests: int, sharpe: float = 1.5, worst: float = -0.15) -> DataFrame:
-    """Whether each row of metrics passes; a missing value fails."""
-    ok = (F.col("sharpe") > sharpe) & (F.col("max_drawdown") > worst) & (F.col("t_stat") > t_threshold(tests))
+def hit_rate(trades: DataFrame, key: str, pnl: str) -> DataFrame:
+    """trades and the share of them with a gain, of each key."""
+    return trades.groupBy(key).agg(F.count("*").alias("trades"), F.avg((F.col(pnl) > 0).cast("double")).alias("hit_rate"))
+
+
+def gate(m: DataFrame, tests: int, sharpe: float = 1.5, worst: float = -0.15, hits: float = 0.55) -> DataFrame:
+    """Whether each row of metrics with hit_rate passes; a missing value fails."""
+    ok = (F.col("sharpe") > sharpe) & (F.col("max_drawdown") > worst) & (F.col("hit_rate") > hits) & (F.col("t_stat") > t_threshold(tests))
     return m.withColumn("passes", F.coalesce(ok, F.lit(False)))
 
 
+def gate_v2(m: DataFrame, tests: int, sharpe: float = 1.5, worst: float = -0.20, factor: float = 1.5) -> DataFrame:
+    """As gate, by profit_factor instead of hit_rate and with a deeper drawdown allowed."""
+    ok = (F.col("sharpe") > sharpe) & (F.col("max_drawdown") > worst) & (F.col("profit_factor") > factor) & (F.col("t_stat") > t_threshold(tests))
+    return m.withColumn("passes_v2", F.coalesce(ok, F.lit(False)))
+
+
 def profit_factor(trades: DataFrame, key: str, pnl: str) -> DataFrame:
-    """Gains over losses of each key; NULL without a loss."""
+    """Gains over losses of each key; infinite without a loss."""
     gains, losses = F.sum(F.when(F.col(pnl) > 0, F.col(pnl)).otherwise(0.0)), F.sum(F.when(F.col(pnl) < 0, -F.col(pnl)).otherwise(0.0))
-    return trades.groupBy(key).agg(F.count("*").alias("trades"), F.try_divide(gains, losses).alias("profit_factor"))
+    return trades.groupBy(key).agg(F.count("*").alias("trades"), F.coalesce(F.try_divide(gains, losses), F.lit(float("inf"))).alias("profit_factor"))
 
 
 def reliability(df: DataFrame, p: str, up: str, edges: tuple[float, ...] = (0.0, 0.4, 0.45, 0.5, 0.55, 0.6, 1.0)) -> DataFrame:

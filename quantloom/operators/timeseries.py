@@ -112,8 +112,12 @@ def first_rank(df: DataFrame, partition: str, value: str, tie: str, name: str =
 
 
 def average_rank(df: DataFrame, partition: str | list[str], value: str, name: str = "rank", pct: bool = False) -> DataFrame:
-    """Average rank of equal values, lowest first, over non-null values; as a share of their number if pct."""
+    """Average rank of equal values, lowest first, over non-null values; as a share of their number if pct.
+
+    Ties are counted in the ordered window, so the ranks of any number of columns share one partitioning.
+    """
     keys = [partition] if isinstance(partition, str) else list(partition)
-    own = W.partitionBy(*keys, F.col(value).isNull())
-    rank = F.rank().over(own.orderBy(value)) + (F.count("*").over(W.partitionBy(*keys, value)) - 1) / 2
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), rank / F.count("*").over(own) if pct else rank.cast("double")))
+    own = W.partitionBy(*keys)
+    ordered = own.orderBy(F.col(value).asc_nulls_last())
+    rank = F.rank().over(ordered) + (F.count("*").over(ordered.rangeBetween(W.currentRow, W.currentRow)) - 1) / 2
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), rank / F.count(value).over(own) if pct else rank.cast("double")))

@@ -173,7 +173,7 @@ def j2(spark, d):
     return t("customer").select("c_custkey").join(o, "c_custkey", "left").join(e, "c_custkey", "left").fillna(0, ["orders", "events", "value"])
 
 
-PROBE = fr.FACTS + ", months AS (SELECT DISTINCT last_day(avail) AS month FROM facts), keys AS (SELECT DISTINCT key FROM facts WHERE key % 10 = 1), probe AS (SELECT key, month FROM keys CROSS JOIN months), best AS (SELECT key, avail, arg_max(value, ord) AS value FROM facts GROUP BY key, avail)"
+PROBE = fr.FACTS + ", months AS (SELECT DISTINCT last_day(avail) AS month FROM facts), keys AS (SELECT DISTINCT key FROM facts), probe AS (SELECT key, month FROM keys CROSS JOIN months), best AS (SELECT key, avail, arg_max(value, ord) AS value FROM facts GROUP BY key, avail)"
 
 
 def _probe(spark, d):
@@ -217,9 +217,9 @@ def j14(spark, d):
     return fr.table(spark, d, "customer").join(fr.table(spark, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("j15_anti", "c_custkey", "", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j15_anti", "c_custkey", "", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def j15(spark, d):
-    return fr.table(spark, d, "customer").join(fr.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return fr.table(spark, d, "customer").join(fr.table(spark, d, "orders").where("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("j16_common_index", "symbol date ~close", fr.DAILY, "SELECT symbol, date, close FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM daily) WHERE n = 5")
@@ -312,8 +312,8 @@ def t2(spark, d):
 
 @query("t4_nearest_to_target", "o_custkey ~o_totalprice", "", "SELECT o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(age - 90), age, o_orderkey) AS r FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS age FROM orders) WHERE abs(age - 90) <= 20) WHERE r = 1")
 def t4(spark, d):
-    o = fr.table(spark, d, "orders").withColumn("age", F.date_diff(F.lit("1998-01-01").cast("date"), F.to_date("o_orderdate")).cast("double") + F.col("o_orderkey") * 1e-9)
-    return sc.nearest(o, ["o_custkey"], "age", "o_totalprice", 90, 20.5).join(o.select("o_custkey").distinct(), "o_custkey")
+    o = fr.table(spark, d, "orders").withColumn("age", F.date_diff(F.lit("1998-01-01").cast("date"), F.to_date("o_orderdate")))
+    return sc.nearest(o, ["o_custkey"], "age", "o_totalprice", 90, 20, "o_orderkey")
 
 
 @query("u1_u2_union_first_wins", "key ~value", "", "SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY src, value) AS r FROM (SELECT c_nationkey AS key, c_acctbal AS value, 1 AS src FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_nationkey, s_acctbal, 2 FROM supplier)) WHERE r = 1")
@@ -403,7 +403,7 @@ def o13(spark, d):
     return cs.turnover(cs.top_fraction(fr.panel(spark, d), "date", "revenue", "ticker"), "date", "ticker")
 
 
-@query("m16_yearly_weights", "#year #months ~weight", RANKS, "SELECT y.year, count(*) AS months, avg(ic) AS weight FROM (SELECT DISTINCT year(date) AS year FROM ic WHERE n >= 20) y JOIN ic ON year(ic.date) < y.year AND ic.n >= 20 AND ic.ic IS NOT NULL GROUP BY 1 HAVING count(*) >= 24")
+@query("m16_yearly_weights", "#year #months ~weight", RANKS, "SELECT y.year, count(*) AS months, avg(ic) AS weight FROM (SELECT unnest(range(min(year(date)), max(year(date)) + 2)) AS year FROM ic WHERE n >= 20) y JOIN ic ON year(last_day(ic.date + INTERVAL 1 MONTH)) < y.year AND ic.n >= 20 GROUP BY 1 HAVING count(*) >= 24")
 def m16(spark, d):
     ic = cs.ic_masked(fr.panel(spark, d), "date", "revenue", "fwd_ret").withColumn("all", F.lit(1))
     return cs.expanding_mean_by_year(ic, "date", ["all"], "ic")

@@ -57,7 +57,7 @@ def a13(spark, d):
     return y.agg(F.concat_ws("/", F.count_if(F.signum("ic") == F.signum("all")).cast("string"), F.count("*").cast("string")).alias("same"))
 
 
-@query("a21_pearson", "lang ~corr", "", "SELECT lang, corr(n_chars, quality) AS corr FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+@query("a21_pearson", "lang ~corr", "", "SELECT lang, CASE WHEN var_pop(n_chars) > 0 AND var_pop(quality) > 0 THEN corr(n_chars, quality) END AS corr FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def a21(spark, d):
     return fr.table(spark, d, "documents").join(fr.table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.try_divide(F.covar_pop("n_chars", "quality"), F.stddev_pop("n_chars") * F.stddev_pop("quality")).alias("corr"))
 
@@ -127,9 +127,15 @@ mean AS (SELECT date, avg(fwd_ret) AS m FROM panel GROUP BY 1)"""
 def q_factor(spark, d):
     """Top decile by score each month: mean return (missing 0), turnover, and the excess over the universe after costs."""
     p = fr.panel(spark, d)
-    picks = cs.top_fraction(p, "date", "revenue", "ticker").cache()
-    long = picks.groupBy("date").agg(F.avg(F.coalesce("fwd_ret", F.lit(0.0))).alias("long"))
-    r = long.join(cs.turnover(picks, "date", "ticker"), "date").join(p.groupBy("date").agg(F.avg("fwd_ret").alias("m")), "date")
+    dates = p.select("date").distinct().withColumn("k", F.row_number().over(W.orderBy("date")))  # one row a month
+    own = W.partitionBy("date")
+    p = p.withColumns({"r": F.row_number().over(own.orderBy(F.desc("revenue"), "ticker")), "n": F.count("*").over(own)})
+    p = p.withColumn("top", F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))).join(F.broadcast(dates), "date")
+    # a pick is new unless the ticker's last pick was in the month before
+    last = F.max(F.when(F.col("top"), F.col("k"))).over(W.partitionBy("ticker").orderBy("date").rowsBetween(W.unboundedPreceding, -1))
+    p = p.withColumn("new", F.coalesce(last != F.col("k") - 1, F.lit(True)).cast("double"))
+    picked = lambda x: F.avg(F.when(F.col("top"), x))
+    r = p.groupBy("date").agg(picked(F.coalesce("fwd_ret", F.lit(0.0))).alias("long"), picked(F.col("new")).alias("turnover"), F.avg("fwd_ret").alias("m"))
     return r.withColumn("vs_universe", F.col("long") - 2 * F.col("turnover") * 0.001 - F.col("m"))
 
 

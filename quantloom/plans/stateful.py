@@ -47,14 +47,40 @@ def o8(spark, d):
     return so.weekly_hold(f, "symbol", "date", "w", F.col("close") < F.col("slow"))
 
 
-@query("o3_simulate_trades", "symbol entry_ts exit_ts ~entry_price ~exit_price #bars reason ~pnl")
-def o3(spark, d):
+BRACKET = "RECURSIVE " + HOURS + """, b AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, count(*) OVER (PARTITION BY symbol) AS n,
+         count(*) OVER w = 3 AND close > max(high) OVER w AS entry FROM filled_hours WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+x AS (SELECT s.symbol, s.k, min(j.k) AS e FROM b s JOIN b j ON s.symbol = j.symbol AND j.k > s.k AND s.entry
+        AND (least(j.open, j.low) <= s.close * (1 - 0.5) OR greatest(j.open, j.high) >= s.close * (1 + 0.8) OR j.k - s.k >= 72 OR j.k = j.n) GROUP BY 1, 2),
+y AS (SELECT a.symbol, a.k, a.e, min(z.k) AS following FROM x a LEFT JOIN x z ON a.symbol = z.symbol AND z.k >= a.e GROUP BY 1, 2, 3),
+f AS (SELECT y.* FROM y JOIN (SELECT symbol, min(k) AS k FROM y GROUP BY 1) USING (symbol, k) UNION ALL SELECT y.* FROM f JOIN y ON y.symbol = f.symbol AND y.k = f.following),
+t AS (SELECT f.symbol, i.ts + INTERVAL 1 HOUR AS entry_ts, o.ts + INTERVAL 1 HOUR AS exit_ts, i.close AS entry_price, f.e - f.k AS bars,
+             CASE WHEN o.open <= i.close * (1 - 0.5) THEN o.open WHEN o.low <= i.close * (1 - 0.5) THEN i.close * (1 - 0.5)
+                  WHEN o.open >= i.close * (1 + 0.8) THEN o.open WHEN o.high >= i.close * (1 + 0.8) THEN i.close * (1 + 0.8) ELSE o.close END AS exit_price,
+             CASE WHEN least(o.open, o.low) <= i.close * (1 - 0.5) THEN 'stop' WHEN greatest(o.open, o.high) >= i.close * (1 + 0.8) THEN 'target' WHEN f.e - f.k >= 72 THEN 'time' ELSE 'end' END AS reason
+      FROM f JOIN b i ON i.symbol = f.symbol AND i.k = f.k JOIN b o ON o.symbol = f.symbol AND o.k = f.e)"""
+
+
+def _bracket(spark, d) -> DataFrame:
     b = ts.fill_hours(fr.bars_1h(spark, d))
     b = b.withColumn("entry", sc.holds(F.col("close") > ts.rolling(F.max, "high", "symbol", "ts", 3, lag=1)))
-    return so.simulate_trades(b.withColumns({"stop_pct": F.lit(0.5), "target_pct": F.lit(0.8)}))
+    return b.withColumns({"stop_pct": F.lit(0.5), "target_pct": F.lit(0.8)})
+
+
+@query("o3_simulate_trades", "symbol entry_ts exit_ts ~entry_price ~exit_price #bars reason ~pnl", BRACKET, "SELECT *, exit_price / entry_price * pow(1 - 0.003, 2) - 1 AS pnl FROM t")
+def o3(spark, d):
+    return so.simulate_trades(_bracket(spark, d))
 
 
-@query("a10_profit_factor", "symbol #trades ~profit_factor", HOURS + ", x AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pnl FROM filled_hours)", "SELECT symbol, count(*) AS trades, sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0) AS profit_factor FROM x WHERE pnl IS NOT NULL GROUP BY 1")
+@query("o3_trade_returns", "symbol ts ~ret", BRACKET, """SELECT symbol, ts, mark / before * CASE WHEN first THEN 1 - 0.003 ELSE 1 END * CASE WHEN last THEN 1 - 0.003 ELSE 1 END - 1 AS ret
+FROM (SELECT t.symbol, b.ts, CASE WHEN b.ts + INTERVAL 1 HOUR = t.exit_ts THEN t.exit_price ELSE b.close END AS mark, b.ts = t.entry_ts AS first, b.ts + INTERVAL 1 HOUR = t.exit_ts AS last,
+             CASE WHEN b.ts = t.entry_ts THEN t.entry_price ELSE lag(b.close) OVER (PARTITION BY t.symbol, t.entry_ts ORDER BY b.ts) END AS before
+      FROM t JOIN b ON b.symbol = t.symbol AND b.ts >= t.entry_ts AND b.ts < t.exit_ts)""")
+def o3_returns(spark, d):
+    return so.trade_returns(_bracket(spark, d)).where("ret is not null")
+
+
+@query("a10_profit_factor", "symbol #trades ~profit_factor", HOURS + ", x AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pnl FROM filled_hours)", "SELECT symbol, count(*) AS trades, coalesce(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 'inf'::DOUBLE) AS profit_factor FROM x WHERE pnl IS NOT NULL GROUP BY 1")
 def a10(spark, d):
     b = ts.fill_hours(fr.bars_1h(spark, d)).withColumn("pnl", ts.pct_change("close", "symbol", "ts")).where("pnl is not null")
     return st.profit_factor(b, "symbol", "pnl")
@@ -89,23 +115,41 @@ def q_trend(spark, d):
     return st.metrics(st.strategy_returns(f, "symbol", "date", "held", "next", 0.001), "symbol", "date", "net")
 
 
-@query("m3_gate", "symbol passes", RETS, "SELECT DISTINCT symbol, false AS passes FROM rets")
+#: Returns of two kinds: the first two symbols gain on two days of three, the others lose.
+GATED = RETS + """, g AS (SELECT symbol, date, abs(ret) * CASE WHEN symbol > '3' OR day(date) % 3 = 0 THEN -0.1 ELSE 1 END AS ret FROM rets WHERE ret IS NOT NULL),
+e AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM g),
+dd AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS down FROM e),
+m AS (SELECT symbol, avg(ret) / stddev_samp(ret) * sqrt(365.0) AS sharpe, avg(ret) / (stddev_samp(ret) / sqrt(count(*))) AS t, min(down) AS worst,
+             avg((ret > 0)::INT) AS hit_rate, coalesce(sum(greatest(ret, 0)) / nullif(sum(greatest(-ret, 0)), 0), 'inf'::DOUBLE) AS profit_factor FROM dd GROUP BY 1)"""
+
+
+@query("m3_gate", "symbol ~hit_rate ~profit_factor passes passes_v2", GATED, f"SELECT symbol, hit_rate, profit_factor, sharpe > 1.5 AND worst > -0.15 AND hit_rate > 0.55 AND t > {st.t_threshold(11)!r} AS passes, sharpe > 1.5 AND worst > -0.2 AND profit_factor > 1.5 AND t > {st.t_threshold(16)!r} AS passes_v2 FROM m")
 def m3(spark, d):
-    return st.gate(st.metrics(_rets(spark, d).where("ret is not null").withColumn("ret", -F.abs("ret")), "symbol", "date", "ret"), 11)
+    """Both gates over every symbol's daily returns, each of which counts as a trade."""
+    sign = F.when((F.col("symbol") > "3") | (F.dayofmonth("date") % 3 == 0), -0.1).otherwise(1.0)
+    r = _rets(spark, d).where("ret is not null").withColumn("ret", F.abs("ret") * sign)
+    m = st.metrics(r, "symbol", "date", "ret").join(st.hit_rate(r, "symbol", "ret"), "symbol").join(st.profit_factor(r, "symbol", "ret").drop("trades"), "symbol")
+    return st.gate_v2(st.gate(m, 11), 16)
 
 
-REGIME = fr.FILLED + f""", t AS (SELECT symbol, date, close, close / lag(close, 60) OVER {SYM}) - 1 AS trend, close / lag(close) OVER {SYM}) - 1 AS day FROM filled),
-v AS (SELECT *, CASE WHEN count(day) OVER {_W(30)} = 30 THEN stddev_samp(day) OVER {_W(30)} END AS vol FROM t),
-l AS (SELECT symbol, date, CASE WHEN trend > 0.1 THEN 'up' WHEN trend < -0.1 THEN 'down' ELSE 'range' END || CASE WHEN vol > avg(vol) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) THEN '/high' ELSE '/low' END AS label FROM v)"""
+REGIME = RETS + f""", t AS (SELECT symbol, date, ret, close / lag(close, 60) OVER {SYM}) - 1 AS trend FROM rets),
+v AS (SELECT *, CASE WHEN count(ret) OVER {_W(30)} = 30 THEN round(stddev_samp(ret) OVER {_W(30)}, 9) END AS vol FROM t),
+l AS (SELECT symbol, date, ret, CASE WHEN trend > 0.1 THEN 'up' WHEN trend < -0.1 THEN 'down' ELSE 'range' END
+             || CASE WHEN count(vol) OVER w >= 180 AND vol > quantile_cont(vol, 0.5) OVER w THEN '/high' ELSE '/low' END AS label
+      FROM v WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT symbol, ret, lag(label) OVER {SYM}) AS regime FROM l)"""
 
 
-@query("m4_regimes", "symbol regime #days", REGIME, f"SELECT symbol, regime, count(*) AS days FROM (SELECT symbol, lag(label) OVER {SYM}) AS regime FROM l) WHERE regime IS NOT NULL GROUP BY 1, 2")
+@query("m4_regimes", "symbol regime #days ~annual ~sharpe", REGIME, "SELECT symbol, regime, count(*) AS days, pow(product(1 + ret), 365.0 / count(*)) - 1 AS annual, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365.0) END AS sharpe FROM k WHERE regime IS NOT NULL AND ret IS NOT NULL GROUP BY 1, 2")
 def m4(spark, d):
-    """Trend and volatility regime of each day, known the day before; a missing value counts as range and low."""
+    """Days, annual return and Sharpe of each trend and volatility regime, known the day before: volatility is high
+    above its expanding median of 180 values at least; a missing value counts as range and low."""
     k = ("symbol", "date")
-    f = _filled(spark, d).withColumns({"trend": ts.pct_change("close", *k, 60), "day": ts.pct_change("close", *k)})
-    f = f.withColumn("vol", ts.rolling(F.stddev_samp, "day", *k, 30))
-    high = sc.holds(F.col("vol") > F.avg("vol").over(ts.upto(*k)))
+    f = _rets(spark, d).withColumn("trend", ts.pct_change("close", *k, 60))
+    f = f.withColumn("vol", F.round(ts.rolling(F.stddev_samp, "ret", *k, 30), 9))
+    high = sc.holds(F.col("vol") > ts.expanding_median("vol", *k, 180))
     trend = F.when(F.col("trend") > 0.1, "up").when(F.col("trend") < -0.1, "down").otherwise("range")
     f = f.withColumn("label", F.concat(trend, F.when(high, "/high").otherwise("/low")))
-    return f.withColumn("regime", F.lag("label").over(ts.by(*k))).where("regime is not null").groupBy("symbol", "regime").agg(F.count("*").alias("days"))
+    f = f.withColumn("regime", F.lag("label").over(ts.by(*k))).where("regime is not null and ret is not null")
+    sd = F.stddev_samp("ret")
+    return f.groupBy("symbol", "regime").agg(F.count("*").alias("days"), (F.pow(st.compounded("ret") + 1, 365.0 / F.count("*")) - 1).alias("annual"), F.when(sd > 0, F.avg("ret") / sd * F.sqrt(F.lit(365.0))).alias("sharpe"))

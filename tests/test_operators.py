@@ -60,7 +60,7 @@ def test_fees(spark):
 def test_profit_factor_and_threshold(spark):
     r = st.profit_factor(series(spark, [0.2] * 4 + [-0.05] * 6), "k", "x").collect()[0]
     assert r.profit_factor == pytest.approx(0.8 / 0.3)
-    assert st.profit_factor(series(spark, [0.2]), "k", "x").collect()[0].profit_factor is None
+    assert st.profit_factor(series(spark, [0.2]), "k", "x").collect()[0].profit_factor == float("inf")
     assert st.t_threshold(1) == pytest.approx(2.0) and st.t_threshold(5) < st.t_threshold(50)
 
 
