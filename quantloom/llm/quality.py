@@ -36,7 +36,7 @@ def ratios(docs: DataFrame, labels: DataFrame, key: str, text: str, buckets: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in (p for b in batches for p in hashing.parts(b, 0)):
             f, n = features(batch.column(0).to_pylist(), buckets)
             raw += np.bincount(f, minlength=buckets)
             target += np.bincount(f[np.repeat(np.array(batch.column(1).to_pylist(), bool), n)], minlength=buckets)
@@ -83,7 +83,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ratio = ratios(docs, good, key, text, buckets)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in hashing.parts(b, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist(), ratio))], ["doc_id", "units"])
 
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -108,7 +108,8 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     def scored(texts):
         import pandas as pd
 
-        return pd.Series(score(texts.tolist(), ratio))
+        t = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *(score(b.column(0).to_pylist(), ratio) for b in hashing.parts(t, 0))]))
 
     units = F.pandas_udf(scored, "long")
     return docs.where(noisy(F.col(key), units(F.col(text)), seed) >= F.lit(bar))
