@@ -91,10 +91,10 @@ class Join:
     exactly.
 
     An n-gram that more than `small` sets share gives no pairs at first and counts as shared by any two of its
-    sets. Such groups are taken hub by hub: the member with the most shared n-grams is compared with all
-    members in other components, then in each round `hubs`, 4 `hubs`, 16 `hubs`, ... further members at once, until
-    all members of a group stand in one component or each has been a hub. So a family of copies costs one pair
-    a member, and no link is lost in a group that isn't one.
+    sets. Such groups are taken hub by hub: the member with the most shared n-grams is compared with all others,
+    then in each round up to 16 `hubs`, 256 `hubs`, ... of the members outside of the group's largest component
+    with the members of other components, until each of them has been a hub. So a family of copies costs one pair
+    a member and one more for each member that stands apart, and no link is lost.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, small: int = 4, fragments: int = 8, hubs: int = 1):
@@ -243,28 +243,31 @@ class Join:
     def linked(self, members: DataFrame) -> DataFrame:
         """id, component (both structs of sig and more) of each set that links with another one."""
         rows = self.front(members, self.frequent())
-        pairs = common.save(self.candidates(rows), "pairs")
         large = common.save(self.large(rows).select("token", "sig", "n", "m"), "large")
+        # the first hub of each group: the likeliest original of a family of copies
+        hubs = common.save(large.groupBy("token").agg(F.max(F.struct("m", "sig", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("token", "hub"), "hubs")
+        pairs = common.save(self.candidates(rows).unionByName(self.hub_pairs(large, hubs)).distinct(), "pairs")
         sets = self.sets(members, pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct())
         common.drop(rows)
-        found, used, turn = self.grouped(self.links(pairs, sets)), None, 0
+        found, done, turn = self.grouped(self.links(pairs, sets)), [pairs], 0
+        used = hubs.select("token", F.col("hub.sig").alias("sig"))
         while True:
             group = large.join(found.select(F.col("id.sig").alias("sig"), F.col("component.sig").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
             group = common.save(group, "group")
-            hubs, used = self.next_hubs(group, used, self.hubs << 2 * turn if turn else self.hubs)
+            turn += 1
+            hubs = common.save(self.next_hubs(group, used, self.hubs << 4 * turn), "hubs")
             if hubs.isEmpty():
                 break
-            p = common.skew_join(group, hubs, ["token"]).where((F.col("label") != F.col("hub.label")) & _fits(F.col("n"), F.col("hub.n")))
-            p = p.where(F.least("m", "hub.m") > F.floor(F.least("n", "hub.n") / 20))
-            p = p.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-            more = common.save(p, "pairs")
+            more = self.hub_pairs(group, hubs)
+            for p in done:
+                more = more.join(p, ["a", "b"], "left_anti")
+            done.append(common.save(more, "pairs"))
             known = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
-            last, found = found, self.grouped(self.links(more, sets).unionByName(known))
-            pairs = common.save(pairs.unionByName(more), "pairs")
-            for t in (last, group, more):
+            last, found = found, self.grouped(self.links(done[-1], sets).unionByName(known))
+            used = used.unionByName(hubs.select("token", F.col("hub.sig").alias("sig")))
+            for t in (last, group):
                 common.drop(t)
-            turn += 1
-        for t in (group, large, pairs, sets):
+        for t in (group, large, sets, *done):
             common.drop(t)
         return found
 
@@ -273,15 +276,22 @@ class Join:
         return common.save(common.components(links), "component")
 
     @staticmethod
-    def next_hubs(group: DataFrame, used: DataFrame | None, count: int) -> tuple[DataFrame, DataFrame]:
-        """token, hub: up to `count` members of each n-gram's group in more than one component that weren't hubs, those with the most shared n-grams
-        of a share of the members each; and token, sig of all hubs so far."""
-        open_ = group.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        g = group if used is None else group.join(used, ["token", "sig"], "left_anti")
-        best = g.groupBy("token", F.pmod(F.xxhash64("sig"), F.lit(count)).alias("share")).agg(F.max(F.struct("m", "sig", "n", "label")).alias("hub"))
-        hubs = common.save(best.join(open_, "token", "left_semi").select("token", "hub"), "hubs")
-        new = hubs.select("token", F.col("hub.sig").alias("sig"))
-        return hubs, new if used is None else used.unionByName(new)
+    def hub_pairs(group: DataFrame, hubs: DataFrame) -> DataFrame:
+        """a, b: each group's hubs with its members, but for those in the hub's component, of too different a size or with too few shared n-grams."""
+        p = common.skew_join(group, hubs, ["token"]).where((F.col("sig") != F.col("hub.sig")) & _fits(F.col("n"), F.col("hub.n")))
+        if "label" in group.columns:
+            p = p.where(F.col("label") != F.col("hub.label"))
+        p = p.where(F.least("m", "hub.m") > F.floor(F.least("n", "hub.n") / 20))
+        return p.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()
+
+    @staticmethod
+    def next_hubs(group: DataFrame, used: DataFrame, count: int) -> DataFrame:
+        """token, hub: of the members outside of the component that most of the n-gram's group stands in, up to `count` that weren't hubs, each
+        the one with the most shared n-grams in its share of them. Once all of these were hubs, all pairs of components have been compared."""
+        parts = group.groupBy("token", "label").agg(F.count("*").alias("members"))
+        main = parts.groupBy("token").agg(F.max(F.struct("members", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("main.label").alias("main"))
+        others = common.skew_join(group, main, ["token"]).where("label <> main").join(used, ["token", "sig"], "left_anti")
+        return others.groupBy("token", F.pmod(F.xxhash64("sig"), F.lit(count)).alias("share")).agg(F.max(F.struct("m", "sig", "n", "label")).alias("hub")).select("token", "hub")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """members(), and sig, more, low_id, low_version of each set that several documents have or that links: the first document of its component."""
