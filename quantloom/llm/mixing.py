@@ -86,15 +86,27 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 def apply(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """docs with each document as often as the mix takes it; an entry that is cut counts if more than half of it is taken.
 
-    Documents are told apart by key, source and text's hash, so rows that repeat share what the mix takes of them.
-    Documents without words are never taken.
+    Documents are told apart by key, source and text's hash; rows that repeat share what the mix takes of them, as
+    evenly as whole times go. Documents without words are never taken. Other columns are kept whatever their names are.
     """
-    d = docs.withColumn("_v", F.xxhash64(text))
-    sizes, entries = mix(d, key, source, text, extra="_v", **options)
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), F.xxhash64(text).alias("of"))
+    sizes, entries = mix(d, "id", "source", "text", extra="of", **options)
     times = entries.where(F.col("words") * 2 > F.col("size")).groupBy("row_id").agg(F.count("*").alias("times"))
-    times = sizes.join(times, "row_id").groupBy("doc_id", "extra").agg(F.max("times").cast("int").alias("_times")).select(F.col("doc_id").alias("_id"), F.col("extra").alias("_w"), "_times")
-    out = d.join(times, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_w")))
-    return out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    t = sizes.join(times, "row_id", "left").groupBy("doc_id", "source", "extra").agg(F.sum(F.coalesce("times", F.lit(0))).alias("times"), F.count("*").alias("rows")).where("times > 0")
+    t = t.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("extra").alias("v"), "times", "rows")
+    d = d.drop("text").join(t, F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("of") == F.col("v")))
+    once, again = d.where("rows = 1"), d.where("rows > 1")
+    # Rows that repeat are numbered in SALTS parts each.
+    again = common.save(again.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(common.SALTS)).cast("int")), "repeated")
+    k = ["i", "s", "v"]
+    parts = again.groupBy(*k, "salt").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(W.partitionBy(*k).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"{c}_") for c in [*k, "salt"]], "before")
+    same = F.col("i").eqNullSafe(F.col("i_")) & F.col("s").eqNullSafe(F.col("s_")) & (F.col("v") == F.col("v_")) & (F.col("salt") == F.col("salt_"))
+    place = F.col("before") + F.row_number().over(W.partitionBy(*k, "salt").orderBy("of"))
+    again = again.join(parts, same).withColumn("place", place)
+    again = again.withColumn("times", F.floor(F.col("times") / F.col("rows")) + (F.col("place") <= F.col("times") % F.col("rows")).cast("long")).select(*once.columns)
+    out = once.unionByName(again).where("times > 0").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select("doc.*")
 
 
 def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
