@@ -116,14 +116,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return out
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text without its later repeated runs, and the columns lines_in and lines_out.
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("lines_in", "lines_out")) -> DataFrame:
+    """docs with text without its later repeated runs, and how many lines it had and has, under the names in counts.
 
     Only the first place of a repeated run of lines (here also sentences) of 150 or more characters stays; order of
     places: smaller id, then line. Rows of equal id and text are one document. Null texts stay null, with no
     lines; empty ones have one empty line. Lines of white space count for nothing: runs go on across them. Long
     texts are handled line by line. An empty table gives no rows. Other columns are kept whatever their names are;
-    ones named lines_in or lines_out are replaced.
+    ones named as the counts are replaced.
     """
     r = repeats(docs, key, text).select(F.col("doc_id").alias("id"), F.col("version").alias("of"), "runs")
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text).alias("version"))
@@ -136,7 +136,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     d = d.withColumn("runs", F.transform("runs", lambda r: F.struct(F.get("at", r["from"]).alias("from"), F.get("at", r["to"]).alias("to"))))
     stay = F.filter("l", lambda x, i: ~F.exists("runs", lambda r: i.between(r["from"], r["to"])))
     d = d.withColumn("stay", F.when(F.col("runs").isNull(), F.col("l")).otherwise(stay))
-    new = {"lines_in": F.coalesce(F.size("l"), F.lit(0)), "lines_out": F.coalesce(F.size("stay"), F.lit(0)), text: F.when(F.col("runs").isNull(), own).otherwise(F.array_join("stay", ""))}
+    new = {counts[0]: F.coalesce(F.size("l"), F.lit(0)), counts[1]: F.coalesce(F.size("stay"), F.lit(0)), text: F.when(F.col("runs").isNull(), own).otherwise(F.array_join("stay", ""))}
     return d.select(*[new.pop(c, F.col("doc")[c]).alias(c) for c in docs.columns], *[v.alias(c) for c, v in new.items()])
 
 
