@@ -30,12 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     any name are kept; only text and n_chars change.
     """
     common.ship(spark)
-    d = linededup.dedup(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
-    d = d.where((common.words(F.col("row.text")) == 0) | (common.words(F.col("text")) > 0))
-    new = {"text": F.col("text")}
+    marks = [next(n for k in range(len(docs.columns) + 1) if (n := name + "_" * k) not in docs.columns) for name in ("lines_in", "lines_out")]
+    d = linededup.dedup(docs, counts=tuple(marks)).where((F.col(marks[0]) == F.col(marks[1])) | (common.words(F.col("text")) > 0))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return d.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
