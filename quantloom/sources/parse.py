@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,11 +97,11 @@ def insider_transactions(df: DataFrame, payload: str = "payload", least: float =
     x = df.select(
         F.expr(f"xpath_string({payload}, '//rptOwnerName')").alias("owner"),
         F.expr(f"xpath_string({payload}, '//officerTitle')").alias("title"),
-        F.expr(f"xpath({payload}, '//nonDerivativeTransaction//transactionCode/text()')").alias("code"),
-        F.expr(f"xpath({payload}, '//nonDerivativeTransaction//transactionShares/value/text()')").alias("shares"),
-        F.expr(f"xpath({payload}, '//nonDerivativeTransaction//transactionPricePerShare/value/text()')").alias("price"),
+        # one fragment a transaction, so that what one lacks doesn't shift the others
+        F.explode(F.regexp_extract_all(payload, F.lit(r"(?s)<nonDerivativeTransaction>.*?</nonDerivativeTransaction>"), F.lit(0))).alias("t"),
     )
-    x = x.select("owner", "title", F.explode(F.arrays_zip("code", "shares", "price")).alias("t")).select("owner", "title", "t.code", F.col("t.shares").cast("double").alias("shares"), F.col("t.price").cast("double").alias("price"))
+    at = lambda path: F.expr(f"xpath_string(t, '{path}')")
+    x = x.select("owner", "title", at("//transactionCode").alias("code"), at("//transactionShares/value").try_cast("double").alias("shares"), at("//transactionPricePerShare/value").try_cast("double").alias("price"))
     amount = F.col("shares") * F.col("price")
     return x.where(F.col("code").isin("P", "S") & (amount >= least)).withColumn("amount", F.when(F.col("code") == "P", amount).otherwise(-amount))
 
@@ -113,3 +113,76 @@ def union_tagged(frames: dict[str, DataFrame], tag: str) -> DataFrame:
         d = df.withColumn(tag, F.lit(name))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def exchange_candles(df: DataFrame, now: Column, payload: str = "payload") -> DataFrame:
+    """Bars of [[seconds, low, high, open, close, volume]] that began before `now`."""
+    r = _rows(df, payload, "array<array<double>>")
+    at = lambda k: F.get("r", F.lit(k))
+    return r.select(F.timestamp_seconds(at(0).cast("long")).alias("ts"), at(3).alias("open"), at(2).alias("high"), at(1).alias("low"), at(4).alias("close"), at(5).alias("volume")).where(F.col("ts") < now)
+
+
+def funding_rates(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """ts, rate of [{"timestamp": "..", "fundingRate": ..}], one row a time: pages may overlap."""
+    r = _rows(df, payload, "array<struct<timestamp:string,fundingRate:double>>")
+    return r.select(F.to_timestamp("r.timestamp").alias("ts"), F.col("r.fundingRate").alias("rate")).where("ts is not null").groupBy("ts").agg(F.first("rate").alias("rate"))
+
+
+def volatility_index(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """date, value (the close) of {"result": {"data": [[ms, open, high, low, close]]}}, the first row of each day."""
+    j = F.from_json(payload, "result struct<data:array<array<double>>>")["result"]["data"]
+    r = df.select(F.posexplode(j).alias("k", "r")).select("k", F.timestamp_millis(F.get("r", F.lit(0)).cast("long")).alias("ts"), F.get("r", F.lit(4)).alias("value"))
+    return r.groupBy(F.to_date("ts").alias("date")).agg(F.min_by("value", F.struct("ts", "k")).alias("value"))
+
+
+def feed_cik(payload: Column | str) -> Column:
+    """The company number of an Atom feed, ten digits; NULL where there is none."""
+    found = F.regexp_extract(payload, r"(?s)<(?:[\w.-]+:)?cik>\s*(\d+)\s*</", 1)
+    return F.when(found != "", F.lpad(found, 10, "0"))
+
+
+def mentions(df: DataFrame, ticker: str = "ticker", payload: str = "payload") -> DataFrame:
+    """ticker, mentions, score: posts of {"data": {"children": [{"data": {"title", "selftext", "score"}}]}} that name the ticker as a word between spaces."""
+    posts = F.from_json(payload, "data struct<children:array<struct<data:struct<title:string,selftext:string,score:long>>>>")["data"]["children"]
+    p = df.select(ticker, F.explode_outer(posts).alias("p")).select(ticker, "p.data.*")
+    word = F.concat(F.lit(" "), F.upper(ticker), F.lit(" "))
+    named = lambda c: F.coalesce(F.contains(F.concat(F.lit(" "), F.upper(c), F.lit(" ")), word), F.lit(False))
+    hit = named("title") | named("selftext")
+    return p.groupBy(ticker).agg(F.count_if(hit).alias("mentions"), F.coalesce(F.sum(F.when(hit, F.col("score"))), F.lit(0)).alias("score"))
+
+
+def filed_purchases(submissions: DataFrame, transactions: DataFrame, owners: DataFrame) -> DataFrame:
+    """filing_date, cik, ticker, owner, value of open-market purchases (code P) from the three tables of a filing archive, all strings.
+
+    A filing with several owners counts the first by number; rows without date, company or value are left out.
+    """
+    one = owners.groupBy("ACCESSION_NUMBER").agg(F.min("RPTOWNERCIK").alias("owner"))
+    d = transactions.where("TRANS_CODE = 'P'").join(submissions, "ACCESSION_NUMBER").join(one, "ACCESSION_NUMBER", "left")
+    value = F.col("TRANS_SHARES").try_cast("double") * F.col("TRANS_PRICEPERSHARE").try_cast("double")
+    day = F.coalesce(F.try_to_timestamp("FILING_DATE", F.lit("dd-MMM-yyyy")), F.try_to_timestamp("FILING_DATE", F.lit("yyyy-MM-dd"))).cast("date")
+    out = d.select(day.alias("filing_date"), F.col("ISSUERCIK").try_cast("int").alias("cik"), F.trim(F.upper("ISSUERTRADINGSYMBOL")).alias("ticker"), "owner", value.alias("value"))
+    return out.na.drop(subset=["filing_date", "cik", "value"])
+
+
+def archive_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """All columns as strings of the tab-separated file whose name ends with `name`, in any case, in each ZIP archive of path.
+
+    An archive is opened in the task that reads it; its lines leave as they are read.
+    """
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def lines(batches):
+        for batch in batches:
+            for raw in batch["content"]:
+                archive = zipfile.ZipFile(io.BytesIO(raw))
+                for n in archive.namelist():
+                    if n.upper().endswith(name.upper()):
+                        for part in pd.read_csv(archive.open(n), sep="\t", dtype=str, chunksize=50_000, keep_default_na=False):
+                            yield pd.DataFrame({"row": part.to_dict("records")})
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "row map<string,string>")
+    names = [r[0] for r in rows.select(F.explode(F.map_keys("row"))).distinct().collect()]  # column names
+    return rows.select(*[F.nullif(F.col("row")[n], F.lit("")).alias(n) for n in sorted(names)])
