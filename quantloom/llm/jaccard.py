@@ -50,6 +50,13 @@ def _fits(a: Column, b: Column) -> Column:
     return F.lit(_OF) * F.least(a, b) >= F.lit(_NEED) * F.greatest(a, b)
 
 
+def _needed(a: Column, b: Column) -> Column:
+    """How many n-grams of their fronts two linked sets of a and b n-grams share at least: what they must share in all,
+    4 / 9 of both sizes, less what can lie behind the front that ends first in the order."""
+    behind = [n - F.floor(n / 5) - F.floor(n / 20) - 1 for n in (a, b)]
+    return F.ceil((a + b) * 4 / 9) - F.greatest(*behind)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (token, sig, n, late) in the order of token and sig those whose token is late or stands in another set
     too, each once; only the last row of a batch is held."""
@@ -202,12 +209,12 @@ class Join:
         """Pairs (a, b), a < b, of sets that can link by what they share in the front fragment."""
         few = rows.where(F.col("size") <= self.small).groupBy("token").agg(F.collect_list(F.struct("sig", "n")).alias("g"))  # at most `small` sets
         p = few.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).where((F.col("x.sig") < F.col("y.sig")) & _fits(F.col("x.n"), F.col("y.n")))
-        pairs = p.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.least("x.n", "y.n").alias("n")).agg(F.count("*").alias("shared"))
+        pairs = p.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), _needed(F.col("x.n"), F.col("y.n")).alias("needed")).agg(F.count("*").alias("shared"))
         held = self.large(rows).groupBy("sig").agg(F.count("*").alias("held"))
         for side in "ab":
             pairs = pairs.join(held.select(F.col("sig").alias(side), F.col("held").alias(f"held_{side}")), side, "left")
         may = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
-        return pairs.where(F.col("shared") + may > F.floor(F.col("n") / 20)).select("a", "b")
+        return pairs.where(F.col("shared") + may >= F.col("needed")).select("a", "b")
 
     def large(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.col("size").isNull() | (F.col("size") > self.small))
@@ -281,7 +288,7 @@ class Join:
         p = common.skew_join(group, hubs, ["token"]).where((F.col("sig") != F.col("hub.sig")) & _fits(F.col("n"), F.col("hub.n")))
         if "label" in group.columns:
             p = p.where(F.col("label") != F.col("hub.label"))
-        p = p.where(F.least("m", "hub.m") > F.floor(F.least("n", "hub.n") / 20))
+        p = p.where(F.least("m", "hub.m") >= _needed(F.col("n"), F.col("hub.n")))
         return p.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()
 
     @staticmethod
