@@ -78,3 +78,46 @@ def reliability(df: DataFrame, p: str, up: str, edges: tuple[float, ...] = (0.0,
     for k in range(len(edges) - 1, 0, -1):
         bin_ = F.when((F.col(p) > edges[k - 1]) & (F.col(p) <= edges[k]), k).otherwise(bin_)
     return df.withColumn("bin", bin_).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("forecast"), F.avg(F.col(up).cast("double")).alias("observed"))
+
+
+def monthly_stats(df: DataFrame, key: str, ts: str, ret: str) -> DataFrame:
+    """months, annual, sharpe, t_stat, max_drawdown and share of positive months of each key's monthly returns."""
+    d = drawdown(df.where(F.col(ret).isNotNull()), ret, key, ts)
+    m, sd, n = F.avg(ret), F.stddev_samp(ret), F.count(ret)
+    return d.groupBy(key).agg(
+        n.alias("months"),
+        (F.pow(F.product(1 + F.col(ret)), 12.0 / n) - 1).alias("annual"),
+        F.when(sd > 0, m / sd * F.sqrt(F.lit(12.0))).alias("sharpe"),
+        F.when(sd > 0, m / sd * F.sqrt(n)).alias("t_stat"),
+        F.min("drawdown").alias("max_drawdown"),
+        F.avg((F.col(ret) > 0).cast("double")).alias("positive"),
+    )
+
+
+def performance(df: DataFrame, key: str, ts: str, position: str, ret: str, fee: float, periods: float = DAYS) -> DataFrame:
+    """Of each key's positions: active rows, share of them in the right direction, gross and net return, net Sharpe, volatility, deepest
+    drawdown, trades (rows on which the position changes, the first one included if it isn't 0), mean exposure and turnover a year."""
+    d = df.withColumns({"_p": F.coalesce(F.col(position), F.lit(0.0)), "_r": F.col(ret)})
+    d = strategy_returns(d, key, ts, "_p", "_r", fee, "_net")
+    change = F.coalesce(F.col("_p") - F.lag("_p").over(by(key, ts)), F.col("_p"))
+    d = drawdown(d.withColumn("_c", change), "_net", key, ts)
+    active, sd, n = F.col("_p") != 0, F.stddev_samp("_net"), F.count("*")
+    return d.groupBy(key).agg(
+        F.count_if(active).alias("active"),
+        F.try_divide(F.count_if(active & (F.signum("_p") == F.signum("_r"))), F.count_if(active)).alias("hit_rate"),
+        (F.product(1 + F.col("_p") * F.col("_r")) - 1).alias("gross"),
+        compounded("_net").alias("net"),
+        F.when(sd > 0, F.avg("_net") / sd * F.sqrt(F.lit(float(periods)))).alias("sharpe"),
+        (sd * F.sqrt(F.lit(float(periods)))).alias("volatility"),
+        F.min("drawdown").alias("max_drawdown"),
+        F.count_if(F.col("_c") != 0).alias("trades"),
+        F.avg(F.abs("_p")).alias("exposure"),
+        (F.sum(F.abs("_c")) * periods / n).alias("turnover"),
+    )
+
+
+def calibration(df: DataFrame, key: str, p: str, ret: str) -> DataFrame:
+    """n, share of rises, mean forecast, Brier scores of the forecast and of the constant share, correlation of forecast and return."""
+    d = df.where(F.col(p).isNotNull() & F.col(ret).isNotNull()).withColumn("_up", (F.col(ret) > 0).cast("double"))
+    up = F.avg("_up")
+    return d.groupBy(key).agg(F.count("*").alias("n"), up.alias("risen"), F.avg(p).alias("forecast"), F.avg(F.pow(F.col(p) - F.col("_up"), 2)).alias("brier"), (up - up * up).alias("brier_constant"), F.corr(p, ret).alias("corr"))

@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from . import catalog, companies, screens, stateful
+from . import catalog, companies, research, screens, stateful
 from .catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "companies", "screens", "stateful"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "companies", "research", "screens", "stateful"]
