@@ -123,7 +123,8 @@ def fit(texts: list[str], toxic: list[int], vocabulary_size: int = 1000, rounds:
     `blind` of the words are shown without their word embedding, by characters only. At last a logistic scaling of a document's
     highest window logit is fitted on the same documents.
     """
-    docs = [tokens_of(t) for t in texts]
+    one: dict[str, str] = {}  # one string for all places of a token
+    docs = [[one.setdefault(t, t) for t in tokens_of(x)] for x in texts]
     seen: dict[str, int] = {}
     for d in docs:
         for t in set(d):
@@ -136,7 +137,7 @@ def fit(texts: list[str], toxic: list[int], vocabulary_size: int = 1000, rounds:
     w = m.w
     state = ({k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, [0])
     for turn in range(rounds):
-        logit, first = Scorer(m).windows(texts) if turn else (None, None)
+        logit, first = Scorer(m).by_parts(texts) if turn else (None, None)
         windows, label = [], []
         for k, (d, y) in enumerate(zip(docs, toxic, strict=True)):
             starts = list(_starts(len(d)))
@@ -277,8 +278,18 @@ class Scorer:
             logit[k] = forward(self.m.w, x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], step < np.maximum(size[k], 1))[0]
         return logit[: len(doc)], begin
 
+    def by_parts(self, texts: list[str], most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """windows() of many texts, `most` at once."""
+        logits, begins, at = [np.zeros(0, np.float32)], [np.zeros(0, np.int64)], 0
+        for k in range(0, len(texts), most):
+            logit, begin = self.windows(texts[k : k + most])
+            logits.append(logit)
+            begins.append(begin + at)
+            at += len(logit)
+        return np.concatenate(logits), np.concatenate(begins)
+
     def highest(self, texts: list[str]) -> np.ndarray:
-        logit, begin = self.windows(texts)
+        logit, begin = self.by_parts(texts)
         return np.maximum.reduceat(logit, begin) if len(begin) else logit
 
     def scores(self, texts: list[str]) -> np.ndarray:
