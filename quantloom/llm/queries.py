@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import common, embeddings, jaccard, linededup, media, mixing, packing, quality, secrets, token_files, toxicity
+from . import codebooks, common, embeddings, jaccard, linededup, media, mixing, negatives, packing, quality, secrets, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -21,11 +21,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_random_secrets": secrets.op8_random_secrets,
     "op9_rotated_codes": embeddings.op9_rotated_codes,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op11_yinyang_codes": codebooks.op11_yinyang_codes,
+    "op13_norm_bucketed_negatives": negatives.op13_norm_bucketed_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op2_weighted_mix": mixing.ORACLE_OP2,
+    "op11_yinyang_codes": codebooks.ORACLE_OP11,
+    "op13_norm_bucketed_negatives": negatives.ORACLE_OP13,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
