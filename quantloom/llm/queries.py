@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import codebooks, common, embeddings, jaccard, linededup, media, mixing, negatives, packing, quality, secrets, token_files, toxicity
+from . import codebooks, common, embeddings, jaccard, linededup, media, mixing, negatives, packing, quality, secrets, suffixes, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rotated_codes": embeddings.op9_rotated_codes,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op11_yinyang_codes": codebooks.op11_yinyang_codes,
+    "op12_induced_suffixes": suffixes.op12_induced_suffixes,
     "op13_norm_bucketed_negatives": negatives.op13_norm_bucketed_negatives,
     "pipeline": corpus_pipeline.run,
 }
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_weighted_mix": mixing.ORACLE_OP2,
     "op11_yinyang_codes": codebooks.ORACLE_OP11,
+    "op12_induced_suffixes": suffixes.ORACLE_OP12,
     "op13_norm_bucketed_negatives": negatives.ORACLE_OP13,
 }
 if corpus_pipeline.ORACLE_SQL:
