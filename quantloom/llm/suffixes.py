@@ -521,7 +521,8 @@ def op12_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Two hexadecimal digits a byte.
 ORACLE_OP12 = """WITH d AS (SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-g AS (SELECT k, doc_id, p, hash(substr(h, CAST(2 * p + 1 AS BIGINT), 100)) AS s FROM (SELECT k, doc_id, h, unnest(range(CAST(len(h) // 2 - 49 AS BIGINT))) AS p FROM d)),
+t AS (SELECT k, doc_id, j, substr(h, CAST(1000 * j + 1 AS BIGINT), 1098) AS h FROM (SELECT k, doc_id, h, unnest(range(CAST(len(h) // 1000 + 1 AS BIGINT))) AS j FROM d)),
+g AS (SELECT k, doc_id, 500 * j + p AS p, hash(substr(h, CAST(2 * p + 1 AS BIGINT), 100)) AS s FROM (SELECT k, doc_id, j, h, unnest(range(CAST(least(len(h) // 2 - 49, 500) AS BIGINT))) AS p FROM t)),
 f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY 1),
 c AS (SELECT k, p, lag(p) OVER (PARTITION BY k ORDER BY p) AS q FROM g JOIN f USING (s) WHERE least < doc_id),
 i AS (SELECT k, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) AS i FROM c),
