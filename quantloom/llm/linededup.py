@@ -27,16 +27,10 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\n"))
 
 
-def _turned(x: Column, by: Column) -> Column:
-    """x rotated left by `by` bits, modulo 64."""
-    by = by.bitwiseAND(F.lit(63)).cast("int")
-    return F.call_function("shiftleft", x, by).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64) - by))
-
-
 def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """row, doc_id, version (hash of the text), h, x and k once for each id and text that has lines: the hash of each
-    line without the white space around it, a rolling hash of all lines before (one entry longer), and the number
-    of lines of the winnowing window from it on, the fewest that have LEAST characters; 0 where there is none.
+    """row, doc_id, version (hash of the text), h and k once for each id and text that has lines: the hash of each
+    line without the white space around it, and the number of lines of the winnowing window from it on, the fewest
+    that have LEAST characters; 0 where there is none.
 
     Lines of white space are left out, so that runs go on across them; positions count the others. row counts the
     documents in the order of id and version. A document's lines are summed where its arrays lie.
@@ -46,11 +40,11 @@ def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
     doc = ["doc_id", "version"]
     upto = W.partitionBy(*doc).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     o = d.repartitionByRange(*doc).dropDuplicates(doc).select(*doc, "n", F.posexplode("h").alias("pos", "h")).withColumn("n", F.get("n", "pos").cast("long"))
-    o = o.withColumns({"end": F.sum("n").over(upto), "x": F.bit_xor(_turned(F.col("h"), F.col("pos"))).over(upto)}).withColumn("begin", F.col("end") - F.col("n"))
+    o = o.withColumn("end", F.sum("n").over(upto)).withColumn("begin", F.col("end") - F.col("n"))
     span = W.partitionBy(*doc).orderBy("begin").rangeBetween(0, LEAST - 1)  # the lines that begin before the window may end
     o = o.withColumn("k", F.when(F.last("end").over(span) - F.col("begin") >= LEAST, F.count("*").over(span)).otherwise(0).cast("int"))
-    o = o.groupBy(*doc).agg(F.sort_array(F.collect_list(F.struct("pos", "h", "x", "k"))).alias("l")).sortWithinPartitions(*doc)
-    o = o.select(*doc, F.col("l.h").alias("h"), F.concat(F.array(F.lit(0).cast("long")), F.col("l.x")).alias("x"), F.col("l.k").alias("k"))
+    o = o.groupBy(*doc).agg(F.sort_array(F.collect_list(F.struct("pos", "h", "k"))).alias("l")).sortWithinPartitions(*doc)
+    o = o.select(*doc, F.col("l.h").alias("h"), F.col("l.k").alias("k"))
     o = common.save(o.withColumn("at", F.monotonically_increasing_id()), "numbered")  # the partition above 33 bits, the row below
     common.drop(d)
     shard = F.shiftright("at", 33)
@@ -58,7 +52,7 @@ def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
     sizes = sizes.select("shard", F.coalesce(F.sum("count").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     # One row per partition of the table.
     out = o.withColumn("shard", shard).join(F.broadcast(sizes), "shard").withColumn("row", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    out = out.select("row", "doc_id", "version", "h", "x", "k")
+    out = out.select("row", "doc_id", "version", "h", "k")
     out.saved_path = o.saved_path
     return out
 
@@ -66,20 +60,19 @@ def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
 def windows(d: DataFrame) -> DataFrame:
     """row, from, to, print, code of the winnowing windows, from each line on and up to each line the fewest lines that
     have LEAST characters. print: the window's minimum, the smallest hash of its lines, which is its fingerprint;
-    code: a rolling hash of all its lines.
+    code: a hash of its lines' hashes in their order; a window has LEAST lines at most.
 
     A run of LEAST characters or more is the union of the windows in it, so it stands at another place just if
     these do. Up to a line where no window from a line on ends, the window begins where the last of these does.
     Lines are exploded and read their document's arrays inside one generated loop.
     """
     p = F.col("pos")
-    x = d.select("row", "h", "x", "k", F.posexplode("k").alias("pos", "own")).where("own > 0")
+    x = d.select("row", "h", "k", F.posexplode("k").alias("pos", "own")).where("own > 0")
     to, following = p + F.col("own") - 1, F.get("k", p + 1)
     last = F.greatest(to, F.when(following > 0, p + following - 1).otherwise(F.size("h") - 1))
-    x = x.select("row", "h", "x", p.alias("from"), F.explode(F.sequence(to, last)).alias("to"))
-    count = F.col("to") - F.col("from") + 1
-    code = _turned(F.get("x", F.col("to") + 1).bitwiseXOR(F.get("x", F.col("from"))), -F.col("from"))
-    return x.select("row", "from", "to", F.array_min(F.slice("h", F.col("from") + 1, count)).alias("print"), F.xxhash64(code, count).alias("code"))
+    x = x.select("row", "h", p.alias("from"), F.explode(F.sequence(to, last)).alias("to"))
+    own = F.slice("h", F.col("from") + 1, F.col("to") - F.col("from") + 1)
+    return x.select("row", "from", "to", F.array_min(own).alias("print"), F.xxhash64(own).alias("code"))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -69,3 +69,34 @@ def test_runs_of_few_kinds_of_lines(spark):
     rows += [(60, "\n".join("xyz"[k % 3] for k in range(400))), (61, "\n".join("xyz"[k % 3] for k in range(170)) + "\n" + kinds[5])]
     want = purpose(rows)
     assert left(spark, rows) == want
+
+
+def test_lines_that_change_places_are_another_run(spark):
+    lines = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqr"]  # 80 different lines of two characters
+    swapped = list(lines)
+    swapped[3], swapped[67] = swapped[67], swapped[3]
+    pair = list(lines)
+    pair[5] = pair[69] = "yy"
+    other = list(lines)
+    other[5] = other[69] = "zz"
+    rows = [(1, "\n".join(lines)), (2, "\n".join(swapped)), (3, "\n".join(x + "!" for x in pair)), (4, "\n".join(x + "!" for x in other))]
+    want = purpose(rows)
+    assert len(want[2]) == 80 and len(want[4]) < 80  # runs of up to 126 characters stay, ones of 189 go
+    assert left(spark, rows) == want
+
+
+def test_many_short_lines(spark):
+    rng = random.Random(7)
+    kinds = [line(rng, n) for n in (1, 1, 2, 2, 2, 3, 3, 3)]
+    rows = []
+    for k in range(8):
+        mine = [rng.choice(kinds) for _ in range(rng.randint(65, 400))]
+        if k % 2:  # a stretch of an earlier document, with two of its lines exchanged now and then
+            part = rows[k - 1][1].split("\n")[20:170]
+            if k % 4 == 1 and len(part) > 80:
+                part[4], part[68] = part[68], part[4]
+            mine[10:10] = part
+        rows.append((k, "\n".join(mine)))
+    want = purpose(rows)
+    assert any(len(want[k]) < len(rows[k][1].split("\n")) for k in range(8))
+    assert left(spark, rows) == want
