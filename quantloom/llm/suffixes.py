@@ -32,7 +32,7 @@ HOT = 64
 #: Bytes of one fingerprint's distinct segments that are one text; more are compared string by string.
 LANE = 4096
 #: Symbols that are sorted in step.
-STEP = 1 << 21
+STEP = 1 << 18
 
 
 # ---- suffix arrays of many texts in step: arrays are (place, lane)
