@@ -1,4 +1,4 @@
-"""Order-dependent operators. Folds run over a key's rows in order, one Arrow batch stream per key."""
+"""Trades of bracket strategies, one task per key, and weekly holding."""
 
 from __future__ import annotations
 
@@ -10,71 +10,6 @@ from pyspark.sql import functions as F
 COST = 0.003  # of a position's value, each side
 
 
-def _per_key(df: DataFrame, key: str, ts: str, add: dict[str, str], step) -> DataFrame:
-    from pyspark.sql import types as T
-
-    schema = T.StructType(df.schema.fields + [T.StructField(n, T._parse_datatype_string(k)) for n, k in add.items()])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        return pdf.assign(**step(pdf))[schema.fieldNames()]
-
-    return df.groupBy(key).applyInPandas(run, schema)
-
-
-def apply_band(df: DataFrame, key: str, ts: str, position: str, band: float = 0.1, name: str = "held") -> DataFrame:
-    """Keeps the held position until the target is 0 or more than `band` away; missing targets are 0."""
-
-    def step(pdf: pd.DataFrame) -> dict:
-        held, out = 0.0, []
-        for p in pdf[position].fillna(0.0):
-            if p == 0 or abs(p - held) > band:
-                held = p
-            out.append(held)
-        return {name: out}
-
-    return _per_key(df, key, ts, {name: "double"}, step)
-
-
-def state_machine(df: DataFrame, key: str, ts: str, enter: str, leave: str, name: str = "state") -> DataFrame:
-    """1 from an entry to the next exit; on one bar an exit wins inside and an entry wins outside. Missing flags are false."""
-
-    def step(pdf: pd.DataFrame) -> dict:
-        inside, out = False, []
-        for e, x in zip(pdf[enter].fillna(False).astype(bool), pdf[leave].fillna(False).astype(bool), strict=True):
-            inside = (not x) if inside else e
-            out.append(int(inside))
-        return {name: out}
-
-    return _per_key(df, key, ts, {name: "int"}, step)
-
-
-def rsi(df: DataFrame, key: str, ts: str, close: str, n: int, name: str = "rsi") -> DataFrame:
-    """Relative strength with exponential smoothing of weight 1/n; 100 while nothing has fallen."""
-
-    def step(pdf: pd.DataFrame) -> dict:
-        d = pdf[close].diff()
-        up, down = (x.ewm(alpha=1 / n, adjust=False).mean() for x in (d.clip(lower=0), -d.clip(upper=0)))
-        out = (100 - 100 / (1 + up / down.where(down > 0))).where(down > 0, 100.0)
-        return {name: out}
-
-    return _per_key(df, key, ts, {name: "double"}, step)
-
-
-def rolling_max_drawdown(df: DataFrame, key: str, ts: str, ret: str, n: int, name: str = "max_drawdown") -> DataFrame:
-    """Deepest drawdown inside each full window of n returns."""
-
-    def step(pdf: pd.DataFrame) -> dict:
-        r = pdf[ret].to_numpy(float)
-        out = np.full(len(r), np.nan)
-        if len(r) >= n:
-            windows = np.cumprod(1 + np.lib.stride_tricks.sliding_window_view(r, n), axis=1)
-            out[n - 1 :] = (windows / np.maximum.accumulate(windows, axis=1) - 1).min(axis=1)
-        return {name: [None if np.isnan(x) else float(x) for x in out]}
-
-    return _per_key(df, key, ts, {name: "double"}, step)
-
-
 def _exits(bars: pd.DataFrame, at: int, stop: float, target: float, most: int) -> tuple[int, float, str]:
     """Where a position opened at the close of row `at` ends, at which price and why: of the first row of each kind
     of exit the earliest counts, and on one row the kind that is named first."""

@@ -16,6 +16,7 @@ from ..operators import joins as jn
 from ..operators import scoring as sc
 from ..operators import stats as st
 from ..operators import timeseries as ts
+from ..shipping import ship
 from ..sources import frames as fr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,11 @@ def _shape(df: DataFrame, spec: str) -> DataFrame:
 
 def query(name: str, spec: str, ctes: str = "", sql: str | None = None):
     def add(build: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: _shape(build(spark, sf_dir), spec)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return _shape(build(spark, sf_dir), spec)
+
+        QUERIES[name] = run
         if sql:
             cols = ", ".join(f'round(CAST("{c[1:]}" AS DOUBLE), 6) AS "{c[1:]}"' if c[0] == "~" else f'CAST("{c[1:]}" AS BIGINT) AS "{c[1:]}"' if c[0] == "#" else f'"{c}"' for c in spec.split())
             ORACLES[name] = (f"WITH {ctes} " if ctes else "") + f"SELECT {cols} FROM ({sql})"
@@ -444,7 +449,7 @@ def q_g(spark, d):
     return portfolio_returns(rotation(_filled(spark, d)))
 
 
-@query("q_snap_features", "symbol ts ~ret_1h ~ret_24h ~vol_24h ~taker_24h ~breakout", HOURS + ", x AS (SELECT *, ln(close / lag(close) OVER w) AS r1, ln(close / lag(close, 24) OVER w) AS r24 FROM filled_hours WINDOW w AS (PARTITION BY symbol ORDER BY ts))", "SELECT symbol, ts + INTERVAL 1 HOUR AS ts, r1 AS ret_1h, r24 AS ret_24h, CASE WHEN count(r1) OVER f = 24 THEN stddev_samp(r1) OVER f * sqrt(8760.0) END AS vol_24h, CASE WHEN count(*) OVER f = 24 THEN sum(taker) OVER f / nullif(sum(volume) OVER f, 0) END AS taker_24h, CASE WHEN count(high) OVER g = 12 THEN close / max(high) OVER g - 1 END AS breakout FROM x WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), g AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)")
+@query("q_snap_features", "symbol ts ~ret_1h ~ret_24h ~vol_24h ~taker_24h ~breakout", HOURS + ", x AS (SELECT *, ln(nullif(close / nullif(lag(close) OVER w, 0), 0)) AS r1, ln(nullif(close / nullif(lag(close, 24) OVER w, 0), 0)) AS r24 FROM filled_hours WINDOW w AS (PARTITION BY symbol ORDER BY ts))", "SELECT symbol, ts + INTERVAL 1 HOUR AS ts, r1 AS ret_1h, r24 AS ret_24h, CASE WHEN count(r1) OVER f = 24 THEN stddev_samp(r1) OVER f * sqrt(8760.0) END AS vol_24h, CASE WHEN count(*) OVER f = 24 THEN sum(taker) OVER f / nullif(sum(volume) OVER f, 0) END AS taker_24h, CASE WHEN count(high) OVER g = 12 THEN close / nullif(max(high) OVER g, 0) - 1 END AS breakout FROM x WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), g AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)")
 def q_snap(spark, d):
     b = ts.fill_hours(fr.bars_1h(spark, d))
     k = ("symbol", "ts")
@@ -453,7 +458,7 @@ def q_snap(spark, d):
         {
             "vol_24h": ts.rolling(F.stddev_samp, "ret_1h", *k, 24) * F.sqrt(F.lit(8760.0)),
             "taker_24h": F.try_divide(ts.rolling(F.sum, "taker", *k, 24), ts.rolling(F.sum, "volume", *k, 24)),
-            "breakout": F.col("close") / ts.rolling(F.max, "high", *k, 12, lag=1) - 1,
+            "breakout": F.try_divide(F.col("close"), ts.rolling(F.max, "high", *k, 12, lag=1)) - 1,
         }
     )
     return b.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))

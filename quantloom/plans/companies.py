@@ -161,15 +161,15 @@ def _over(agg: str, n: int, lag: int = 0) -> str:
     return f"CASE WHEN count({agg[agg.index('(') + 1 : -1]}) OVER {w} = {n} THEN {agg} OVER {w} END"
 
 
-SNAP = HOURS + ", g AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM filled_hours)," + f""" z AS (
-  SELECT symbol, ts + INTERVAL 1 HOUR AS ts, close, lr AS ret_1h, ln(close / lag(close, 4) OVER s) AS ret_4h, ln(close / lag(close, 24) OVER s) AS ret_24h,
-         {_over("stddev_samp(lr)", 24)} * sqrt(8760.0) AS vol_24h, {_over("stddev_samp(lr)", 168)} * sqrt(8760.0) AS vol_7d, close / lag(close, 480) OVER s - 1 AS trend_20d,
-         {_over("sum(taker)", 24)} / nullif({_over("sum(volume)", 24)}, 0) AS taker_buy_24h, lag(close, 12) OVER s / {_over("min(low)", 48, 12)} - 1 AS mast_gain_48h,
-         {_over("max(high)", 12)} AS fh, {_over("min(low)", 12)} AS fl, {_over("min(low)", 48, 12)} AS ml, {_over("max(high)", 60)} AS peak, close / {_over("max(high)", 12, 1)} - 1 AS breakout_dist
+SNAP = HOURS + ", g AS (SELECT *, ln(nullif(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0), 0)) AS lr FROM filled_hours)," + f""" z AS (
+  SELECT symbol, ts + INTERVAL 1 HOUR AS ts, close, lr AS ret_1h, ln(nullif(close / nullif(lag(close, 4) OVER s, 0), 0)) AS ret_4h, ln(nullif(close / nullif(lag(close, 24) OVER s, 0), 0)) AS ret_24h,
+         {_over("stddev_samp(lr)", 24)} * sqrt(8760.0) AS vol_24h, {_over("stddev_samp(lr)", 168)} * sqrt(8760.0) AS vol_7d, close / nullif(lag(close, 480) OVER s, 0) - 1 AS trend_20d,
+         {_over("sum(taker)", 24)} / nullif({_over("sum(volume)", 24)}, 0) AS taker_buy_24h, lag(close, 12) OVER s / nullif({_over("min(low)", 48, 12)}, 0) - 1 AS mast_gain_48h,
+         {_over("max(high)", 12)} AS fh, {_over("min(low)", 12)} AS fl, {_over("min(low)", 48, 12)} AS ml, {_over("max(high)", 60)} AS peak, close / nullif({_over("max(high)", 12, 1)}, 0) - 1 AS breakout_dist
   FROM g WINDOW s AS (PARTITION BY symbol ORDER BY ts))"""
 
 
-@query("q_snap_all", "symbol ts ~close ~ret_1h ~ret_4h ~ret_24h ~vol_24h ~vol_7d ~trend_20d ~taker_buy_24h ~mast_gain_48h ~flag_range_12h ~flag_retrace ~breakout_dist", SNAP, "SELECT *, (fh - fl) / fl AS flag_range_12h, CASE WHEN peak - ml IS NOT NULL THEN greatest((peak - fl) / nullif(peak - ml, 0), 0) END AS flag_retrace FROM z")
+@query("q_snap_all", "symbol ts ~close ~ret_1h ~ret_4h ~ret_24h ~vol_24h ~vol_7d ~trend_20d ~taker_buy_24h ~mast_gain_48h ~flag_range_12h ~flag_retrace ~breakout_dist", SNAP, "SELECT *, (fh - fl) / nullif(fl, 0) AS flag_range_12h, CASE WHEN peak - ml IS NOT NULL THEN greatest((peak - fl) / nullif(peak - ml, 0), 0) END AS flag_retrace FROM z")
 def q_snap(spark, d):
     """Every feature of an hourly snapshot at the bar's end (two longer trends need more days than the events have): one sort per symbol."""
     k = ("symbol", "ts")
@@ -179,8 +179,8 @@ def q_snap(spark, d):
     b = b.withColumns({
         "ret_1h": F.col("lr"), "ret_4h": ts.log_return("close", *k, 4), "ret_24h": ts.log_return("close", *k, 24),
         "vol_24h": r(F.stddev_samp, "lr", 24) * year, "vol_7d": r(F.stddev_samp, "lr", 168) * year, "trend_20d": ts.pct_change("close", *k, 480),
-        "taker_buy_24h": F.try_divide(r(F.sum, "taker", 24), r(F.sum, "volume", 24)), "mast_gain_48h": F.lag("close", 12).over(ts.by(*k)) / r(F.min, "low", 48, 12) - 1,
-        "fh": r(F.max, "high", 12), "fl": r(F.min, "low", 12), "ml": r(F.min, "low", 48, 12), "peak": r(F.max, "high", 60), "breakout_dist": F.col("close") / r(F.max, "high", 12, 1) - 1,
+        "taker_buy_24h": F.try_divide(r(F.sum, "taker", 24), r(F.sum, "volume", 24)), "mast_gain_48h": F.try_divide(F.lag("close", 12).over(ts.by(*k)), r(F.min, "low", 48, 12)) - 1,
+        "fh": r(F.max, "high", 12), "fl": r(F.min, "low", 12), "ml": r(F.min, "low", 48, 12), "peak": r(F.max, "high", 60), "breakout_dist": F.try_divide(F.col("close"), r(F.max, "high", 12, 1)) - 1,
     })
     retrace = F.greatest(F.try_divide(F.col("peak") - F.col("fl"), F.col("peak") - F.col("ml")), F.lit(0.0))
-    return b.withColumns({"flag_range_12h": (F.col("fh") - F.col("fl")) / F.col("fl"), "flag_retrace": F.when((F.col("peak") - F.col("ml")).isNull(), None).otherwise(retrace), "ts": F.col("ts") + F.expr("INTERVAL 1 HOUR")})
+    return b.withColumns({"flag_range_12h": F.try_divide(F.col("fh") - F.col("fl"), F.col("fl")), "flag_retrace": F.when((F.col("peak") - F.col("ml")).isNull(), None).otherwise(retrace), "ts": F.col("ts") + F.expr("INTERVAL 1 HOUR")})

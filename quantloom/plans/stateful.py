@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import folds as fo
 from ..operators import scoring as sc
 from ..operators import stateful as so
 from ..operators import stats as st
@@ -12,33 +13,37 @@ from ..operators import timeseries as ts
 from ..sources import frames as fr
 from .catalog import HOURS, RETS, SYM, _filled, _rets, _W, query
 
-# Months of each symbol: few enough rows for a recursive oracle.
-MONTHS = fr.DAILY + ", m AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS date, avg(close) / 300000 AS x FROM daily GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM m)"
+#: Daily closes of each symbol, scaled, in order; the oracles go through them row by row.
+DAYS = fr.DAILY + ", n AS MATERIALIZED (SELECT symbol, date, round(close / 300000, 9) AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM daily)"
+#: Rows of a chunk in these queries: a few hundred, so that every symbol's years are cut into several.
+CHUNK = 256
 
 
-def _months(spark, d) -> DataFrame:
-    return fr.daily_close(spark, d).groupBy("symbol", F.trunc("date", "month").alias("date")).agg((F.avg("close") / 300000).alias("x"))
+def _days(spark, d) -> DataFrame:
+    return fr.daily_close(spark, d).select("symbol", "date", F.round(F.col("close") / 300000, 9).alias("x"))
 
 
-@query("o1_apply_band", "symbol date ~held", "RECURSIVE " + MONTHS + ", f AS (SELECT symbol, date, k, CASE WHEN x = 0 OR abs(x) > 0.1 THEN x ELSE 0 END AS held FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.date, n.k, CASE WHEN n.x = 0 OR abs(n.x - f.held) > 0.1 THEN n.x ELSE f.held END FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1)", "SELECT * FROM f")
+@query("o1_apply_band", "symbol date ~held", "RECURSIVE " + DAYS + ", f AS (SELECT symbol, date, k, CASE WHEN x = 0 OR abs(x) > 0.1 THEN x ELSE 0 END AS held FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.date, n.k, CASE WHEN n.x = 0 OR abs(n.x - f.held) > 0.1 THEN n.x ELSE f.held END FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1)", "SELECT * FROM f")
 def o1(spark, d):
-    return so.apply_band(_months(spark, d), "symbol", "date", "x", 0.1)
+    return fo.apply_band(_days(spark, d), "symbol", "date", "x", 0.1, rows=CHUNK)
 
 
-@query("o2_state_machine", "symbol date #state", "RECURSIVE " + MONTHS + ", f AS (SELECT symbol, date, k, (x > 0.62)::INT AS state FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.date, n.k, CASE WHEN f.state = 1 THEN (NOT n.x < 0.58)::INT ELSE (n.x > 0.62)::INT END FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1)", "SELECT * FROM f")
+@query("o2_state_machine", "symbol date #state", "RECURSIVE " + DAYS + ", f AS (SELECT symbol, date, k, (x > 0.62)::INT AS state FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.date, n.k, CASE WHEN f.state = 1 THEN (NOT (n.x < 0.58 OR n.x > 0.66))::INT ELSE (n.x > 0.62)::INT END FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1)", "SELECT * FROM f")
 def o2(spark, d):
-    m = _months(spark, d).withColumns({"enter": F.col("x") > 0.62, "leave": F.col("x") < 0.58})
-    return so.state_machine(m, "symbol", "date", "enter", "leave")
+    """A day above 0.66 is an entry and an exit."""
+    x = F.col("x")
+    return fo.state_machine(_days(spark, d).withColumns({"enter": x > 0.62, "leave": (x < 0.58) | (x > 0.66)}), "symbol", "date", "enter", "leave", rows=CHUNK)
 
 
-@query("o4_rsi", "symbol date ~rsi", "RECURSIVE " + MONTHS + ", g AS (SELECT symbol, date, k, greatest(x - lag(x) OVER (PARTITION BY symbol ORDER BY k), 0) AS up, greatest(lag(x) OVER (PARTITION BY symbol ORDER BY k) - x, 0) AS down FROM n), f AS (SELECT symbol, date, k, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS d FROM g WHERE k = 1 UNION ALL SELECT g.symbol, g.date, g.k, CASE WHEN f.u IS NULL THEN g.up ELSE f.u / 2 + g.up / 2 END, CASE WHEN f.d IS NULL THEN g.down ELSE f.d / 2 + g.down / 2 END FROM f JOIN g ON g.symbol = f.symbol AND g.k = f.k + 1)", "SELECT symbol, date, CASE WHEN d > 0 THEN 100 - 100 / (1 + u / d) ELSE 100 END AS rsi FROM f")
+@query("o4_rsi", "symbol date ~rsi", "RECURSIVE " + DAYS + ", g AS MATERIALIZED (SELECT symbol, date, k, greatest(x - lag(x) OVER (PARTITION BY symbol ORDER BY k), 0) AS up, greatest(lag(x) OVER (PARTITION BY symbol ORDER BY k) - x, 0) AS down FROM n), f AS (SELECT symbol, date, k, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS d FROM g WHERE k = 1 UNION ALL SELECT g.symbol, g.date, g.k, CASE WHEN f.u IS NULL THEN g.up ELSE f.u * 13 / 14 + g.up / 14 END, CASE WHEN f.d IS NULL THEN g.down ELSE f.d * 13 / 14 + g.down / 14 END FROM f JOIN g ON g.symbol = f.symbol AND g.k = f.k + 1)", "SELECT symbol, date, CASE WHEN d > 0 THEN 100 - 100 / (1 + u / d) ELSE 100 END AS rsi FROM f")
 def o4(spark, d):
-    return so.rsi(_months(spark, d), "symbol", "date", "x", 2)
+    return fo.rsi(_days(spark, d), "symbol", "date", "x", 14, rows=CHUNK)
 
 
-@query("w17_rolling_max_drawdown", "symbol date ~max_drawdown", RETS + ", r AS (SELECT symbol, date, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS s FROM rets WHERE ret IS NOT NULL), c AS (SELECT a.symbol, a.date, min(exp(z.s - y.s) - 1) AS m FROM r a JOIN r y ON y.symbol = a.symbol AND y.k BETWEEN a.k - 9 AND a.k JOIN r z ON z.symbol = a.symbol AND z.k BETWEEN y.k AND a.k WHERE a.k >= 10 GROUP BY 1, 2)", "SELECT r.symbol, r.date, c.m AS max_drawdown FROM r LEFT JOIN c ON r.symbol = c.symbol AND r.date = c.date")
+@query("w17_rolling_max_drawdown", "symbol date ~max_drawdown", RETS + ", r AS (SELECT symbol, date, ret * 100 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, sum(ln(1 + ret * 100)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS s FROM rets WHERE ret IS NOT NULL), c AS (SELECT a.symbol, a.date, min(exp(z.s - y.s) - 1) AS m FROM r a JOIN r y ON y.symbol = a.symbol AND y.k BETWEEN a.k - 9 AND a.k JOIN r z ON z.symbol = a.symbol AND z.k BETWEEN y.k AND a.k WHERE a.k >= 10 GROUP BY 1, 2)", "SELECT r.symbol, r.date, c.m AS max_drawdown FROM r LEFT JOIN c ON r.symbol = c.symbol AND r.date = c.date")
 def w17(spark, d):
-    return so.rolling_max_drawdown(_rets(spark, d).where("ret is not null"), "symbol", "date", "ret", 10)
+    r = _rets(spark, d).where("ret is not null").withColumn("ret", F.col("ret") * 100)
+    return fo.rolling_max_drawdown(r, "symbol", "date", "ret", 10, rows=CHUNK)
 
 
 @query("o8_weekly_hold", "symbol date ~w", RETS, f"SELECT symbol, date, CASE WHEN close < CASE WHEN count(close) OVER {_W(200)} = 200 THEN avg(close) OVER {_W(200)} END THEN 0 ELSE coalesce(last_value(CASE WHEN dayofweek(date) = 0 THEN close / 500000 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 0) END AS w FROM filled")
@@ -110,7 +115,7 @@ def q_trend(spark, d):
     f = trend_signal(_rets(spark, d))
     vol = ts.rolling(F.stddev_samp, "ret", "symbol", "date", 30) * F.sqrt(F.lit(365.0))
     f = f.withColumn("target", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("signal") * 0.4, vol))))
-    f = so.apply_band(f.select("symbol", "date", "ret", "target"), "symbol", "date", "target")
+    f = fo.apply_band(f.select("symbol", "date", "ret", "target"), "symbol", "date", "target")
     f = f.withColumn("next", F.lead("ret").over(ts.by("symbol", "date"))).where("next is not null")
     return st.metrics(st.strategy_returns(f, "symbol", "date", "held", "next", 0.001), "symbol", "date", "net")
 

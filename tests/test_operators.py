@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import crosssec as cs
 from quantloom.operators import joins as jn
 from quantloom.operators import scoring as sc
-from quantloom.operators import stateful as so
+from quantloom.operators import folds as so
 from quantloom.operators import stats as st
 from quantloom.operators import timeseries as ts
 
