@@ -28,7 +28,7 @@ CHUNK, SLICE = 4 << 20, 1 << 17
 #: Positions of a segment at most, so that its first and last string tell all of its bytes.
 STRETCH = 50
 #: A fingerprint in so many chunks deals each of its strings by all of the string's bytes.
-HOT = 64
+HOT = 4096
 #: Bytes of one fingerprint's distinct segments that are one text; more are compared string by string.
 LANE = 4096
 #: Symbols that are sorted in step.
@@ -161,7 +161,7 @@ def lowest(texts: np.ndarray, sizes: np.ndarray, low: np.ndarray, owner: np.ndar
     for k in np.flatnonzero((segments > 1) & (symbols > LANE)):  # string by string
         rows = np.arange(first[k], first[k] + segments[k])
         at = np.repeat(begin[rows] - n[rows].cumsum() + n[rows], n[rows]) + np.arange(n[rows].sum())
-        grams = np.ascontiguousarray(texts[at[:, None] + np.arange(length)]).view(f"V{length}").ravel()
+        grams = np.lib.stride_tricks.sliding_window_view(texts, length)[at].view(f"V{length}").ravel()
         _, back = np.unique(grams, return_inverse=True)
         least = np.full(back.max() + 1, NONE)
         np.minimum.at(least, back, np.repeat(low[rows], n[rows]))
@@ -270,6 +270,17 @@ def _digest(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return mixed(out)
 
 
+def _taken(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of text with these begins and sizes, one after the other."""
+    out, to = np.empty(int(sizes.sum()), np.uint8), 0
+    for a in range(0, len(sizes), 1 << 13):
+        b, n = begin[a : a + (1 << 13)], sizes[a : a + (1 << 13)]
+        where = np.repeat(b - n.cumsum() + n, n) + np.arange(n.sum())
+        out[to : to + len(where)] = text[where]
+        to += len(where)
+    return out
+
+
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by keys (the first one leads), where each group of equal ones begins there, and the group of each row."""
     order = np.lexsort(keys[::-1])
@@ -326,9 +337,7 @@ class Chunk:
         np.minimum.at(low, self.of, self.own)
         at, many = self.at[self.order][self.first], self.strings[self.order][self.first]
         for shard, part in self.rows(self.distinct):
-            size = many[part] + self.length - 1
-            where = np.repeat(at[part] - size.cumsum() + size, size) + np.arange(size.sum())
-            yield shard, self.number, self.distinct[part].astype(np.uint32).tobytes(), many[part].astype(np.uint8).tobytes(), low[part].tobytes(), self.text[where].tobytes()
+            yield shard, self.number, self.distinct[part].astype(np.uint32).tobytes(), many[part].astype(np.uint8).tobytes(), low[part].tobytes(), _taken(self.text, at[part], many[part] + self.length - 1).tobytes()
 
     def documents(self, found: list[dict]) -> Iterator[tuple]:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, given the smallest id of each string of the distinct segments."""
@@ -476,8 +485,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
             order, first, back = _groups(keys, strings, _digest(text, begin, length), _digest(text, begin + strings - 1, length))
             least = np.minimum.reduceat(low[order], first)
             pick = order[first]
-            where = np.repeat(begin[pick] - sizes[pick].cumsum() + sizes[pick], sizes[pick]) + np.arange(sizes[pick].sum())
-            least = lowest(text[where], sizes[pick], least, keys[pick], length)
+            least = lowest(_taken(text, begin[pick], sizes[pick]), sizes[pick], least, keys[pick], length)
             to = strings[pick].cumsum() - strings[pick]
             at = 0
             for r, n in zip(rows, counts, strict=True):
