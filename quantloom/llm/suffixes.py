@@ -27,8 +27,8 @@ NONE = (1 << 63) - 1
 CHUNK, SLICE = 4 << 20, 1 << 17
 #: Positions of a segment at most, so that its first and last string tell all of its bytes.
 STRETCH = 50
-#: A fingerprint in so many chunks deals each of its strings by all of the string's bytes.
-HOT = 4096
+#: Of a fingerprint in so many chunks only the strings that stand in more than one document are sent.
+HOT = 64
 #: Bytes of one fingerprint's distinct segments that are one text; more are compared string by string.
 LANE = 4096
 #: Symbols that are sorted in step.
@@ -293,6 +293,12 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), back
 
 
+def _states(marks: list[dict]) -> np.ndarray:
+    """0, 1 (in more than one document) or 2 (and frequent) for each distinct key that a chunk has told, in their order."""
+    bits = [np.unpackbits(np.frombuffer(m["marks"], np.uint8).reshape(2, -1), axis=1, count=m["many"]).sum(0) for m in sorted(marks, key=lambda m: m["shard"])]
+    return np.concatenate(bits) if bits else np.zeros(0, int)
+
+
 class Chunk:
     """Documents that are looked at together, with their stretches."""
 
@@ -315,17 +321,39 @@ class Chunk:
         for a, b in zip([0, *cut[:-1]], cut, strict=False):
             yield int(shard[a]), slice(int(a), int(b))
 
+    def told(self) -> Iterator[tuple]:
+        """shard, chunk, keys, shared (whether in more than one document here) of the distinct fingerprints."""
+        for shard, part in self.rows(self.keys):
+            yield shard, self.number, self.keys[part].astype(np.uint32).tobytes(), np.packbits(self.shared[part]).tobytes()
+
+    def marked(self, marks: list[dict]) -> None:
+        """Takes what the shards say of the fingerprints: which may repeat, and the strings of the frequent ones."""
+        state = _states(marks)[self.back]
+        self.one, self.hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
+        many = self.many[self.hot]
+        self.segment = np.repeat(self.hot, many)  # of each string of a frequent fingerprint
+        self.string = self.begin[self.segment] + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
+        key = dealt(_digest(self.text, self.string, self.length), self.shards)
+        order, first, self.string_back = _groups(key)
+        self.string_keys = key[order][first]
+        doc = self.doc[self.segment][order]
+        self.string_shared = doc[first] != doc[np.append(first[1:], len(order)) - 1] if len(order) else np.zeros(0, bool)
+
+    def told_strings(self) -> Iterator[tuple]:
+        """As told(), of the strings of the frequent fingerprints."""
+        for shard, part in self.rows(self.string_keys):
+            yield shard, self.number, self.string_keys[part].astype(np.uint32).tobytes(), np.packbits(self.string_shared[part]).tobytes()
+
     def segments(self, marks: list[dict]) -> None:
-        """Takes what the shards say of the fingerprints and sets the segments that may repeat: their documents' place, begin
-        and number of strings, and the distinct ones among them, in the order of their keys."""
-        state = np.concatenate([np.unpackbits(np.frombuffer(m["marks"], np.uint8).reshape(2, -1), axis=1, count=m["many"]).sum(0) for m in sorted(marks, key=lambda m: m["shard"])]) if marks else np.zeros(0, int)
-        state = state[self.back]
-        one, hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
-        begin = np.repeat(self.begin[hot], self.many[hot])
-        begin += np.arange(len(begin)) - np.repeat(self.many[hot].cumsum() - self.many[hot], self.many[hot])
-        self.at = np.append(self.begin[one], begin)
-        self.strings = np.append(self.many[one], np.ones(len(begin), np.int64))
-        key = np.append(self.key[one], dealt(_digest(self.text, begin, self.length), self.shards))
+        """Takes what the shards say of these strings and sets the segments that may repeat: their begin and number of
+        strings, and the distinct ones among them, in the order of their keys. A frequent fingerprint's segments are
+        cut to runs of strings that repeat."""
+        stay = np.flatnonzero(_states(marks)[self.string_back] > 0)
+        at, of = self.string[stay], self.segment[stay]
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]))) if len(at) else np.zeros(0, np.int64)
+        self.at = np.append(self.begin[self.one], at[first])
+        self.strings = np.append(self.many[self.one], np.diff(np.append(first, len(at))))
+        key = np.append(self.key[self.one], self.key[of[first]])
         self.own = self.ids[np.searchsorted(self.ends, self.at, "right")]
         ends = _digest(self.text, self.at, self.length), _digest(self.text, self.at + self.strings - 1, self.length)
         order, self.first, self.of = _groups(key, self.strings, *ends)
@@ -426,12 +454,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document without the bytes that a string of `length` bytes
     covers which also starts in a document with a smaller id.
 
-    Four passes. (1) Documents become chunks; each tells its shards' fingerprints, four bytes each, and the shards answer
-    which stand in more than one document. (2) Chunks send their distinct segments with such a fingerprint, each with
-    its smallest id; (3) a shard joins equal ones, sorts the suffixes of every fingerprint's segments, and answers
-    with the smallest id of each string, in runs. (4) Chunks mark what those cover. So a passage in any number of documents
-    is sent once a chunk. A fingerprint in HOT chunks or more deals its strings one by one, each by all of its bytes;
-    one with more than LANE bytes of distinct segments in a shard is compared string by string. Both are exact.
+    Five passes. (1) Documents become chunks; each tells its shards' fingerprints, four bytes each, and the shards answer
+    which stand in more than one document. (2) Of fingerprints in HOT chunks or more each string is told in the same
+    way. (3) Chunks send their distinct segments with such a fingerprint, each with its smallest id, and of frequent ones
+    the runs of strings that repeat; (4) a shard joins equal ones, sorts the suffixes of every fingerprint's segments,
+    and answers with the smallest id of each string, in runs. (5) Chunks mark what those cover. So a passage in any number
+    of documents is sent once a chunk. A fingerprint with more than LANE bytes of distinct segments in a shard is
+    compared string by string. All of it is exact: what is left out stands in one document only.
 
     Null and empty texts have no bytes. Rows without an id come after all others and aren't smaller than each
     other; rows of one id aren't either. Repeated rows each give a row. Texts of any length: strings are hashed slice
@@ -443,13 +472,21 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     size = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(common.tasks(spark), size // (8 * CHUNK) + 1)
 
+    told_schema = "shard int, chunk long, keys binary, shared binary"
+
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                if out := list(Chunk(row, length, shards).told()):
+                    yield _batch(out, told_schema)
+
+    def told_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row, length, shards)
-                out = [(shard, c.number, c.keys[part].astype(np.uint32).tobytes(), np.packbits(c.shared[part]).tobytes()) for shard, part in c.rows(c.keys)]
-                if out:
-                    yield _batch(out, "shard int, chunk long, keys binary, shared binary")
+                c.marked(row["marked"] or [])
+                if out := list(c.told_strings()):
+                    yield _batch(out, told_schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
@@ -469,7 +506,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row, length, shards)
-                c.segments(row["marked"] or [])
+                c.marked(row["marked"] or [])
+                c.segments(row["strings"] or [])
                 out = list(c.shipped())
                 if out:
                     yield _batch(out, "shard int, chunk long, keys binary, strings binary, low binary, bytes binary")
@@ -500,24 +538,29 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row, length, shards)
-                c.segments(row["marked"] or [])
+                c.marked(row["marked"] or [])
+                c.segments(row["strings"] or [])
                 yield _batch(list(c.documents(row["found"] or [])), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     def of_chunk(answers: DataFrame, name: str) -> DataFrame:
         """One row per chunk, with as many entries as it has shards."""
         return answers.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in answers.columns if c != "chunk"])).alias(name)).hint("shuffle_hash")
 
+    def answered(rows: DataFrame, name: str) -> DataFrame:
+        asked = rows.repartition(shards, "shard").sortWithinPartitions("shard")
+        return common.save(asked.mapInArrow(counted, "chunk long, shard int, many int, marks binary"), name)
+
     with _at_once(spark, 2):
-        prints = chunks.mapInArrow(told, "shard int, chunk long, keys binary, shared binary")
-        marks = prints.repartition(shards, "shard").sortWithinPartitions("shard")
-        marks = common.save(marks.mapInArrow(counted, "chunk long, shard int, many int, marks binary"), "marks")
+        marks = answered(chunks.mapInArrow(told, told_schema), "marks")
         marked = chunks.join(of_chunk(marks, "marked"), "chunk", "left")
+        strings = answered(marked.mapInArrow(told_strings, told_schema), "strings")
+        marked = marked.join(of_chunk(strings, "strings"), "chunk", "left")
         parts = marked.mapInArrow(sent, "shard int, chunk long, keys binary, strings binary, low binary, bytes binary")
         parts = parts.repartition(shards, "shard").sortWithinPartitions("shard")
         found = common.save(parts.mapInArrow(sorted_, "chunk long, shard int, least binary, runs binary"), "found")
-        out = chunks.join(of_chunk(marks, "marked"), "chunk", "left").join(of_chunk(found, "found"), "chunk", "left")
+        out = marked.join(of_chunk(found, "found"), "chunk", "left")
         out = common.save(out.mapInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "cleaned")
-    for t in (chunks, marks, found):
+    for t in (chunks, marks, strings, found):
         common.drop(t)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NONE)))
 
