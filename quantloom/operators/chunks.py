@@ -25,15 +25,15 @@ def chunked(df: DataFrame, key: str, order: str, rows: int = ROWS, name: str = "
     """
     kind = df.schema[order].dataType.simpleString()
     place = {"date": F.unix_date(order), "timestamp": F.unix_micros(order), "timestamp_ntz": F.unix_micros(F.col(order).cast("timestamp"))}.get(kind, F.col(order)).cast("double")
-    sizes = df.groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("n_"), F.min(place).alias("lo_"), F.max(place).alias("hi_")).where(F.col("n_") > rows)
-    width = (F.col("hi_") - F.col("lo_")) * rows / F.col("n_") / 8
-    d = df.join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("key_")), "left")  # at most one for each `rows` rows of df
-    d = d.withColumn("stretch_", F.when(F.col("n_").isNotNull(), F.floor(F.coalesce(F.try_divide(place - F.col("lo_"), width), F.lit(0.0)))))
-    upto = W.partitionBy("key_").orderBy("stretch_").rowsBetween(W.unboundedPreceding, -1)
-    counts = d.where("stretch_ is not null").groupBy(F.col(key).alias("key_"), "stretch_").agg(F.count("*").alias("many_"))
-    counts = counts.select(F.col("key_").alias("of_"), F.col("stretch_").alias("at_"), F.floor(F.coalesce(F.sum("many_").over(upto), F.lit(0)) / rows).cast("int").alias(name))
-    d = d.join(counts, F.col(key).eqNullSafe(F.col("of_")) & (F.col("stretch_") == F.col("at_")), "left")
-    return d.withColumn(name, F.coalesce(name, F.lit(0))).drop("key_", "n_", "lo_", "hi_", "stretch_", "of_", "at_")
+    sizes = df.groupBy(F.col(key).alias("chunk_key_")).agg(F.count("*").alias("chunk_n_"), F.min(place).alias("chunk_lo_"), F.max(place).alias("chunk_hi_")).where(F.col("chunk_n_") > rows)
+    width = (F.col("chunk_hi_") - F.col("chunk_lo_")) * rows / F.col("chunk_n_") / 8
+    d = df.join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("chunk_key_")), "left")  # at most one for each `rows` rows of df
+    d = d.withColumn("chunk_stretch_", F.when(F.col("chunk_n_").isNotNull(), F.floor(F.coalesce(F.try_divide(place - F.col("chunk_lo_"), width), F.lit(0.0)))))
+    upto = W.partitionBy("chunk_key_").orderBy("chunk_stretch_").rowsBetween(W.unboundedPreceding, -1)
+    counts = d.where("chunk_stretch_ is not null").groupBy(F.col(key).alias("chunk_key_"), "chunk_stretch_").agg(F.count("*").alias("chunk_many_"))
+    counts = counts.select(F.col("chunk_key_").alias("chunk_of_"), F.col("chunk_stretch_").alias("chunk_at_"), F.floor(F.coalesce(F.sum("chunk_many_").over(upto), F.lit(0)) / rows).cast("int").alias(name))
+    d = d.join(counts, F.col(key).eqNullSafe(F.col("chunk_of_")) & (F.col("chunk_stretch_") == F.col("chunk_at_")), "left")
+    return d.withColumn(name, F.coalesce(name, F.lit(0))).drop("chunk_key_", "chunk_n_", "chunk_lo_", "chunk_hi_", "chunk_stretch_", "chunk_of_", "chunk_at_")
 
 
 def inside(key: str, order: str, chunk: str = "chunk_") -> WindowSpec:
@@ -55,14 +55,14 @@ def carried(df: DataFrame, key: str, summary: list[Column], start: dict[str, Col
 
     summary: aggregates over a chunk's rows; start: columns over the summaries, with windows like earlier().
     """
-    s = df.groupBy(key, chunk).agg(*summary).withColumns(start).select(F.col(key).alias("of_"), F.col(chunk).alias("at_"), *start)
-    return df.join(s, F.col(key).eqNullSafe(F.col("of_")) & (F.col(chunk) == F.col("at_")), "left").drop("of_", "at_")
+    s = df.groupBy(key, chunk).agg(*summary).withColumns(start).select(F.col(key).alias("chunk_of_"), F.col(chunk).alias("chunk_at_"), *start)
+    return df.join(s, F.col(key).eqNullSafe(F.col("chunk_of_")) & (F.col(chunk) == F.col("chunk_at_")), "left").drop("chunk_of_", "chunk_at_")
 
 
-def numbered(df: DataFrame, key: str, order: str, name: str = "i_", chunk: str = "chunk_") -> DataFrame:
-    """df (chunked) with the place of each row in its key's order, from 0."""
-    d = carried(df, key, [F.count("*").alias("n_")], {"before_": F.coalesce(F.sum("n_").over(earlier(key, chunk)), F.lit(0))}, chunk)
-    return d.withColumn(name, F.col("before_") + F.row_number().over(inside(key, order, chunk)) - 1).drop("before_")
+def numbered(df: DataFrame, key: str, order: str, name: str = "i_", chunk: str = "chunk_", tie: str | None = None) -> DataFrame:
+    """df (chunked) with the place of each row in its key's order, from 0; rows of one `order` stand by `tie`."""
+    d = carried(df, key, [F.count("*").alias("chunk_n_")], {"before_": F.coalesce(F.sum("chunk_n_").over(earlier(key, chunk)), F.lit(0))}, chunk)
+    return d.withColumn(name, F.col("before_") + F.row_number().over(W.partitionBy(key, chunk).orderBy(order, *([tie] if tie else []))) - 1).drop("before_")
 
 
 def previous(df: DataFrame, key: str, order: str, value: str, name: str, chunk: str = "chunk_") -> DataFrame:

@@ -33,14 +33,6 @@ def rolling(agg, col: str, key: str, ts: str, n: int, min_periods: int | None =
     return guarded(agg(col), col, last_n(key, ts, n, lag), n if min_periods is None else min_periods)
 
 
-def rolling_quantile(col: str, q: float, key: str, ts: str, n: int, min_periods: int) -> Column:
-    return guarded(F.percentile(col, F.lit(q)), col, last_n(key, ts, n), min_periods)
-
-
-def expanding_median(col: str, key: str, ts: str, min_periods: int) -> Column:
-    return guarded(F.percentile(col, F.lit(0.5)), col, upto(key, ts), min_periods)
-
-
 def pct_change(col: str, key: str, ts: str, n: int = 1) -> Column:
     return F.try_divide(F.col(col), F.lag(col, n).over(by(key, ts))) - 1
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crosssec as cs
 from ..operators import joins as jn
+from ..operators import quantiles as qu
 from ..operators import scoring as sc
 from ..operators import stats as st
 from ..operators import timeseries as ts
@@ -117,7 +118,7 @@ def w9(spark, d):
 
 @query("w10_rolling_quantile", "symbol date ~q90", fr.FILLED, f"SELECT symbol, date, CASE WHEN count(close) OVER {_W(60)} >= 30 THEN quantile_cont(close, 0.9) OVER {_W(60)} END AS q90 FROM filled")
 def w10(spark, d):
-    return _filled(spark, d).select("symbol", "date", ts.rolling_quantile("close", 0.9, "symbol", "date", 60, 30).alias("q90"))
+    return qu.rolling_quantile(_filled(spark, d).select("symbol", "date", "close"), "symbol", "date", "close", 0.9, 60, 30, "q90", rows=1000)
 
 
 @query("w11_rolling_diff_variance", "symbol date ~var24", fr.FILLED, f"SELECT symbol, date, CASE WHEN count(x) OVER f = 24 THEN var_samp(x) OVER f END AS var24 FROM (SELECT symbol, date, (close - lag(close) OVER {SYM})) / 1e5 AS x FROM filled) WINDOW f AS {_W(24)}")
@@ -126,10 +127,10 @@ def w11(spark, d):
     return x.select("symbol", "date", ts.rolling(F.var_samp, "x", "symbol", "date", 24).alias("var24"))
 
 
-@query("w13_expanding_median", "symbol month ~median", fr.DAILY + ", m AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS month, avg(close) AS close FROM daily GROUP BY 1, 2)", "SELECT symbol, month, CASE WHEN count(close) OVER w >= 12 THEN quantile_cont(close, 0.5) OVER w END AS median FROM m WINDOW w AS (PARTITION BY symbol ORDER BY month ROWS UNBOUNDED PRECEDING)")
+@query("w13_expanding_median", "symbol date ~median", fr.DAILY, "SELECT symbol, date, CASE WHEN count(close) OVER w >= 12 THEN quantile_cont(close, 0.5) OVER w END AS median FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)")
 def w13(spark, d):
-    m = fr.daily_close(spark, d).groupBy("symbol", F.trunc("date", "month").alias("month")).agg(F.avg("close").alias("close"))
-    return m.select("symbol", "month", ts.expanding_median("close", "symbol", "month", 12).alias("median"))
+    """Over all days: a symbol's years are cut into several chunks and blocks."""
+    return qu.expanding_quantile(fr.daily_close(spark, d), "symbol", "date", "close", 0.5, 12, "median", rows=512)
 
 
 RETS = fr.FILLED + f", rets AS (SELECT *, (close / lag(close) OVER {SYM}) - 1) / 1000 AS ret FROM filled)"

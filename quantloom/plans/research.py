@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forecast as fc
+from ..operators import quantiles as qu
 from ..operators import scoring as sc
 from ..operators import stats as st
 from ..operators import timeseries as ts
@@ -63,8 +64,8 @@ def m7(spark, d):
 def q_j(spark, d):
     """Whether a week's mean stands in the top tenth of the past year's; false until half a year is known."""
     k = ("symbol", "date")
-    a = _filled(spark, d).withColumn("x", F.round(ts.rolling(F.avg, "close", *k, 7), 4))
-    return a.withColumn("crowded", sc.holds(F.col("x") > ts.rolling_quantile("x", 0.9, *k, 365, 180)))
+    a = _filled(spark, d).select(*k, F.round(ts.rolling(F.avg, "close", *k, 7), 4).alias("x"))
+    return qu.rolling_quantile(a, *k, "x", 0.9, 365, 180, "q", rows=1000).withColumn("crowded", sc.holds(F.col("x") > F.col("q")))
 
 
 @query("o5_ensemble_filter", "symbol ts ~p_up ~mu ~mu_spread ~variance ~h_spread ~position")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import folds as fo
+from ..operators import quantiles as qu
 from ..operators import scoring as sc
 from ..operators import stateful as so
 from ..operators import stats as st
@@ -152,7 +153,8 @@ def m4(spark, d):
     k = ("symbol", "date")
     f = _rets(spark, d).withColumn("trend", ts.pct_change("close", *k, 60))
     f = f.withColumn("vol", F.round(ts.rolling(F.stddev_samp, "ret", *k, 30), 9))
-    high = sc.holds(F.col("vol") > ts.expanding_median("vol", *k, 180))
+    f = qu.expanding_quantile(f.select(*k, "ret", "trend", "vol"), *k, "vol", 0.5, 180, "median")
+    high = sc.holds(F.col("vol") > F.col("median"))
     trend = F.when(F.col("trend") > 0.1, "up").when(F.col("trend") < -0.1, "down").otherwise("range")
     f = f.withColumn("label", F.concat(trend, F.when(high, "/high").otherwise("/low")))
     f = f.withColumn("regime", F.lag("label").over(ts.by(*k))).where("regime is not null and ret is not null")

@@ -1,4 +1,4 @@
-"""The package on executors: Python tasks need no install or PYTHONPATH."""
+"""What jobs need of the cluster: the package on executors, and tables between steps in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -22,3 +22,17 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(target))
         _SHIPPED.add(app)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir, so that later steps read it, whoever of the executors is lost.
+
+    Where it is unset and all tasks run in the driver's own process (master local), a temporary folder serves.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quantloom-"))
+    return df.checkpoint()
