@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scoring import ic_label
+from .special import correlation_p
 from .timeseries import average_rank
 
 
@@ -16,18 +18,32 @@ def top_fraction(df: DataFrame, date: str, score: str, tie: str, share: float =
     return d.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n", "_r")
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; NULL where a side has no variation."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def ic_masked(df: DataFrame, group: str, x: str, y: str, least: int = 20) -> DataFrame:
     """Rank correlation per group after pairs with a missing side are dropped; t = ic * sqrt((n - 2) / (1 - ic^2))."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = average_rank(average_rank(d, group, x, "_rx"), group, y, "_ry")
-    out = d.groupBy(group).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("ic")).where(F.col("n") >= least)
+    out = d.groupBy(group).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("ic")).where(F.col("n") >= least)
     return out.withColumn("t", F.col("ic") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("ic") * F.col("ic"))))
 
 
+def ic_table(long: DataFrame, signal: str, x: str, y: str, least: int = 10) -> DataFrame:
+    """signal, ic, p, n, significant, label, place of each signal: rank correlation and its two-sided p value, both rounded to four
+    digits. Pairs with a missing side don't count; signals with less than `least` pairs or without variation are left out."""
+    ic = ic_masked(long, signal, x, y, least).where(F.col("ic").isNotNull() & ~F.isnan("ic"))
+    t = ic.select(signal, F.bround("ic", 4).alias("ic"), F.bround(correlation_p(F.col("ic"), F.col("n")), 4).alias("p"), "n")
+    t = t.withColumns({"significant": F.col("p") < 0.05, "label": ic_label(F.col("ic"), F.col("p"))})
+    return t.withColumn("place", F.row_number().over(W.orderBy(F.desc("ic"), signal)))  # a row a signal
+
+
 def ic_ranked_first(df: DataFrame, group: str, x: str, y: str, least: int = 30) -> DataFrame:
     """Rank correlation per group with each side ranked over its own non-null rows, before pairs are formed."""
     d = average_rank(average_rank(df, group, x, "_rx"), group, y, "_ry").where(F.col("_rx").isNotNull() & F.col("_ry").isNotNull())
-    return d.groupBy(group).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("ic")).where(F.col("n") >= least)
+    return d.groupBy(group).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("ic")).where(F.col("n") >= least)
 
 
 def neutral_ranks(df: DataFrame, date: str, cols: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeseries import by, drawdown
+from .special import share_p
+from .timeseries import by, drawdown, upto
 
 DAYS = 365
 
@@ -121,3 +122,36 @@ def calibration(df: DataFrame, key: str, p: str, ret: str) -> DataFrame:
     d = df.where(F.col(p).isNotNull() & F.col(ret).isNotNull()).withColumn("_up", (F.col(ret) > 0).cast("double"))
     up = F.avg("_up")
     return d.groupBy(key).agg(F.count("*").alias("n"), up.alias("risen"), F.avg(p).alias("forecast"), F.avg(F.pow(F.col(p) - F.col("_up"), 2)).alias("brier"), (up - up * up).alias("brier_constant"), F.corr(p, ret).alias("corr"))
+
+
+def performances(df: DataFrame, key: str, ts: str, positions: dict[str, Column], ret: str, fee: float, periods: float = DAYS, group: str | None = None) -> DataFrame:
+    """key, (group,) strategy, days, active, hit_rate, p_value, gross, net, sharpe, volatility, max_drawdown, trades, exposure, turnover,
+    cagr, calmar of every position at once.
+
+    Positions are columns side by side: one sort per key serves all of them, and only their results are turned into rows.
+    A missing position is 0. With `group`, a column that is constant on stretches of a key (a period, say), each of them
+    is an account of its own, though the position held into it is not paid for again.
+    """
+    names, keys = list(positions), [key, *([group] if group else [])]
+    d = df.withColumns({f"_p{k}": F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in enumerate(positions.values())})
+    many, frame = range(len(names)), upto(keys, ts)
+    d = d.withColumns({f"_c{k}": F.coalesce(F.col(f"_p{k}") - F.lag(f"_p{k}").over(by(key, ts)), F.col(f"_p{k}")) for k in many})
+    d = d.withColumns({f"_n{k}": F.col(f"_p{k}") * F.col(ret) - F.abs(f"_c{k}") * fee for k in many})
+    d = d.withColumns({f"_e{k}": F.product(1 + F.col(f"_n{k}")).over(frame) for k in many})
+    d = d.withColumns({f"_d{k}": F.col(f"_e{k}") / F.max(f"_e{k}").over(frame) - 1 for k in many})
+
+    def result(k: int) -> Column:
+        p, net, active = F.col(f"_p{k}"), F.col(f"_n{k}"), F.col(f"_p{k}") != 0
+        return F.struct(
+            F.lit(names[k]).alias("strategy"), F.count(net).alias("days"), F.count_if(active).alias("active"), F.count_if(active & (F.signum(p) == F.signum(ret))).alias("hits"),
+            (F.product(1 + p * F.col(ret)) - 1).alias("gross"), (F.product(1 + net) - 1).alias("net"), F.avg(net).alias("mean"), F.stddev_samp(net).alias("sd"), F.min(f"_d{k}").alias("max_drawdown"),
+            F.count_if(F.col(f"_c{k}") != 0).alias("trades"), F.avg(F.abs(p)).alias("exposure"), F.sum(F.abs(f"_c{k}")).alias("turned"),
+        )
+
+    r = d.groupBy(*keys).agg(F.array(*[result(k) for k in many]).alias("r")).select(*keys, F.inline("r"))
+    year = F.lit(float(periods))
+    r = r.withColumns({
+        "hit_rate": F.try_divide("hits", "active"), "p_value": share_p(F.col("hits"), F.col("active")), "sharpe": F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * F.sqrt(year)),
+        "volatility": F.col("sd") * F.sqrt(year), "turnover": F.col("turned") * year / F.col("days"), "cagr": F.when(F.col("net") > -1, F.pow(1 + F.col("net"), year / F.col("days")) - 1),
+    })
+    return r.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown"))).drop("hits", "mean", "sd", "turned")
