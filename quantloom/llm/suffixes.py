@@ -256,6 +256,7 @@ def stretches(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
 
 def dealt(fingerprint: np.ndarray, shards: int) -> np.ndarray:
     """Shard (above) and what tells fingerprints of a shard apart (the lower 32 bits), in one number."""
+    fingerprint = mixed(fingerprint)  # the smallest of several hashes is small itself
     high, low = fingerprint >> np.uint64(32), fingerprint & np.uint64(0xFFFFFFFF)
     return (high * np.uint64(shards) >> np.uint64(32) << np.uint64(32) | low).astype(np.int64)
 
