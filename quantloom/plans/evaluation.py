@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import crosssec as cs
-from ..operators import folds as fo
 from ..operators import scoring as sc
-from ..operators import special as sp
 from ..operators import stats as st
+from ..operators import sweeps as sw
 from ..operators import timeseries as ts
 from .catalog import RETS, SYM, _filled, _rets, _W, query
 from .companies import SIGNALS, _signals
@@ -63,3 +61,88 @@ def m7_evaluation(spark, d):
     way = F.coalesce(F.signum("before"), F.lit(0.0))
     positions = {f"above {x:.2f}": (F.col("p") > 0.5 + x).cast("double") - (F.col("p") < 0.5 - x).cast("double") for x in (0.0, 0.02, 0.05, 0.10)}
     return st.performances(r, *k, positions | {"hold": F.lit(1.0), "momentum": way, "reversal": -way}, "ret", 0.0005)
+
+
+#: Prices that move by a few per cent a day: the mean of the last 28 days' closes.
+PRICE = RETS + f""", price AS (SELECT symbol, date, c AS close, c / lag(c) OVER {SYM}) - 1 AS day FROM (SELECT symbol, date, avg(close) OVER {_W(28)} AS c, count(close) OVER {_W(28)} AS n FROM filled) WHERE n = 28)"""
+
+
+def _prices(spark, d) -> DataFrame:
+    f = _filled(spark, d).select("symbol", "date", ts.rolling(F.avg, "close", "symbol", "date", 28).alias("close"))
+    return f.where("close is not null")
+
+
+PERIODS = {"early": ("1995-06-01", "1997-01-01"), "unseen": ("1997-01-01", "1999-06-01"), "recent": ("1999-06-01", None), "total": ("1995-06-01", None)}
+SIZES = [sw.Variant(f"{t:.2f}", target=t, guarded=True) for t in (0.19, 0.25, 0.30, 0.40, 0.60, 0.80)]
+VARIANTS = [sw.Variant("G"), sw.Variant("G1", lookbacks=(14, 30, 60, 90)), sw.Variant("G2", guarded=True), sw.Variant("G3", top=2), sw.Variant("I", top=3)]
+
+
+def _sweep_sql(variants) -> str:
+    rows = ", ".join(f"('{v.name}', {v.top}, {v.target}::DOUBLE, {v.guarded}, {'true' if len(v.lookbacks) > 1 else 'false'})" for v in variants)
+    spans = " UNION ALL ".join(f"SELECT '{n}' AS period, DATE '{a}' AS a, DATE '{b or '9999-01-01'}' AS b" for n, (a, b) in PERIODS.items())
+    back = lambda n: f"close / lag(close, {n}) OVER {SYM}) - 1"
+    return PRICE + f""", v(variant, top, target, guarded, wide) AS (VALUES {rows}), spans AS ({spans}),
+m AS (SELECT symbol, date, close, day, {back(30)} AS m0, ({back(14)} + {back(30)} + {back(60)} + {back(90)}) / 4 AS m1, CASE WHEN count(day) OVER {_W(30)} = 30 THEN stddev_samp(day) OVER {_W(30)} * sqrt(365.0) END AS vol,
+             symbol = '1-URGENT' AND coalesce(close < CASE WHEN count(close) OVER {_W(200)} = 200 THEN avg(close) OVER {_W(200)} END, false) AS low FROM price),
+x AS (SELECT m.*, v.*, CASE WHEN wide THEN m1 ELSE m0 END AS mom, bool_or(low) OVER (PARTITION BY date, variant) AS off FROM m, v),
+k AS (SELECT *, row_number() OVER (PARTITION BY date, variant ORDER BY mom DESC NULLS LAST, symbol) AS rank FROM x),
+s AS (SELECT *, CASE WHEN rank <= top AND mom > 0 AND vol > 0 THEN least(target / vol, 1) / top ELSE 0 END AS w FROM k),
+h AS (SELECT *, CASE WHEN guarded AND off THEN 0 ELSE coalesce(last_value(CASE WHEN dayofweek(date) = 0 THEN w END IGNORE NULLS) OVER (PARTITION BY symbol, variant ORDER BY date ROWS UNBOUNDED PRECEDING), 0) END AS held FROM s),
+p AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY symbol, variant ORDER BY date), 0) AS pos FROM h),
+n AS (SELECT *, pos * coalesce(day, 0) - abs(coalesce(pos - lag(pos) OVER (PARTITION BY symbol, variant ORDER BY date), pos)) * 0.003 AS net FROM p),
+f AS (SELECT date, variant, sum(net) AS net, sum(pos) AS pos FROM n GROUP BY 1, 2),
+g AS (SELECT period, variant, date, net, pos, product(1 + net) OVER (PARTITION BY period, variant ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM f JOIN spans ON date >= a AND date < b),
+dd AS (SELECT *, eq / max(eq) OVER (PARTITION BY period, variant ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS down FROM g),
+r AS (SELECT period, variant, count(*) AS days, avg(pos) AS exposure, pow(product(1 + net), 365.0 / count(*)) - 1 AS annual, avg(net) / nullif(stddev_samp(net), 0) * sqrt(365.0) AS sharpe, avg(net) / nullif(stddev_samp(net), 0) * sqrt(count(*)) AS t_stat, min(down) AS max_drawdown FROM dd GROUP BY 1, 2),
+i AS (SELECT *, sum(CASE WHEN pos > 0 AND coalesce(before, 0) <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, variant ORDER BY date ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, lag(pos) OVER (PARTITION BY symbol, variant ORDER BY date) AS before FROM n)),
+t AS (SELECT symbol, variant, seg, min(date) AS entry, product(1 + net) - 1 AS pnl FROM i WHERE pos > 0 GROUP BY 1, 2, 3),
+u AS (SELECT period, variant, count(*) AS trades, avg((pnl > 0)::INT) AS hit_rate, coalesce(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 'inf'::DOUBLE) AS profit_factor FROM t JOIN spans ON entry >= a AND entry < b GROUP BY 1, 2)"""
+
+
+_SWEEP = "SELECT r.*, coalesce(trades, 0) AS trades, hit_rate, profit_factor, max_drawdown > -0.2 AS shallow FROM r LEFT JOIN u USING (period, variant)"
+_SPEC = "period variant #days ~exposure ~annual ~sharpe ~t_stat ~max_drawdown #trades ~hit_rate ~profit_factor shallow"
+
+
+def _swept(spark, d, variants) -> DataFrame:
+    p = _prices(spark, d)
+    low = (F.col("symbol") == "1-URGENT") & sc.holds(F.col("close") < ts.rolling(F.avg, "close", "symbol", "date", 200))
+    r = sw.rotations(p.withColumn("low", low), variants, F.col("low"))
+    return sw.accounts(r, variants, PERIODS).withColumn("shallow", F.col("max_drawdown") > -0.2)
+
+
+@query("q_g2_sizes", _SPEC, _sweep_sql(SIZES), _SWEEP)
+def q_g2_sizes(spark, d):
+    """The guarded rotation at six target volatilities, judged in four periods."""
+    return _swept(spark, d, SIZES)
+
+
+@query("q_g_variants", _SPEC, _sweep_sql(VARIANTS), _SWEEP)
+def q_g_variants(spark, d):
+    """The rotation itself, over several horizons, guarded, and with two and three symbols."""
+    return _swept(spark, d, VARIANTS)
+
+
+WINDOWS = {"month": 30, "quarter": 91, "half": 182}
+_BANDS = " UNION ALL ".join(f"""SELECT symbol, '{s}' AS span, measure, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95, avg((value < 0)::INT) AS negative
+FROM (SELECT symbol, 'ret' AS measure, l / lag(l, {n}) OVER {SYM}) - 1 AS value FROM levels UNION ALL SELECT symbol, 'drawdown', CASE WHEN k >= {n} THEN list_min(list_transform(range(1, {n + 1}), lambda i: w{n}[i] / list_max(w{n}[1:i]) - 1)) END FROM levels) WHERE value IS NOT NULL GROUP BY 1, 3""" for s, n in WINDOWS.items())
+LEVELS = PRICE + f""", lv AS (SELECT symbol, date, product(1 + coalesce(day, 0)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS l, row_number() OVER {SYM}) AS k FROM price WHERE date >= DATE '1997-01-01'),
+levels AS (SELECT *, {', '.join(f"list(l) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) AS w{n}" for n in WINDOWS.values())} FROM lv), b AS ({_BANDS})"""
+
+
+def _bands(spark, d) -> DataFrame:
+    p = _prices(spark, d).withColumn("day", ts.pct_change("close", "symbol", "date")).where("date >= DATE '1997-01-01'")
+    return sw.bands(p, "symbol", "date", "day", WINDOWS, rows=256)
+
+
+@query("m21_normality_bands", "symbol span measure ~p5 ~p25 ~p50 ~p75 ~p95 ~negative", LEVELS, "SELECT * FROM b")
+def m21(spark, d):
+    """Returns and deepest drawdowns of all windows of a month, a quarter and half a year since 1997."""
+    return _bands(spark, d)
+
+
+@query("m22_band_verdict", "symbol #days ~perf span ~p5 ~p95 verdict", LEVELS + ", live AS (SELECT symbol, count(*) AS days, product(1 + coalesce(day, 0)) - 1 AS perf FROM price WHERE date >= DATE '2001-05-01' AND (symbol < '4' OR date >= DATE '2001-07-10') GROUP BY 1)", "SELECT live.symbol, days, perf, s AS span, p5, p95, CASE WHEN perf < p5 THEN 'below' WHEN perf > p95 THEN 'above' ELSE 'inside' END AS verdict FROM (SELECT *, CASE WHEN days <= 30 THEN 'month' WHEN days <= 91 THEN 'quarter' ELSE 'half' END AS s FROM live) live LEFT JOIN b ON b.symbol = live.symbol AND span = s AND measure = 'ret'")
+def m22(spark, d):
+    """Where the last weeks' result stands in the bands of windows of its length."""
+    p = _prices(spark, d).withColumn("day", ts.pct_change("close", "symbol", "date")).where("date >= DATE '2001-05-01' AND (symbol < '4' OR date >= DATE '2001-07-10')")
+    live = p.groupBy("symbol").agg(F.count("*").alias("days"), (F.product(1 + F.coalesce("day", F.lit(0.0))) - 1).alias("perf"))
+    return sw.band_verdict(live, _bands(spark, d), "symbol", "days", "perf", WINDOWS)
