@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from . import catalog, companies, evaluation, research, screens, stateful
+from . import catalog, companies, evaluation, panels, research, screens, stateful
 from .catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "companies", "evaluation", "research", "screens", "stateful"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "companies", "evaluation", "panels", "research", "screens", "stateful"]
