@@ -71,3 +71,12 @@ def previous(df: DataFrame, key: str, order: str, value: str, name: str, chunk:
     last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("last_")
     d = carried(df, key, [last], {"carry_": F.last("last_", ignorenulls=True).over(earlier(key, chunk))}, chunk)
     return d.withColumn(name, F.coalesce(own, "carry_")).drop("carry_")
+
+
+def overlapping(df: DataFrame, key: str, order: str, before: int, rows: int = ROWS) -> DataFrame:
+    """df with i_ (place in the key's order), own_ (its stretch of `rows` places) and part_: a row stands in its own stretch and,
+    if it is one of the last `before` there, in the next one as well. So whoever has a stretch has the rows before it too."""
+    rows = max(rows, before)
+    d = numbered(chunked(df, key, order, rows), key, order).drop("chunk_").withColumn("own_", F.floor(F.col("i_") / rows))
+    again = F.when(F.col("i_") >= (F.col("own_") + 1) * rows - before, F.array("own_", F.col("own_") + 1)).otherwise(F.array("own_"))
+    return d.withColumn("part_", F.explode(again))

@@ -27,10 +27,7 @@ def rolling_quantile(df: DataFrame, key: str, ts: str, value: str, q: float, n:
     Chunks of a key are worked on by themselves, each with the n - 1 rows before it: a sorted list of the window's values
     takes in one and lets one go a row. Rows of a key have different times; missing values count for nothing.
     """
-    rows = max(rows, n)
-    d = ch.numbered(ch.chunked(df, key, ts, rows), key, ts).drop("chunk_").withColumn("own_", F.floor(F.col("i_") / rows))
-    again = F.when(F.col("i_") >= (F.col("own_") + 1) * rows - (n - 1), F.array("own_", F.col("own_") + 1)).otherwise(F.array("own_"))
-    d = d.withColumn("part_", F.explode(again))
+    d = ch.overlapping(df, key, ts, n - 1, rows)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
