@@ -26,21 +26,23 @@ class Variant:
     guarded: bool = False
 
 
-def rotations(daily: DataFrame, variants: Sequence[Variant], guard: Column | None = None, fee: float = 0.003, key: str = "symbol", date: str = "date", close: str = "close") -> DataFrame:
-    """key, date, day (return), and for the k-th variant p<k> (the position of the day) and n<k> (its net return).
+def rotations(daily: DataFrame, variants: Sequence[Variant], guard: Column | None = None, fee: float = 0.003, key: str = "symbol", date: str = "date", close: str = "close", world: str | None = None) -> DataFrame:
+    """(world,) key, date, day (return), and for the k-th variant h<k> (the weight decided at the day's close), p<k> (the position of the day) and n<k> (its net return).
 
     Weights are set on Sundays, held through the week and applied a day later. `guard` is a condition on a date's rows that
-    holds for all of its symbols (or none), such as an index being low. All windows of a key share one sort, and all
-    ranks of a date one.
+    holds for all of its symbols (or none), such as an index being low. Rows of different worlds, if there is such a column,
+    know nothing of each other. All windows of a key share one sort, and all ranks of a date one.
     """
-    w, own = ts.by(key, date), (key, date)
+    apart = [world] if world else []
+    own = ([*apart, key], date)
+    w, cross = ts.by(*own), W.partitionBy(*apart, date)
     back = lambda n: ts.pct_change(close, *own, n)
     d = daily.withColumns({"day": ts.pct_change(close, *own), **{f"_r{n}": back(n) for n in sorted({n for v in variants for n in v.lookbacks})}})
     d = d.withColumn("_vol", ts.rolling(F.stddev_samp, "day", *own, 30) * F.sqrt(F.lit(float(DAYS))))
     looks = list(dict.fromkeys(v.lookbacks for v in variants))
     d = d.withColumns({f"_m{i}": sum((F.col(f"_r{n}") for n in look[1:]), F.col(f"_r{look[0]}")) / len(look) for i, look in enumerate(looks)})
-    off = F.coalesce(F.bool_or(guard if guard is not None else F.lit(False)).over(W.partitionBy(date)), F.lit(False))
-    ranks = {f"_k{i}": F.row_number().over(W.partitionBy(date).orderBy(F.desc_nulls_last(f"_m{i}"), key)) for i in range(len(looks))}
+    off = F.coalesce(F.bool_or(guard if guard is not None else F.lit(False)).over(cross), F.lit(False))
+    ranks = {f"_k{i}": F.row_number().over(cross.orderBy(F.desc_nulls_last(f"_m{i}"), key)) for i in range(len(looks))}
     d = d.withColumns({**ranks, "_off": off})
     sunday = F.dayofweek(date) == 1
 
@@ -52,11 +54,11 @@ def rotations(daily: DataFrame, variants: Sequence[Variant], guard: Column | Non
     d = d.withColumn("_w", F.array(*[weight(v) for v in variants]))
     d = d.withColumn("_w", F.last(F.when(sunday, F.col("_w")), ignorenulls=True).over(ts.upto(*own)))
     held = lambda k, v: F.when(F.col("_off"), 0.0).otherwise(F.coalesce(F.get("_w", F.lit(k)), F.lit(0.0))) if v.guarded else F.coalesce(F.get("_w", F.lit(k)), F.lit(0.0))
-    d = d.withColumns({f"_h{k}": held(k, v) for k, v in enumerate(variants)})
-    d = d.withColumns({f"p{k}": F.coalesce(F.lag(f"_h{k}").over(w), F.lit(0.0)) for k in range(len(variants))})
+    d = d.withColumns({f"h{k}": held(k, v) for k, v in enumerate(variants)})
+    d = d.withColumns({f"p{k}": F.coalesce(F.lag(f"h{k}").over(w), F.lit(0.0)) for k in range(len(variants))})
     turn = lambda k: F.abs(F.coalesce(F.col(f"p{k}") - F.lag(f"p{k}").over(w), F.col(f"p{k}")))
     d = d.withColumns({f"n{k}": F.col(f"p{k}") * F.coalesce("day", F.lit(0.0)) - turn(k) * fee for k in range(len(variants))})
-    return d.select(key, date, "day", *[f"{c}{k}" for k in range(len(variants)) for c in "pn"])
+    return d.select(*apart, key, date, "day", *[f"{c}{k}" for k in range(len(variants)) for c in "hpn"])
 
 
 def periods_of(date: Column, periods: dict[str, tuple[str, str | None]]) -> Column:

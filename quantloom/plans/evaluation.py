@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import crosssec as cs
+from ..operators import replay as rp
 from ..operators import scoring as sc
 from ..operators import stats as st
 from ..operators import sweeps as sw
@@ -146,3 +147,26 @@ def m22(spark, d):
     p = _prices(spark, d).withColumn("day", ts.pct_change("close", "symbol", "date")).where("date >= DATE '2001-05-01' AND (symbol < '4' OR date >= DATE '2001-07-10')")
     live = p.groupBy("symbol").agg(F.count("*").alias("days"), (F.product(1 + F.coalesce("day", F.lit(0.0))) - 1).alias("perf"))
     return sw.band_verdict(live, _bands(spark, d), "symbol", "days", "perf", WINDOWS)
+
+
+CUTS = ("1996-02-29", "1997-07-31", "1999-01-17", "2000-06-30", "2001-03-31")
+REPLAY = PRICE + f""", cuts AS (SELECT unnest([{', '.join(f"DATE '{c}'" for c in CUTS)}, DATE '9999-01-01']) AS cut), seen AS (SELECT cut, symbol, date, close FROM price, cuts WHERE date <= cut),
+both_ AS (SELECT 'honest' AS decider, * FROM seen UNION ALL SELECT 'peeking', cut, symbol, date, coalesce(lead(close) OVER (PARTITION BY cut, symbol ORDER BY date), close) FROM seen),
+m AS (SELECT *, close / lag(close) OVER o - 1 AS day, close / lag(close, 30) OVER o - 1 AS mom FROM both_ WINDOW o AS (PARTITION BY decider, cut, symbol ORDER BY date)),
+k AS (SELECT *, CASE WHEN count(day) OVER f = 30 THEN stddev_samp(day) OVER f * sqrt(365.0) END AS vol, row_number() OVER (PARTITION BY decider, cut, date ORDER BY mom DESC NULLS LAST, symbol) AS rank FROM m WINDOW f AS (PARTITION BY decider, cut, symbol ORDER BY date ROWS 29 PRECEDING)),
+h AS (SELECT *, coalesce(last_value(CASE WHEN dayofweek(date) = 0 THEN CASE WHEN rank = 1 AND mom > 0 AND vol > 0 THEN least(0.4 / vol, 1) ELSE 0 END END IGNORE NULLS) OVER (PARTITION BY decider, cut, symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 0) AS w FROM k),
+x AS (SELECT a.decider, a.cut, a.date, bool_or(abs(a.w - b.w) > 1e-9) AS off FROM h a JOIN h b ON a.decider = b.decider AND a.symbol = b.symbol AND a.date = b.date AND b.cut = DATE '9999-01-01' AND a.cut < b.cut GROUP BY 1, 2, 3)"""
+
+
+@query("m20_replay", "decider cut #days #different first", REPLAY, "SELECT decider, cut, count(*) AS days, count(*) FILTER (off) AS different, min(date) FILTER (off) AS first FROM x GROUP BY 1, 2")
+def m20(spark, d):
+    """The rotation's decisions replayed with the rows up to five days; and those of one that looks at the next day's price,
+    whose cuts on Sundays give it away."""
+    p = _prices(spark, d)
+    cuts = spark.createDataFrame([(c,) for c in CUTS], "cut string")
+    held = [F.col("symbol"), F.bround("h0", 9)]
+    honest = lambda h: sw.rotations(h, [sw.Variant("G")], world="world")
+    ahead = F.coalesce(F.lead("close").over(ts.by(["world", "symbol"], "date")), F.col("close"))
+    runs = {"honest": honest, "peeking": lambda h: honest(h.withColumn("close", ahead))}
+    out = [rp.replay(p, cuts, run, held).withColumn("decider", F.lit(name)) for name, run in runs.items()]
+    return out[0].unionByName(out[1])
