@@ -129,7 +129,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: tupl
     d = d.withColumn("runs", F.transform("runs", lambda r: F.struct(F.get("at", r["from"]).alias("from"), F.get("at", r["to"]).alias("to"))))
     stay = F.filter("l", lambda x, i: ~F.exists("runs", lambda r: i.between(r["from"], r["to"])))
     d = d.withColumn("stay", F.when(F.col("runs").isNull(), F.col("l")).otherwise(stay))
-    new = {counts[0]: F.coalesce(F.size("l"), F.lit(0)), counts[1]: F.coalesce(F.size("stay"), F.lit(0)), text: F.when(F.col("runs").isNull(), own).otherwise(F.array_join("stay", ""))}
+    # One row from a generator: a condition on these columns stays above it, else it would take the lines' computation apart.
+    n_in, n_out = F.coalesce(F.size("l"), F.lit(0)), F.coalesce(F.size("stay"), F.lit(0))
+    left = F.when(F.col("runs").isNull(), own).otherwise(F.array_join("stay", ""))
+    d = d.select("doc", F.inline(F.array(F.struct(n_in.alias("n_in"), n_out.alias("n_out"), left.alias("left")))))
+    new = {counts[0]: F.col("n_in"), counts[1]: F.col("n_out"), text: F.col("left")}
     return d.select(*[new.pop(c, F.col("doc")[c]).alias(c) for c in docs.columns], *[v.alias(c) for c, v in new.items()])
 
 
