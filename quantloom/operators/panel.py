@@ -59,6 +59,7 @@ def monthly_panel(prices: DataFrame, shares: DataFrame, accounts: DataFrame, pur
     # month ends: the company's price on the last trading day of all; and a probe a year before it
     u = u.join(F.broadcast(ends.select(F.unix_date("last").alias("last_day"))), F.col("at") == F.col("last_day"), "left")
     probe = (F.col("kind") == "price") & F.col("last_day").isNotNull()
+    u = u.where((F.col("kind") != "price") | probe)  # daily rows have served
     u = u.withColumn("probe", F.explode(F.when(probe, F.array(F.col("at"), F.col("at") - 365)).otherwise(F.array(F.lit(None).cast("int")))))
     u = u.withColumns({"month_end": F.when(F.col("probe").isNotNull(), F.col("at")), "at": F.coalesce("probe", "at"), "then": F.coalesce(F.col("probe") < F.col("at"), F.lit(False))})
 

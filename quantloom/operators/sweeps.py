@@ -96,7 +96,7 @@ def accounts(swept: DataFrame, variants: Sequence[Variant], periods: dict[str, t
 
 
 def bands(returns: DataFrame, key: str, date: str, ret: str, windows: dict[str, int], rows: int | None = None) -> DataFrame:
-    """key, span, measure (ret or drawdown), p5, p25, p50, p75, p95, negative over all windows of each length inside a key's history.
+    """key, span, measure (ret or drawdown), p5, p25, p50, p75, p95, negative (share below 0 by more than rounding) over all windows of each length inside a key's history.
 
     A window's return comes from the running product (of n rows from the second row on, as a ratio of levels); its deepest drawdown from
     blocks (see folds.rolling_max_drawdown), so a window's length doesn't matter for the work.
@@ -112,7 +112,7 @@ def bands(returns: DataFrame, key: str, date: str, ret: str, windows: dict[str,
         x = x.withColumn("_l", level).withColumn("ret", F.try_divide("_l", F.lag("_l", n).over(ts.by(key, date))) - 1)
         x = x.unpivot([key], ["ret", "drawdown"], "measure", "value").where("value is not null")
         q = F.percentile("value", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-        x = x.groupBy(key, F.lit(span).alias("span"), "measure").agg(q.alias("q"), F.avg((F.col("value") < 0).cast("double")).alias("negative"))
+        x = x.groupBy(key, F.lit(span).alias("span"), "measure").agg(q.alias("q"), F.avg((F.col("value") < -1e-12).cast("double")).alias("negative"))
         out = x if out is None else out.unionByName(x)
     return out.select(key, "span", "measure", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))], "negative")
 

@@ -124,7 +124,7 @@ def q_g_variants(spark, d):
 
 
 WINDOWS = {"month": 30, "quarter": 91, "half": 182}
-_BANDS = " UNION ALL ".join(f"""SELECT symbol, '{s}' AS span, measure, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95, avg((value < 0)::INT) AS negative
+_BANDS = " UNION ALL ".join(f"""SELECT symbol, '{s}' AS span, measure, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95, avg((value < -1e-12)::INT) AS negative
 FROM (SELECT symbol, 'ret' AS measure, l / lag(l, {n}) OVER {SYM}) - 1 AS value FROM levels UNION ALL SELECT symbol, 'drawdown', CASE WHEN k >= {n} THEN list_min(list_transform(range(1, {n + 1}), lambda i: w{n}[i] / list_max(w{n}[1:i]) - 1)) END FROM levels) WHERE value IS NOT NULL GROUP BY 1, 3""" for s, n in WINDOWS.items())
 LEVELS = PRICE + f""", lv AS (SELECT symbol, date, product(1 + coalesce(day, 0)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS l, row_number() OVER {SYM}) AS k FROM price WHERE date >= DATE '1997-01-01'),
 levels AS (SELECT *, {', '.join(f"list(l) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) AS w{n}" for n in WINDOWS.values())} FROM lv), b AS ({_BANDS})"""
