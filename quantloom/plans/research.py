@@ -137,7 +137,7 @@ def q_res(spark, d):
 
 #: Days of the target, and the first day that the development period must not see.
 HORIZON, OUT = 7, "2000-01-01"
-_IC = " UNION ALL ".join(f"SELECT '{c}' AS feature, date, {c} AS x, y FROM z" for c in rs.FEATURES)
+_IC = " UNION ALL ".join(f"SELECT '{c}' AS feature, date, round({c}, 9) AS x, round(y, 9) AS y FROM z" for c in rs.FEATURES)
 RES_IC = RESEARCH + f""", z AS (SELECT *, ln(lead(close, {HORIZON}) OVER (ORDER BY date) / close) AS y FROM f), long AS ({_IC}), first AS (SELECT feature, min(date) FILTER (x IS NOT NULL) AS since FROM long WHERE date < DATE '{OUT}' - {HORIZON} GROUP BY 1),
 p AS (SELECT * FROM long WHERE x IS NOT NULL AND y IS NOT NULL AND dayofweek(date) = 0 AND date < DATE '{OUT}' - {HORIZON}),
 k AS (SELECT feature, rank() OVER a + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER b + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM p WINDOW a AS (PARTITION BY feature ORDER BY x), b AS (PARTITION BY feature ORDER BY y)),
@@ -152,7 +152,7 @@ def q_res_ic(spark, d):
     """Rank correlation of each feature with the next week's return on the Sundays of the development period, whose targets end
     before it does; years with the same sign; most telling first."""
     z = rs.forward(_research(spark, d), "asset", "date", HORIZON, "y").where(F.col("date") < F.date_sub(F.lit(OUT).cast("date"), HORIZON))
-    long = z.unpivot(["date", "y"], list(rs.FEATURES), "feature", "x").withColumn("year", F.year("date"))
+    long = z.unpivot(["date", "y"], list(rs.FEATURES), "feature", "x").withColumns({"x": F.round("x", 9), "y": F.round("y", 9), "year": F.year("date")})  # ties stay ties
     since = long.where("x is not null").groupBy("feature").agg(F.min("date").alias("since"))
     sundays = long.where(F.dayofweek("date") == 1)
     ic = cs.ic_masked(sundays, "feature", "x", "y", 20)
