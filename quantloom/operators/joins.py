@@ -60,3 +60,19 @@ def coalesced(df: DataFrame, key: str, value: str, priority: str) -> DataFrame:
 def common_index(df: DataFrame, key: str, index: str, n: int) -> DataFrame:
     """Rows whose index value all n keys have."""
     return df.withColumn("_n", F.size(F.collect_set(key).over(W.partitionBy(index)))).where(F.col("_n") == n).drop("_n")
+
+
+def left_chain(base: DataFrame, others: dict[str, DataFrame], key: str) -> DataFrame:
+    """base left-joined with each of `others` on key. A column that an earlier table has too comes out as <column>_<table>, so no name is
+    there twice and no value is lost."""
+    out = base
+    for name, df in others.items():
+        taken = set(out.columns) - {key}
+        out = out.join(df.select(key, *[F.col(c).alias(f"{c}_{name}" if c in taken else c) for c in df.columns if c != key]), key, "left")
+    return out
+
+
+def at_decisions(decisions: DataFrame, signals: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
+    """decisions with the signals of exactly their keys; where there are none, the defaults (NULL if not named)."""
+    d = decisions.join(signals, keys, "left")
+    return d.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

@@ -161,3 +161,9 @@ def mast_and_flag(closes: DataFrame, key: str, ts: str, close: str, least: int,
     long = (mast >= rally) & (F.col("n") - F.col("at") >= least)
     found = back.between(low, high) & n.between(least, most) & (F.col("lo") > 0) & ((F.col("hi") - F.col("lo")) / F.col("lo") <= tight)
     return a.select(key, F.bround(mast, 3).alias("mast_rally"), F.when(long, F.bround(back, 3)).alias("retracement"), F.when(long, n).alias("consolidation"), holds(long & found).alias("pattern"))
+
+
+def trade_side(text: Column) -> Column:
+    """1 for a purchase, -1 for a sale, else 0, from free text in any case."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(t.contains("purchase") | (F.btrim(t) == "buy"), 1).when(t.contains("sale") | t.contains("sell"), -1).otherwise(0)

@@ -113,3 +113,10 @@ def average_rank(df: DataFrame, partition: str | list[str], value: str, name: st
     ordered = own.orderBy(F.col(value).asc_nulls_last())
     rank = F.rank().over(ordered) + (F.count("*").over(ordered.rangeBetween(W.currentRow, W.currentRow)) - 1) / 2
     return df.withColumn(name, F.when(F.col(value).isNotNull(), rank / F.count(value).over(own) if pct else rank.cast("double")))
+
+
+def carried_while_closed(df: DataFrame, key: str, ts: str, position: str, trading: str) -> DataFrame:
+    """position as it was on the last trading row where `trading` is false or missing; 0 before the first one."""
+    open_ = F.coalesce(F.col(trading), F.lit(False))
+    kept = F.last(F.when(open_, F.coalesce(F.col(position).cast("double"), F.lit(0.0))), ignorenulls=True).over(upto(key, ts))
+    return df.withColumn(position, F.coalesce(kept, F.lit(0.0)))

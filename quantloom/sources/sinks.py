@@ -50,6 +50,21 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def replace_csv(df: DataFrame, path: str) -> None:
+    """A result as one CSV file in the folder at path, in place of what is there. For results of a few rows."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def replace_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines in the folder at path, in place of what is there; missing values stay as nulls."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def state(spark: SparkSession, path: str, schema: str, default: DataFrame) -> DataFrame:
+    """What replace_json wrote at path, or the default where there is nothing yet."""
+    return spark.read.schema(schema).json(path) if exists(spark, path) else default
+
+
 def thinned(df: DataFrame, key: str, ts: str, most: int = 600) -> DataFrame:
     """Every n-th row of each key, n the smallest step that leaves about `most` rows."""
     d = df.withColumns({"_k": F.row_number().over(W.partitionBy(key).orderBy(ts)) - 1, "_n": F.count("*").over(W.partitionBy(key))})

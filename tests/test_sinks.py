@@ -28,3 +28,18 @@ def test_reports(spark):
     assert sinks.markdown(rows, ["name", "v"]).splitlines()[2] == "| <x> | 0.1235 |"
     page = sinks.page("T", rows, ["name", "v"], {"s": "</script>"})
     assert "&lt;x&gt;" in page and page.count("</script>") == 1
+
+
+def test_replaced_results_and_state(spark, tmp_path):
+    from quantloom.sources import sinks
+
+    at = str(tmp_path / "state")
+    default = spark.createDataFrame([("a", None)], "k string, v double")
+    assert [tuple(r) for r in sinks.state(spark, at, "k string, v double", default).collect()] == [("a", None)]
+    for v in (1.5, None):
+        sinks.replace_json(spark.createDataFrame([("b", v)], "k string, v double"), at)
+        assert [tuple(r) for r in sinks.state(spark, at, "k string, v double", default).collect()] == [("b", v)]
+        sinks.replace_csv(spark.createDataFrame([("b", v)], "k string, v double"), str(tmp_path / "csv"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == [("b", None)]
+    sinks.append_csv(spark.createDataFrame([("c", 2.0)], "k string, v double"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
