@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quantloom.operators import crosssec as cs
 from quantloom.operators import joins as jn
 from quantloom.operators import scoring as sc
-from quantloom.operators import folds as so
+from quantloom.operators import folds as fo
+from quantloom.operators import stateful as so
 from quantloom.operators import stats as st
 from quantloom.operators import timeseries as ts
 
@@ -22,17 +23,17 @@ def column(df, name, order="d"):
 
 
 def test_band(spark):
-    df = so.apply_band(series(spark, [0.5, 0.55, 0.7, 0.72, 0.0, None]), "k", "d", "x", 0.1)
+    df = fo.apply_band(series(spark, [0.5, 0.55, 0.7, 0.72, 0.0, None]), "k", "d", "x", 0.1)
     assert column(df, "held") == [0.5, 0.5, 0.7, 0.7, 0.0, 0.0]
 
 
 def test_state_machine_same_bar(spark):
     df = spark.createDataFrame([("a", k, e, x) for k, (e, x) in enumerate([(True, True), (False, False), (True, True), (None, True), (True, False)])], "k string, d int, e boolean, x boolean")
-    assert column(so.state_machine(df, "k", "d", "e", "x"), "state") == [1, 1, 0, 0, 1]
+    assert column(fo.state_machine(df, "k", "d", "e", "x"), "state") == [1, 1, 0, 0, 1]
 
 
 def test_rsi_extremes(spark):
-    up, down = (so.rsi(series(spark, v), "k", "d", "x", 2) for v in ([1.0, 2, 3, 4, 5], [5.0, 4, 3, 2, 1]))
+    up, down = (fo.rsi(series(spark, v), "k", "d", "x", 2) for v in ([1.0, 2, 3, 4, 5], [5.0, 4, 3, 2, 1]))
     assert column(up, "rsi")[-1] == 100 and column(down, "rsi")[-1] == 0
 
 
