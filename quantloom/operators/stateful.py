@@ -47,6 +47,8 @@ def simulate_trades(bars: DataFrame, key: str = "symbol", ts: str = "ts", entry:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, trades = _trades(pdf, ts, entry, stop, target, max_bars)
+        if not trades:  # an empty frame's columns have no type that Arrow takes for strings
+            return pd.DataFrame()
         i, j, price, reason = ([t[k] for t in trades] for k in range(4))
         held = rows["close"].to_numpy(float)[i]
         when = rows[ts] + pd.Timedelta(bar)

@@ -53,6 +53,14 @@ def test_trade_exits(spark, second, exit_price, reason):
     assert t[0].pnl == pytest.approx(exit_price / 100 * (1 - so.COST) ** 2 - 1)
 
 
+def test_a_key_without_trades(spark):
+    flat = (100.0, 100.0, 100.0, 100.0)
+    none = bars(spark, [(*flat, False, 0.05, 0.1)] * 3)
+    assert so.simulate_trades(none).collect() == []
+    both = none.withColumn("symbol", F.lit("b")).unionByName(bars(spark, [(*flat, True, 0.05, 0.1), (*flat, False, None, None)]))
+    assert [(r.symbol, r.bars, r.reason) for r in so.simulate_trades(both).collect()] == [("a", 1, "end")]
+
+
 def test_fees(spark):
     df = series(spark, [0.01] * 4, "ret").withColumn("pos", F.element_at(F.array(*map(F.lit, (1.0, 1.0, -1.0, 0.0))), F.dayofmonth("d")))
     assert column(st.strategy_returns(df, "k", "d", "pos", "ret", 0.001), "net") == pytest.approx([0.009, 0.01, -0.012, -0.001])
