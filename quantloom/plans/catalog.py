@@ -26,7 +26,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _shape(df: DataFrame, spec: str) -> DataFrame:
-    kinds = {"~": lambda c: F.round(F.col(c).cast("double"), 6).alias(c), "#": lambda c: F.col(c).cast("long").alias(c)}
+    kinds = {"~": lambda c: fr.rounded(F.col(c).cast("double"), 6).alias(c), "#": lambda c: F.col(c).cast("long").alias(c)}
     return df.select(*[kinds[c[0]](c[1:]) if c[0] in kinds else F.col(c) for c in spec.split()])
 
 

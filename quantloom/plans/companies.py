@@ -41,13 +41,13 @@ def _company(spark, d) -> DataFrame:
     year, key = F.year("l_shipdate"), F.col("l_suppkey")
     y = t("lineitem").where(year.between(1996, 2000)).groupBy(key.alias("ticker"), year.alias("year")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"), F.sum("l_quantity").alias("q"))
     grow = lambda n, rate: F.pow(1 + (F.col("ticker") % n) * rate, F.col("year") - 1995)
-    y = y.select("ticker", F.struct("year", F.round(F.col("r") * grow(5, 0.05), 2).alias("revenue"), F.round(F.col("q") * grow(7, 0.04), 4).alias("eps")).alias("x"))
+    y = y.select("ticker", F.struct("year", fr.rounded(F.col("r") * grow(5, 0.05), 2).alias("revenue"), fr.rounded(F.col("q") * grow(7, 0.04), 4).alias("eps")).alias("x"))
     y = y.groupBy("ticker").agg(F.sort_array(F.collect_list("x")).alias("x"))  # five years
     revenue, eps = sc.cagr(F.col("x.revenue")), sc.cagr(F.col("x.eps"))
     y = y.select("ticker", revenue[0].alias("revenue_cagr"), revenue[1].alias("revenue_falls"), eps[0].alias("eps_cagr"), eps[1].alias("eps_falls"))
     k = F.col("s_suppkey")
     base = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(
-        k.alias("ticker"), F.col("n_name").alias("sector"), (F.round((F.col("s_acctbal") + 999) / 3000, 4) - 0.2).alias("peg"), (k % 37 + 5.0).alias("pe"), (k % 29 / 60.0).alias("profit_margin"), (k % 23 / 60.0).alias("roe"),
+        k.alias("ticker"), F.col("n_name").alias("sector"), (fr.rounded((F.col("s_acctbal") + 999) / 3000, 4) - 0.2).alias("peg"), (k % 37 + 5.0).alias("pe"), (k % 29 / 60.0).alias("profit_margin"), (k % 23 / 60.0).alias("roe"),
         (k % 19 / 100.0).alias("roa"), (k % 31 * 1e9).alias("mktcap"), (k % 31 * 1e9 + k % 11 * 1e8).alias("ev"), F.when(k % 17 > 0, 3e8).alias("ebitda"), (k % 13 / 10.0 + 0.5).alias("current_ratio"),
     )
     return sc.hard_filter(sc.pe_rule(base.join(y, "ticker", "left"), "sector", "peg", "pe"))

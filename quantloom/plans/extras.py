@@ -25,7 +25,7 @@ def j3(spark, d):
 def t5(spark, d):
     """The 40 largest daily moves, up or down."""
     c = fr.daily_close(spark, d).withColumn("change", ts.log_return("close", "symbol", "date")).where("change is not null")
-    return c.orderBy(F.desc(F.round(F.abs("change"), 9)), "symbol", "date").limit(40)
+    return c.orderBy(F.desc(fr.rounded(F.abs("change"), 9)), "symbol", "date").limit(40)
 
 
 @query("t6_last_reversed", "place date symbol ~close", fr.DAILY, "SELECT CAST(row_number() OVER (ORDER BY date DESC, symbol) AS INT) AS place, date, symbol, close FROM daily ORDER BY 1 LIMIT 15")

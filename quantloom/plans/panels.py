@@ -24,13 +24,13 @@ purchases AS (SELECT ticker, day AS filing_date, CAST(l_partkey % 7 AS VARCHAR)
 
 def sources(spark, d) -> tuple[DataFrame, ...]:
     li = fr.table(spark, d, "lineitem").withColumns({"ticker": F.col("l_suppkey"), "day": F.to_date("l_shipdate")})
-    px = li.groupBy("ticker", "day").agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("close"))
+    px = li.groupBy("ticker", "day").agg(fr.rounded(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("close"))
     prices = ts.fill_days(px.withColumnRenamed("day", "date"), "ticker", "date", "close").select("ticker", "date", "close")
-    shares = li.where("l_linenumber = 1 AND l_orderkey % 4 = 0").groupBy("ticker", F.col("day").alias("end")).agg(F.avg("l_quantity").alias("q")).select("ticker", "end", F.round(F.col("q") * 1e5 * (1 + F.col("ticker") % 40), 2).alias("val"))
+    shares = li.where("l_linenumber = 1 AND l_orderkey % 4 = 0").groupBy("ticker", F.col("day").alias("end")).agg(F.avg("l_quantity").alias("q")).select("ticker", "end", fr.rounded(F.col("q") * 1e5 * (1 + F.col("ticker") % 40), 2).alias("val"))
     splits = li.where("l_quantity >= 49 AND l_linenumber = 2 AND l_orderkey % 5 = 0").groupBy("ticker", F.col("day").alias("date")).agg(F.when(F.min("l_orderkey") % 2 == 0, 2.0).otherwise(0.5).alias("ratio"))
-    price, total = F.col("l_extendedprice"), lambda c, n: F.round(F.sum(c), n)
+    price, total = F.col("l_extendedprice"), lambda c, n: fr.rounded(F.sum(c), n)
     accounts = li.where((F.col("ticker") + F.year("day")) % 5 > 0).groupBy("ticker", F.year("day").alias("year")).agg(
-        F.date_add(F.max("day"), 90).alias("available"), total(price, 2).alias("revenue"), total(price * F.col("l_discount"), 4).alias("gross_profit"), F.round(F.sum("l_quantity") * 100, 2).alias("assets"), total(price * F.col("l_tax"), 4).alias("net_income"), F.round(F.sum(price) / 30, 4).alias("cfo")
+        F.date_add(F.max("day"), 90).alias("available"), total(price, 2).alias("revenue"), total(price * F.col("l_discount"), 4).alias("gross_profit"), fr.rounded(F.sum("l_quantity") * 100, 2).alias("assets"), total(price * F.col("l_tax"), 4).alias("net_income"), fr.rounded(F.sum(price) / 30, 4).alias("cfo")
     )
     purchases = li.where("l_returnflag = 'R' AND l_linenumber = 1").select("ticker", F.col("day").alias("filing_date"), (F.col("l_partkey") % 7).cast("string").alias("owner"), price.alias("value"))
     return prices, shares, accounts, purchases, splits

@@ -67,7 +67,7 @@ def m7(spark, d):
 def q_j(spark, d):
     """Whether a week's mean stands in the top tenth of the past year's; false until half a year is known."""
     k = ("symbol", "date")
-    a = _filled(spark, d).select(*k, F.round(ts.rolling(F.avg, "close", *k, 7), 4).alias("x"))
+    a = _filled(spark, d).select(*k, fr.rounded(ts.rolling(F.avg, "close", *k, 7), 4).alias("x"))
     return qu.rolling_quantile(a, *k, "x", 0.9, 365, 180, "q", rows=1000).withColumn("crowded", sc.holds(F.col("x") > F.col("q")))
 
 
@@ -152,11 +152,11 @@ def q_res_ic(spark, d):
     """Rank correlation of each feature with the next week's return on the Sundays of the development period, whose targets end
     before it does; years with the same sign; most telling first."""
     z = rs.forward(_research(spark, d), "asset", "date", HORIZON, "y").where(F.col("date") < F.date_sub(F.lit(OUT).cast("date"), HORIZON))
-    long = z.unpivot(["date", "y"], list(rs.FEATURES), "feature", "x").withColumns({"x": F.round("x", 9), "y": F.round("y", 9), "year": F.year("date")})  # ties stay ties
+    long = z.unpivot(["date", "y"], list(rs.FEATURES), "feature", "x").withColumns({"x": fr.rounded("x", 9), "y": fr.rounded("y", 9), "year": F.year("date")})  # ties stay ties
     since = long.where("x is not null").groupBy("feature").agg(F.min("date").alias("since"))
     sundays = long.where(F.dayofweek("date") == 1)
     ic = cs.ic_masked(sundays, "feature", "x", "y", 20)
     keyed = sundays.withColumn("both", F.struct("feature", "year"))
     years = cs.ic_masked(keyed, "both", "x", "y", 20).select(F.col("both.feature").alias("of"), F.col("ic").alias("year_ic"))
     s = ic.join(years, ic["feature"] == years["of"], "left").groupBy("feature", F.col("n").alias("weeks"), "ic", "t").agg(F.count("year_ic").alias("years"), F.count_if(F.signum("year_ic") == F.signum("ic")).alias("same"))
-    return s.join(since, "feature").withColumn("place", F.row_number().over(W.orderBy(F.desc(F.abs(F.round("t", 9))), "feature")))  # a row a feature
+    return s.join(since, "feature").withColumn("place", F.row_number().over(W.orderBy(F.desc(F.abs(fr.rounded("t", 9))), "feature")))  # a row a feature

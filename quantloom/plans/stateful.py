@@ -21,7 +21,7 @@ CHUNK = 256
 
 
 def _days(spark, d) -> DataFrame:
-    return fr.daily_close(spark, d).select("symbol", "date", F.round(F.col("close") / 300000, 9).alias("x"))
+    return fr.daily_close(spark, d).select("symbol", "date", fr.rounded(F.col("close") / 300000, 9).alias("x"))
 
 
 @query("o1_apply_band", "symbol date ~held", "RECURSIVE " + DAYS + ", f AS (SELECT symbol, date, k, CASE WHEN x = 0 OR abs(x) > 0.1 THEN x ELSE 0 END AS held FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.date, n.k, CASE WHEN n.x = 0 OR abs(n.x - f.held) > 0.1 THEN n.x ELSE f.held END FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1)", "SELECT * FROM f")
@@ -152,7 +152,7 @@ def m4(spark, d):
     above its expanding median of 180 values at least; a missing value counts as range and low."""
     k = ("symbol", "date")
     f = _rets(spark, d).withColumn("trend", ts.pct_change("close", *k, 60))
-    f = f.withColumn("vol", F.round(ts.rolling(F.stddev_samp, "ret", *k, 30), 9))
+    f = f.withColumn("vol", fr.rounded(ts.rolling(F.stddev_samp, "ret", *k, 30), 9))
     f = qu.expanding_quantile(f.select(*k, "ret", "trend", "vol"), *k, "vol", 0.5, 180, "median")
     high = sc.holds(F.col("vol") > F.col("median"))
     trend = F.when(F.col("trend") > 0.1, "up").when(F.col("trend") < -0.1, "down").otherwise("range")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double rounded as SQL engines do it: scaled, to the next whole number, halves away from zero, and scaled back.
+
+    F.round goes by the decimal digits that a double prints, so ties come out otherwise (1029.9159375 to six digits).
+    """
+    scaled = (F.col(value) if isinstance(value, str) else value) * 10.0**digits
+    return F.round(scaled) / 10.0**digits
+
+
 def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, date, close: the mean order value of each priority and day."""
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("close"))
@@ -39,10 +48,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     m = table(spark, sf_dir, "lineitem").groupBy(F.last_day("l_shipdate").alias("date"), F.col("l_suppkey").alias("ticker")).agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), F.round(F.avg("l_discount"), 8).alias("discount"), F.sum("l_quantity").alias("quantity")
+        rounded(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), rounded(F.avg("l_discount"), 8).alias("discount"), F.sum("l_quantity").alias("quantity")
     )
     w = W.partitionBy("ticker").orderBy("date")
-    return m.withColumn("fwd_ret", F.round(F.try_divide(F.lead("revenue").over(w), F.col("revenue")) - 1, 8))
+    return m.withColumn("fwd_ret", rounded(F.try_divide(F.lead("revenue").over(w), F.col("revenue")) - 1, 8))
 
 
 DAILY = """daily AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2)"""

@@ -92,3 +92,14 @@ def test_nothing(spark):
     t = tables(spark)
     assert pn.monthly_panel(t[0].where("false"), *t[1:4]).collect() == []
     assert pn.monthly_panel(t[0], t[1].where(F.lit(False)), *t[2:4]).collect() == []
+
+
+def test_ties_round_as_in_sql(spark):
+    """Prices by the dozen end in a half of the last digit that is kept."""
+    import duckdb
+
+    from quantloom.sources import frames as fr
+
+    x = [k / 100 / q for k in range(1000000, 1003000, 7) for q in (16.0, 32.0, 48.0)] + [-0.5e-6, 0.5e-6, -1.0000005, 0.0, float("inf")]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").repartition(1).sortWithinPartitions("i").select(fr.rounded("x", 6)).collect()]
+    assert got == [r[0] for r in duckdb.execute("select round(x, 6) from (select unnest($1::double[]) as x)", [x]).fetchall()]
