@@ -22,6 +22,25 @@ def asof(probe: DataFrame, facts: DataFrame, key: str, at: str, avail: str, valu
     return both.withColumn(value, F.when(fresh, F.col("_lv"))).drop("_t", "_side", "_v", "_a", "_o", "_lv", "_la")
 
 
+def asof_dates(facts: DataFrame, dates: DataFrame, key: str, at: str, avail: str, value: str, order: str, lag_days: int = 0, stale_days: int | None = None) -> DataFrame:
+    """key, at, value of every key of facts at every one of dates (one row, one ascending array): the last value whose
+    avail is not after at - lag_days; NULL where that is older than stale_days.
+
+    As asof, but keys meet dates after the sort: facts are reduced to one for each date that sees it first, each holds until
+    the next one's date, and these stretches are written out. What is dealt and sorted is at most facts, not keys times dates.
+    """
+    dates = F.broadcast(dates.toDF("_dates"))
+    usable = F.col(key).isNotNull() & F.col(value).isNotNull() & F.col(avail).isNotNull()
+    place = F.when(usable, F.size(F.filter("_dates", lambda d: F.date_sub(d, lag_days) < F.col(avail)))).otherwise(0)  # of a key that has nothing usable one row is left too
+    f = facts.crossJoin(dates).select(F.col(key), place.alias("_from"), F.when(usable, F.struct(F.col(avail), F.col(order).cast("long"))).alias("_o"), F.struct(F.col(avail).alias("a"), F.col(value).alias("v")).alias("_x"))
+    f = f.groupBy(key, "_from").agg(F.max_by("_x", "_o").alias("_x"))
+    w = W.partitionBy(key).orderBy("_from")
+    f = f.withColumns({"_begin": F.when(F.row_number().over(w) == 1, 0).otherwise(F.col("_from")), "_until": F.lead("_from").over(w)})
+    f = f.crossJoin(dates).withColumn("_d", F.explode(F.slice("_dates", F.col("_begin") + 1, F.coalesce("_until", F.size("_dates")) - F.col("_begin"))))
+    fresh = F.lit(True) if stale_days is None else F.date_diff(F.date_sub("_d", lag_days), F.col("_x.a")) <= stale_days
+    return f.select(F.col(key), F.col("_d").alias(at), F.when((F.date_sub("_d", lag_days) >= F.col("_x.a")) & fresh, F.col("_x.v")).alias(value))
+
+
 def in_window(probe: DataFrame, facts: DataFrame, key: str, at: str, when: str, days: int) -> DataFrame:
     """Pairs of probe dates and facts of the key with when in (at - days, at]; each fact is dealt to the month ends
     that can see it, which makes the interval join an equi-join."""

@@ -182,21 +182,25 @@ def j2(spark, d):
 PROBE = fr.FACTS + ", months AS (SELECT DISTINCT last_day(avail) AS month FROM facts), keys AS (SELECT DISTINCT key FROM facts), probe AS (SELECT key, month FROM keys CROSS JOIN months), best AS (SELECT key, avail, arg_max(value, ord) AS value FROM facts GROUP BY key, avail)"
 
 
+def _months(facts):
+    return facts.agg(F.sort_array(F.collect_set(F.last_day("avail"))))  # one array of a few dozen dates
+
+
 def _probe(spark, d):
     f = fr.facts(spark, d)
-    months = f.agg(F.sort_array(F.collect_set(F.last_day("avail"))))  # one array of a few dozen dates
-    return f.select("key").distinct().select("key", F.explode(months.scalar()).alias("month"))
+    return f.select("key").distinct().select("key", F.explode(_months(f).scalar()).alias("month"))
 
 
 @query("j7_asof_backward", "key month ~value", PROBE, "SELECT p.key, p.month, CASE WHEN p.month - b.avail <= 450 THEN b.value END AS value FROM probe p ASOF LEFT JOIN best b ON p.key = b.key AND p.month >= b.avail")
 def j7(spark, d):
-    return jn.asof(_probe(spark, d), fr.facts(spark, d), "key", "month", "avail", "value", "ord", 450)
+    f = fr.facts(spark, d)
+    return jn.asof_dates(f, _months(f), "key", "month", "avail", "value", "ord", stale_days=450)
 
 
 @query("j8_asof_year_earlier", "key month ~value", PROBE, "SELECT p.key, p.month, b.value FROM probe p ASOF LEFT JOIN best b ON p.key = b.key AND p.month - 365 >= b.avail")
 def j8(spark, d):
-    p = _probe(spark, d).withColumn("then", F.date_sub("month", 365))
-    return jn.asof(p, fr.facts(spark, d), "key", "then", "avail", "value", "ord")
+    f = fr.facts(spark, d)
+    return jn.asof_dates(f, _months(f), "key", "month", "avail", "value", "ord", lag_days=365)
 
 
 @query("j10_previous_day", "symbol ts ~w", fr.BARS + ", days AS (SELECT symbol, CAST(ts AS DATE) AS date, max(high) / 400 AS w FROM bars GROUP BY 1, 2)", "SELECT b.symbol, b.ts, greatest(0, least(1, coalesce(d.w, 0))) AS w FROM bars b LEFT JOIN days d ON b.symbol = d.symbol AND CAST(b.ts AS DATE) = d.date + 1")

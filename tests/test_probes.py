@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 
+from quantloom.operators import joins as jn
 from quantloom.plans import QUERIES
 
 
@@ -40,6 +41,21 @@ def test_asof_of_all_keys(spark, orders, name, back, old):
     assert got(spark, name, d, "value") == want
 
 
+@pytest.mark.parametrize("name", ["j7_asof_backward", "j8_asof_year_earlier"])
+def test_keys_meet_months_after_the_sort(spark, orders, name):
+    plan = QUERIES[name](spark, orders[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Generate explode") < plan.find("Window ")  # the sort holds facts, not keys times months
+
+
+def test_asof_of_facts_that_lack_something(spark):
+    day = lambda n: date(2020, 1, n)
+    f = spark.createDataFrame([(1, None, day(2), 1), (1, 5.0, day(4), 2), (1, 6.0, day(4), 3), (1, 7.0, None, 4), (2, 1.0, None, 5), (None, 1.0, day(1), 6), (3, 9.0, day(9), 7), (4, 2.0, day(1), 8)], "k int, v double, t date, o int")
+    d = spark.createDataFrame([([day(n) for n in (1, 3, 5, 8)],)], "d array<date>")
+    got = {(r.k, r.at.day): r.v for r in jn.asof_dates(f, d, "k", "at", "t", "v", "o", 1, 2).collect()}
+    want = {(k, n): None for k in (None, 1, 2, 3, 4) for n in (1, 3, 5, 8)}
+    assert got == {**want, (1, 5): 6.0, (4, 3): 2.0}
+
+
 def test_interval_window_of_all_keys(spark, orders):
     d, rows = orders
     want = []
