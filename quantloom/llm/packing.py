@@ -21,10 +21,10 @@ class Index:
         n = len(fragments)
         sizes = np.array([len(f) for f in fragments])
         doc = np.repeat(np.arange(n, dtype=np.int64), sizes)
-        vocabulary, term = np.unique(np.concatenate(fragments), return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * n + doc, return_counts=True)
+        term = np.concatenate(fragments).astype(np.int64)
+        pair, tf = np.unique(term * n + doc, return_counts=True)
         self.doc, terms = (pair % n).astype(np.int32), pair // n  # postings, by term
-        self.first = np.searchsorted(terms, np.arange(len(vocabulary) + 1))
+        self.first = np.searchsorted(terms, np.arange(term.max() + 2))
         df = np.diff(self.first)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.weight = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / sizes.mean()))
@@ -32,6 +32,12 @@ class Index:
         self.terms, self.term_first = terms[by_doc], np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.n = n
 
+    def drop(self, left: np.ndarray) -> None:
+        """Keeps the postings of the fragments that are left; their scores stay as they are."""
+        keep = left[self.doc]
+        self.first = np.concatenate(([0], np.cumsum(keep)))[self.first]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
     def scores(self, seed: int) -> np.ndarray:
         """Of all fragments of the shard for the seed's distinct terms."""
         query = self.terms[self.term_first[seed] : self.term_first[seed + 1]]
@@ -46,6 +52,7 @@ def fill(fragments: list[np.ndarray], window: int) -> Iterator[list[tuple[int, i
     can be short."""
     index, n = Index(fragments), len(fragments)
     size, done, left = np.array([len(f) for f in fragments]), np.zeros(n, np.int64), np.ones(n, bool)
+    indexed = n
     for seed in range(n):
         while left[seed]:
             room, parts = window, []
@@ -56,11 +63,14 @@ def fill(fragments: list[np.ndarray], window: int) -> Iterator[list[tuple[int, i
                 if d is None:
                     if ranked or not left.any():
                         break
+                    if (many := int(left.sum())) < 0.85 * indexed:
+                        index.drop(left)
+                        indexed = many
                     s = np.where(left, index.scores(seed), -1.0)
-                    order, ranked = iter(np.argsort(-s, kind="stable")[: int(left.sum())].tolist()), True
+                    order, ranked = iter(np.argsort(-s, kind="stable")[:many]), True
                     continue
                 take = min(room, size[d] - done[d])
-                parts.append((d, int(done[d]), int(done[d] + take)))
+                parts.append((int(d), int(done[d]), int(done[d] + take)))
                 done[d] += take
                 room -= take
                 left[d] = done[d] < size[d]
@@ -82,11 +92,17 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = tokens.encoder(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+
+        def encoded(texts: pa.Array) -> Iterator[bytes]:
+            for t in texts:
+                with tokens.without_gc():
+                    own = ids(t.as_py() or "") + end
+                yield own
+
         mix = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             rows = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = (ids(t) if t else b"") + end
+            for d, own in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
                 n = len(own) // 4
                 for k in range(0, n - n % window, window):
                     rows.append((d, n, k, own[4 * k : 4 * (k + window)], None))

@@ -8,7 +8,9 @@ strings) goes to the library whole.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import re
 from array import array
 
@@ -24,6 +26,7 @@ _SPACED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-ö
 _INNER = re.compile(r"\s\s(?:\s|$)")
 
 
+
 def path(name: str) -> str:
     """Where a public tokenizer's file lies; a name with a slash is a path already."""
     if "/" in name:
@@ -61,8 +64,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path(file))
         self.model, self.lower = self.tokenizer.model, lower
-        self.pieces: dict[str, bytes] = {}
-        self.words = _Words(self._word)
+        self.words = _Words(self._word)  # words, and the pieces that they are cut into
         self.words[""] = b""
 
     def whole(self, text: str) -> bytes:
@@ -73,19 +75,23 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word, 1 if word[0] == " " and not self.lower else 0):
-            known, parts = self.pieces, _LOWER.findall(word.lower()) if self.lower else _SPACED.findall(word)
+        known = self.words
+        if word.isascii() and word[word[0] == " " :].isalpha() and not self.lower:  # one piece
+            got = self._piece(word)
+        elif _PLAIN.fullmatch(word, 1 if word[0] == " " and not self.lower else 0):
+            parts = _LOWER.findall(word.lower()) if self.lower else _SPACED.findall(word)
             got = b""
             for p in parts:
-                if (ids := known.get(p)) is None:
+                ids = known.get(p)
+                if ids is None:
                     ids = self._piece(p)
                     if len(known) < CACHE:
                         known[p] = ids
                 got += ids
         else:
             got = self.whole(word)
-        if len(self.words) < CACHE:
-            self.words[word] = got
+        if len(known) < CACHE:
+            known[word] = got
         return got
 
     def ids(self, text: str) -> bytes:
@@ -98,6 +104,18 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
+@contextlib.contextmanager
+def without_gc():
+    """For loops that make many small objects and no cycles, beside a large cache that each collection would go through."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @functools.cache
 def encoder(file: str) -> Encoder:
     """One per worker and file. Vocabularies with word ends drop white space and case."""

@@ -73,3 +73,19 @@ def test_neighbours_fill_windows():
     a, b = np.arange(100, dtype="<u4"), np.arange(1000, 1100, dtype="<u4")
     windows = list(packing.fill([a, b, a.copy(), b.copy()], 200))
     assert [{d for d, _, _ in w} for w in windows] == [{0, 2}, {1, 3}]
+
+
+def test_scores_of_what_is_left_stay():
+    rng = np.random.default_rng(5)
+    index = packing.Index([rng.integers(0, 300, rng.integers(1, 400)).astype("<u4") for _ in range(60)])
+    left, before, postings = rng.random(60) < 0.4, index.scores(7), len(index.doc)
+    index.drop(left)
+    assert (index.scores(7)[left] == before[left]).all() and len(index.doc) < postings
+
+
+def test_pieces_of_words_are_words_too():
+    """One cache: whatever was cut before, a word's ids are the library's."""
+    e = tokens.Encoder("byte_bpe_50k.json", False)
+    for text in ("Foo, foo,, bar", " foo Foo ,, ,", "naïve, naïve", "x1 x 1", "'s it's"):
+        assert e.ids(text) == e.whole(text)
+    assert e.words[","] == e.whole(",") and " foo" in e.words
