@@ -91,13 +91,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = tokens.encoder(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+        encoder, end = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def encoded(texts: pa.Array) -> Iterator[bytes]:
-            for t in texts:
-                with tokens.without_gc():
-                    own = ids(t.as_py() or "") + end
-                yield own
+            for ids in encoder.encode(texts, end):
+                yield from (x.as_py() for x in ids)
 
         mix = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:

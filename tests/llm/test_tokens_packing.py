@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import common, packing, token_files, tokens
@@ -89,3 +90,21 @@ def test_pieces_of_words_are_words_too():
     for text in ("Foo, foo,, bar", " foo Foo ,, ,", "naïve, naïve", "x1 x 1", "'s it's"):
         assert e.ids(text) == e.whole(text)
     assert e.words[","] == e.whole(",") and " foo" in e.words
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_batches_ask_for_each_word_once(file):
+    """Texts of one batch, whole ones and nulls among them; the cache is asked once for a word, however often it stands there."""
+    texts = ["foo Foo, bar.\nfoo", None, "", "a \t b", "<|ENDOFTEXT|> <|endoftext|> x", "\0 foo", "É été, ΣΑΣ İ!", " foo\n\n", "foo " * 5000]
+    e, asked = tokens.Encoder(file, file.startswith("word")), []
+
+    class Known(tokens._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    e.words = Known(e._word)
+    e.words[""] = b""
+    got = [x.as_py() for part in e.encode(pa.array(texts), b"end.") for x in part]
+    assert got == [(e.whole(t) if t else b"") + b"end." for t in texts]
+    assert len(asked) < 60
