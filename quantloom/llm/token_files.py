@@ -44,9 +44,12 @@ def tokenized(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int)
     """doc_id, ids (little-endian unsigned 32-bit integers, the end id last), encoded once and kept in the shared folder."""
 
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = tokens.encoder(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+        encoder, end = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(ids(t) if t else b"") + end for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            at = 0
+            for ids in encoder.encode(batch.column(1), end):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), ids], ["doc_id", "ids"])
+                at += len(ids)
 
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return common.save(d.mapInArrow(encode_texts, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary"), "ids")
