@@ -18,6 +18,9 @@ FREQUENT_BITS, FREQUENT = 24, 1 << 20
 COUNTED, POSTINGS = 4 << 20, 500_000
 #: Sets that a task remembers so as to send no copy of them.
 KNOWN = 1 << 19
+#: n-grams in a block of a family's sets, and sets in one; sets and n-grams that are compared in one product.
+BLOCK, BLOCK_SETS = 500_000, 5_000
+STEP, COLUMNS = 1024, 4096
 _NEED, _OF = 80, 100
 
 
@@ -81,6 +84,57 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in cols], ["token", "sig", "n", "late"])
 
 
+def _shared_counts(rows: np.ndarray, tokens: np.ndarray, n_rows: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams each of the sets `left` shares with each of `right`. rows, tokens: which set holds which n-gram."""
+    place = np.full((2, n_rows), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    mine, theirs = place[:, rows]
+    kept = np.intersect1d(tokens[mine >= 0], tokens[theirs >= 0])
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(kept):
+        return out
+    column = np.searchsorted(kept, tokens)
+    hit = kept[np.minimum(column, len(kept) - 1)] == tokens
+    for c in range(0, len(kept), COLUMNS):
+        width = min(COLUMNS, len(kept) - c)
+        inside = hit & (column >= c) & (column < c + width)
+        sides = []
+        for side, of in ((mine, left), (theirs, right)):
+            m, on = np.zeros((len(of), width), np.float32), inside & (side >= 0)
+            m[side[on], column[on] - c] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """Of a block's sets (sig, more, label, first, tokens) those that link and are in different components, the ones marked
+    first with all others; of each two components one link."""
+    table = table.combine_chunks()
+    sig, label, first = (table.column(k).to_numpy() for k in ("sig", "label", "first"))
+    one, at, own = np.unique(sig, return_index=True, return_inverse=True)
+    more, label, lists = table.column("more").to_numpy()[at], label[at], table.column("tokens").take(pa.array(at)).combine_chunks()
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    rows, tokens = np.repeat(np.arange(len(one)), n), lists.flatten().to_numpy()
+    token, tokens = np.unique(tokens, return_inverse=True)
+    common_ = np.bincount(tokens, minlength=len(token)) > 1
+    rows, tokens = rows[common_[tokens]], tokens[common_[tokens]]
+    lefts, rights = np.unique(own[first]), np.unique(own[~first])
+    lefts, rights = lefts[np.argsort(n[lefts], kind="stable")], rights[np.argsort(n[rights], kind="stable")]
+    links: dict[tuple[int, int], tuple[int, int]] = {}
+    for a in range(0, len(lefts), STEP):
+        x = lefts[a : a + STEP]
+        near = rights[(_OF * n[rights] >= _NEED * n[x[0]]) & (_NEED * n[rights] <= _OF * n[x[-1]])]
+        for b in range(0, len(near), STEP):
+            y = near[b : b + STEP]
+            shared = _shared_counts(rows, tokens, len(one), x, y).astype(np.int64)
+            i, j = np.nonzero((_OF * shared >= _NEED * (n[x][:, None] + n[y] - shared)) & (label[x][:, None] != label[y]))
+            for k, m in zip(x[i].tolist(), y[j].tolist(), strict=True):
+                links.setdefault((label[k], label[m]), (k, m))
+    k, m = (np.array([p[e] for p in links.values()], np.int64) for e in (0, 1))
+    return pa.table({c: pa.StructArray.from_arrays([pa.array(one[e]), pa.array(more[e])], ["sig", "more"]) for c, e in (("u", k), ("v", m))})
+
+
 class Join:
     """Links between the sets of n-grams of documents whose Jaccard similarity is 0.8 or more.
 
@@ -97,11 +151,11 @@ class Join:
     Ranges: for pairs that are left, each range gives its partial overlap, and their sum over all ranges decides
     exactly.
 
-    An n-gram that more than `small` sets share gives no pairs at first and counts as shared by any two of its
-    sets. Such groups are taken hub by hub: the member with the most shared n-grams is compared with all others,
-    then in each round up to 16 `hubs`, 256 `hubs`, ... of the members outside of the group's largest component
-    with the members of other components, until each of them has been a hub. So a family of copies costs one pair
-    a member and one more for each member that stands apart, and no link is lost.
+    An n-gram that more than `small` sets share gives no pairs. Its `hubs` members with the most shared n-grams are
+    compared with all others at first, which joins a family of copies at one pair a member. n-grams of the same first
+    hub are one family then: where its members are in several components, those outside of the largest one are compared
+    with all, block by block, and of each two components at most one link comes out of a block. So no pairs of a
+    family's members are written out, and no link is lost.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, small: int = 4, fragments: int = 8, hubs: int = 1):
@@ -219,15 +273,15 @@ class Join:
     def large(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.col("size").isNull() | (F.col("size") > self.small))
 
-    def sets(self, members: DataFrame, sigs: DataFrame) -> DataFrame:
-        """sig, more, n, fragment, tokens (a range's n-grams) of the sets that `sigs` names, from one document each."""
-        width, top = self.width, np.uint64(64 - (self.fragments - 1).bit_length())
+    def sets(self, members: DataFrame, sigs: DataFrame, whole: bool = False) -> DataFrame:
+        """sig, more, n, fragment, tokens (a range's n-grams, or all of them) of the sets that `sigs` names, from one document each."""
+        width, top = self.width, np.uint64(63 if whole else 64 - (self.fragments - 1).bit_length())
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (p for b in batches for p in hashing.parts(b, 0)):
                 out = []
                 for s in _sets(batch.column(0).to_pylist(), width):
-                    part = s >> top
+                    part = np.zeros(len(s), np.uint64) if whole else s >> top
                     edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                     g = _signature(s)
                     out += [(*g, len(s), int(part[e]), t) for e, t in zip(edge.tolist(), np.split(s.view(np.int64), edge[1:]), strict=True)]
@@ -252,54 +306,50 @@ class Join:
         rows = self.front(members, self.frequent())
         large = common.save(self.large(rows).select("token", "sig", "n", "m"), "large")
         # the first hub of each group: the likeliest original of a family of copies
-        hubs = common.save(large.groupBy("token").agg(F.max(F.struct("m", "sig", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("token", "hub"), "hubs")
+        one = F.max(F.struct("m", "sig", "n")).alias("hub")
+        hubs = common.save(large.groupBy("token", F.pmod(F.xxhash64("sig"), F.lit(self.hubs)).alias("share")).agg(one).select("token", "hub"), "hubs")
         pairs = common.save(self.candidates(rows).unionByName(self.hub_pairs(large, hubs)).distinct(), "pairs")
-        sets = self.sets(members, pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct())
+        sets = self.sets(members, pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
         common.drop(rows)
-        found, done, turn = self.grouped(self.links(pairs, sets)), [pairs], 0
-        used = hubs.select("token", F.col("hub.sig").alias("sig"))
-        while True:
-            group = large.join(found.select(F.col("id.sig").alias("sig"), F.col("component.sig").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-            group = common.save(group, "group")
-            turn += 1
-            hubs = common.save(self.next_hubs(group, used, self.hubs << 4 * turn), "hubs")
-            if hubs.isEmpty():
-                break
-            more = self.hub_pairs(group, hubs)
-            for p in done:
-                more = more.join(p, ["a", "b"], "left_anti")
-            done.append(common.save(more, "pairs"))
-            known = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
-            last, found = found, self.grouped(self.links(done[-1], sets).unionByName(known))
-            used = used.unionByName(hubs.select("token", F.col("hub.sig").alias("sig")))
-            for t in (last, group):
-                common.drop(t)
-        for t in (group, large, sets, *done):
+        found = self.grouped(self.links(pairs, sets))
+        family = large.groupBy("token").agg(one, F.count("*").alias("members")).where("members > 1").select("token", F.col("hub.sig").alias("family"))
+        group = common.skew_join(large, family, ["token"]).select("family", "sig").distinct()
+        group = group.join(found.select(F.col("id.sig").alias("sig"), F.col("component.sig").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        group = common.save(group, "group")
+        known = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        last, found = found, self.grouped(self.block_links(members, group).unionByName(known))
+        for t in (last, group, large, hubs, pairs, sets):
             common.drop(t)
         return found
 
+    def block_links(self, members: DataFrame, group: DataFrame) -> DataFrame:
+        """u, v: links between members of a family that are in different components, a link of each two components in a block at least."""
+        parts = group.groupBy("family", "label").agg(F.count("*").alias("members"))
+        main = parts.groupBy("family").agg(F.max(F.struct("members", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("family", F.col("main.label").alias("main"))
+        open_ = common.save(common.skew_join(group, main, ["family"]), "open")
+        sets = self.sets(members, open_.select("sig").distinct(), whole=True)
+        own = open_.join(sets.select("sig", "n"), "sig")
+        blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.sum(F.when(of, F.greatest("n", F.lit(BLOCK // BLOCK_SETS)))) / BLOCK)).cast("int")
+        cuts = own.groupBy("family").agg(blocks(F.col("label") != F.col("main")).alias("lefts"), blocks(F.lit(True)).alias("rights"))
+        x = common.skew_join(open_, cuts, ["family"])
+        at = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = x.where("label <> main").select("family", "sig", "label", F.lit(True).alias("first"), at("lefts").alias("l"), every("rights").alias("r"))
+        right = x.select("family", "sig", "label", F.lit(False).alias("first"), every("lefts").alias("l"), at("rights").alias("r"))
+        d = common.skew_join(common.save(left.unionByName(right), "blocks"), sets.select("sig", "more", "tokens"), ["sig"])
+        return d.groupBy("family", "l", "r").applyInArrow(_block, "u struct<sig: long, more: long>, v struct<sig: long, more: long>").distinct()
+
     @staticmethod
     def grouped(links: DataFrame) -> DataFrame:
         return common.save(common.components(links), "component")
 
     @staticmethod
     def hub_pairs(group: DataFrame, hubs: DataFrame) -> DataFrame:
-        """a, b: each group's hubs with its members, but for those in the hub's component, of too different a size or with too few shared n-grams."""
+        """a, b: each group's hubs with its members, but for those of too different a size or with too few shared n-grams."""
         p = common.skew_join(group, hubs, ["token"]).where((F.col("sig") != F.col("hub.sig")) & _fits(F.col("n"), F.col("hub.n")))
-        if "label" in group.columns:
-            p = p.where(F.col("label") != F.col("hub.label"))
         p = p.where(F.least("m", "hub.m") >= _needed(F.col("n"), F.col("hub.n")))
         return p.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()
 
-    @staticmethod
-    def next_hubs(group: DataFrame, used: DataFrame, count: int) -> DataFrame:
-        """token, hub: of the members outside of the component that most of the n-gram's group stands in, up to `count` that weren't hubs, each
-        the one with the most shared n-grams in its share of them. Once all of these were hubs, all pairs of components have been compared."""
-        parts = group.groupBy("token", "label").agg(F.count("*").alias("members"))
-        main = parts.groupBy("token").agg(F.max(F.struct("members", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("main.label").alias("main"))
-        others = common.skew_join(group, main, ["token"]).where("label <> main").join(used, ["token", "sig"], "left_anti")
-        return others.groupBy("token", F.pmod(F.xxhash64("sig"), F.lit(count)).alias("share")).agg(F.max(F.struct("m", "sig", "n", "label")).alias("hub")).select("token", "hub")
-
     def run(self) -> tuple[DataFrame, DataFrame]:
         """members(), and sig, more, low_id, low_version of each set that several documents have or that links: the first document of its component."""
         members = self.members()

@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from quantloom.llm import embeddings, jaccard, linededup
 from tests_llm_brute import line_codes, lines_left, sets_of, smallest
@@ -63,3 +64,21 @@ def test_estimates_are_unbiased():
     est, half = embeddings.estimate(t >= 0, np.abs(t).sum(1) / 8, q @ turn)
     true = o @ q.T
     assert abs((est - true).mean()) < 0.01 and (np.abs(est - true) <= half).all()
+
+
+def test_blocks_write_one_link_for_two_components():
+    """A family whose members stand apart gives links between its components only, not a row for each pair."""
+    rng = np.random.default_rng(3)
+    base, sets = np.arange(1000, 1100), []
+    for k in range(300):
+        s = base.copy()
+        s[rng.choice(100, k % 23, replace=False)] = rng.integers(10**6, 10**9, k % 23)
+        sets.append(np.unique(s))
+    label = [k % 150 for k in range(300)]
+    rows = [(k, -k, label[k], first, sets[k].tolist()) for k in range(300) for first in ((True, False) if label[k] else (False,))]
+    t = pa.table({c: pa.array(v) for c, v in zip(("sig", "more", "label", "first", "tokens"), zip(*rows, strict=True), strict=True)})
+    got = [(r["u"]["sig"], r["v"]["sig"]) for r in jaccard._block(t).to_pylist()]
+    alike = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})
+    want = {(label[a], label[b]) for a in range(300) for b in range(300) if label[a] and label[a] != label[b] and alike(a, b)}
+    assert all(alike(a, b) for a, b in got) and len(want) > 100
+    assert sorted((label[a], label[b]) for a, b in got) == sorted(want)
