@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Odd multiplier of the rolling and mixing steps (the golden ratio in 64 bits).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -62,13 +63,18 @@ def _hash(data: bytes, marks: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts(batch, column: int, most: int = 2 << 20) -> Iterator:
-    """The batch in slices of some `most` bytes of the texts in a column, so that what is computed from a slice stays small."""
+    """The batch in slices of some `most` bytes of the texts in a column, so that what is computed from a slice stays small.
+
+    At the end Arrow gives back what it holds for later use (often more than a worker's caches): workers live on
+    between stages, and their executor has that memory for other work.
+    """
     sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(column).offset).astype(np.int64)) if batch.num_rows else np.zeros(0, np.int64)
     cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0))
     edges = [0, *cut.tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def words(texts: list[str | None], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:

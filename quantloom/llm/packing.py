@@ -122,6 +122,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tokens.encoder.cache_clear()  # all texts are encoded by now; idle workers would keep the words
         sequence = TaskContext.get().partitionId() << 40
         held: list[pa.RecordBatch] = []
 

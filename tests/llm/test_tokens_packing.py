@@ -17,6 +17,22 @@ def test_ids_are_the_librarys(file, rows):
         assert e.ids(t) == e.whole(t), repr(t[:80])
 
 
+def test_workers_give_memory_back():
+    """After a batch a worker holds nothing for later use that Arrow could give back."""
+
+    def held() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(next(line for line in f if line.startswith("Private_Dirty")).split()[1]) / 1024
+
+    rng, e = np.random.default_rng(3), tokens.encoder("byte_bpe_50k.json")
+    words = np.array(["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(20_000)])
+    texts = pa.array([" ".join(words[rng.integers(0, len(words), 700)]) for _ in range(6_000)])
+    assert sum(len(ids) for ids in e.encode(texts, b"\0\0\0\0")) == len(texts)
+    before = held()
+    pa.default_memory_pool().release_unused()
+    assert before - held() < 40, "MB"
+
+
 def test_codec():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
