@@ -24,7 +24,11 @@ from .hashing import GOLDEN, mixed
 #: A doc_id that stands for none; such documents come last.
 NONE = (1 << 63) - 1
 #: Bytes of text of a chunk (documents that are looked at together), and of a slice of it that is hashed at once.
-CHUNK, SLICE = 4 << 20, 1 << 17
+CHUNK, SLICE = 2 << 20, 1 << 17
+#: Bytes of text, of keys and of segments that a shard gets in the mean at most.
+SHARD, TOLD, SENT = 32 << 20, 8 << 20, 24 << 20
+#: Keys that a shard counts at once.
+COUNT = 1 << 19
 #: Positions of a segment at most, so that its first and last string tell all of its bytes.
 STRETCH = 50
 #: Of a fingerprint in so many chunks only the strings that stand in more than one document are sent.
@@ -262,12 +266,16 @@ def dealt(fingerprint: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _digest(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the strings that begin at these places."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
+    """Hashes of the strings that begin at these places, which ascend; slice by slice."""
     out = np.zeros(len(at), np.uint64)
-    for i in range(length):
-        out = out * GOLDEN + text[at + i] + np.uint64(1)
+    slices = np.arange(0, len(text) + SLICE, SLICE)
+    cuts = np.searchsorted(at, slices)
+    for a, i, j in zip(slices.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=False):
+        if j - i > SLICE >> 4:
+            out[i:j] = _powers(text[a : a + SLICE + length - 1].astype(np.uint64) + np.uint64(1), length)[at[i:j] - a]
+        elif j > i:
+            for k in range(length):
+                out[i:j] = out[i:j] * GOLDEN + text[at[i:j] + k] + np.uint64(1)
     return mixed(out)
 
 
@@ -289,15 +297,60 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[:1] = True
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
-    back = np.empty(len(order), np.int64)
-    back[order] = new.cumsum() - 1
+    back = np.empty(len(order), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
     return order, np.flatnonzero(new), back
 
 
 def _states(marks: list[dict]) -> np.ndarray:
     """0, 1 (in more than one document) or 2 (and frequent) for each distinct key that a chunk has told, in their order."""
-    bits = [np.unpackbits(np.frombuffer(m["marks"], np.uint8).reshape(2, -1), axis=1, count=m["many"]).sum(0) for m in sorted(marks, key=lambda m: m["shard"])]
-    return np.concatenate(bits) if bits else np.zeros(0, int)
+    bits = [np.unpackbits(np.frombuffer(m["marks"], np.uint8).reshape(2, -1), axis=1, count=m["many"]).sum(0, dtype=np.uint8) for m in sorted(marks, key=lambda m: m["shard"])]
+    return np.concatenate(bits) if bits else np.zeros(0, np.uint8)
+
+
+def _ranges(keys: np.ndarray, parts: int) -> Iterator[np.ndarray]:
+    """Where the keys of each of so many ranges stand."""
+    low, high = (int(keys.min()), int(keys.max()) + 1) if len(keys) else (0, 1)
+    edges = [low + -(-k * (high - low) // parts) for k in range(parts + 1)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield np.flatnonzero((keys >= a) & (keys < b)) if parts > 1 else np.arange(len(keys))
+
+
+def told_again(keys: np.ndarray, shared: np.ndarray, hot: int, most: int) -> np.ndarray:
+    """Two rows of bits for the keys of a shard (those of one chunk are distinct): in more than one document; and in `hot` chunks.
+    Some `most` keys are counted at once."""
+    bits = np.zeros((2, len(keys)), bool)
+    for at in _ranges(keys, len(keys) // most + 1):
+        order, first, back = _groups(keys[at])
+        if len(at):
+            times = np.diff(np.append(first, len(order)))
+            more = (times > 1) | (np.add.reduceat(shared[at][order], first, dtype=np.int64) > 0)
+            bits[:, at] = more[back], (more & (times >= hot))[back]
+    return bits
+
+
+def answers(rows: list[dict], length: int) -> Iterator[tuple]:
+    """chunk, least, runs for each row of a shard: the smallest id of each string of its segments, in runs. Takes the rows' bytes away."""
+    keys, strings, low = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("keys", np.uint32), ("strings", np.uint8), ("low", np.int64)))
+    text = np.frombuffer(b"".join([r.pop("bytes") for r in rows]), np.uint8)
+    strings = strings.astype(np.int64)
+    sizes = strings + length - 1
+    begin = sizes.cumsum() - sizes
+    order, first, back = _groups(keys, strings, _digest(text, begin, length), _digest(text, begin + strings - 1, length))
+    least = np.minimum.reduceat(low[order], first)
+    pick = order[first]
+    del order, low
+    least = lowest(_taken(text, begin[pick], sizes[pick]), sizes[pick], least, keys[pick], length)
+    to = strings[pick].cumsum() - strings[pick]
+    at = 0
+    for r in rows:
+        n = len(r["strings"])
+        own = back[at : at + n]
+        many = strings[at : at + n]
+        values = least[np.repeat(to[own] - many.cumsum() + many, many) + np.arange(many.sum())]
+        cut = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        at += n
+        yield r["chunk"], values[cut].tobytes(), np.diff(np.append(cut, len(values))).astype(np.int32).tobytes()
 
 
 class Chunk:
@@ -315,9 +368,9 @@ class Chunk:
         last = np.append(first[1:], len(order)) - 1
         self.shared = self.doc[order][first] != self.doc[order][last] if len(order) else np.zeros(0, bool)
 
-    def rows(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """The shards of sorted keys and their parts of them."""
-        shard = keys >> 32
+    def rows(self, keys: np.ndarray, finer: int = 1) -> Iterator[tuple[int, slice]]:
+        """The shards of sorted keys, each cut into `finer` ones, and their parts of them."""
+        shard = (keys >> 32) * finer + ((keys & 0xFFFFFFFF) * finer >> 32)
         cut = np.flatnonzero(np.append(shard[1:] != shard[:-1], True)) + 1 if len(keys) else []
         for a, b in zip([0, *cut[:-1]], cut, strict=False):
             yield int(shard[a]), slice(int(a), int(b))
@@ -332,17 +385,18 @@ class Chunk:
         state = _states(marks)[self.back]
         self.one, self.hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
         many = self.many[self.hot]
-        self.segment = np.repeat(self.hot, many)  # of each string of a frequent fingerprint
-        self.string = self.begin[self.segment] + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
+        self.segment = np.repeat(self.hot.astype(np.int32), many)  # of each string of a frequent fingerprint
+        self.string = np.repeat((self.begin[self.hot] - many.cumsum() + many).astype(np.int32), many)
+        self.string += np.arange(len(self.string), dtype=np.int32)
         key = dealt(_digest(self.text, self.string, self.length), self.shards)
         order, first, self.string_back = _groups(key)
-        self.string_keys = key[order][first]
-        doc = self.doc[self.segment][order]
-        self.string_shared = doc[first] != doc[np.append(first[1:], len(order)) - 1] if len(order) else np.zeros(0, bool)
+        self.string_keys = key[order[first]]
+        doc = self.doc[self.segment[order[first]]], self.doc[self.segment[order[np.append(first[1:], len(order)) - 1]]] if len(order) else []
+        self.string_shared = doc[0] != doc[1] if len(order) else np.zeros(0, bool)
 
-    def told_strings(self) -> Iterator[tuple]:
+    def told_strings(self, finer: int = 1) -> Iterator[tuple]:
         """As told(), of the strings of the frequent fingerprints."""
-        for shard, part in self.rows(self.string_keys):
+        for shard, part in self.rows(self.string_keys, finer):
             yield shard, self.number, self.string_keys[part].astype(np.uint32).tobytes(), np.packbits(self.string_shared[part]).tobytes()
 
     def segments(self, marks: list[dict]) -> None:
@@ -356,31 +410,38 @@ class Chunk:
         self.strings = np.append(self.many[self.one], np.diff(np.append(first, len(at))))
         key = np.append(self.key[self.one], self.key[of[first]])
         self.own = self.ids[np.searchsorted(self.ends, self.at, "right")]
-        ends = _digest(self.text, self.at, self.length), _digest(self.text, self.at + self.strings - 1, self.length)
+        del stay, at, of, first
+        self.segment = self.string = self.string_back = self.string_keys = None
+        begin = np.argsort(self.at)  # those of frequent fingerprints come after the others
+        ends = np.empty((2, len(begin)), np.uint64)
+        for k, shift in enumerate((0, self.strings[begin] - 1)):
+            ends[k, begin] = _digest(self.text, self.at[begin] + shift, self.length)
         order, self.first, self.of = _groups(key, self.strings, *ends)
-        self.order, self.distinct = order, key[order][self.first]
+        self.order, self.distinct = order, key[order[self.first]]
 
-    def shipped(self) -> Iterator[tuple]:
+    def shipped(self, finer: int = 1) -> Iterator[tuple]:
         """shard, chunk, keys, strings, low (smallest id), bytes of the distinct segments."""
         low = np.full(len(self.first), NONE)
         np.minimum.at(low, self.of, self.own)
         at, many = self.at[self.order][self.first], self.strings[self.order][self.first]
-        for shard, part in self.rows(self.distinct):
+        for shard, part in self.rows(self.distinct, finer):
             yield shard, self.number, self.distinct[part].astype(np.uint32).tobytes(), many[part].astype(np.uint8).tobytes(), low[part].tobytes(), _taken(self.text, at[part], many[part] + self.length - 1).tobytes()
 
-    def documents(self, found: list[dict]) -> Iterator[tuple]:
+    def documents(self, found: list[dict], finer: int = 1) -> Iterator[tuple]:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, given the smallest id of each string of the distinct segments."""
-        found = sorted(found, key=lambda f: f["shard"])
-        least = np.concatenate([np.repeat(np.frombuffer(f["least"], np.int64), np.frombuffer(f["runs"], np.int32)) for f in found]) if found else np.zeros(0, np.int64)
-        many = self.strings[self.order][self.first]
-        to = (many.cumsum() - many)[self.of]
-        string = np.arange(self.strings.sum()) - np.repeat(self.strings.cumsum() - self.strings, self.strings)
-        gone = least[np.repeat(to, self.strings) + string] < np.repeat(self.own, self.strings)
-        start = (np.repeat(self.at, self.strings) + string)[gone]
-        cover = np.zeros(len(self.text) + 1, np.int32)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + self.length, -1)
-        cover = cover.cumsum()[:-1] > 0
+        gone = np.zeros(len(self.text), bool)  # strings to remove, by their begin
+        first = np.append(self.first, len(self.order))
+        for (_, part), f in zip(self.rows(self.distinct, finer), sorted(found, key=lambda f: f["shard"]), strict=True):
+            least = np.repeat(np.frombuffer(f["least"], np.int64), np.frombuffer(f["runs"], np.int32))
+            many = self.strings[self.order[self.first[part]]]
+            segment = self.order[first[part.start] : first[part.stop]]
+            n = self.strings[segment]
+            string = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+            to = (many.cumsum() - many)[self.of[segment] - part.start]
+            gone[(np.repeat(self.at[segment], n) + string)[least[np.repeat(to, n) + string] < np.repeat(self.own[segment], n)]] = True
+        cover = np.cumsum(gone, dtype=np.int32)
+        cover[self.length :] -= cover[: -self.length].copy()
+        cover = cover > 0
         begin = np.append(0, self.ends[:-1])
         for doc, a, b in zip(self.ids.tolist(), begin.tolist(), self.ends.tolist(), strict=True):
             c = cover[a:b]
@@ -394,14 +455,16 @@ class Chunk:
 
 @contextlib.contextmanager
 def _at_once(spark: SparkSession, rows: int):
-    """Rows of an Arrow batch meanwhile: rows that hold whole chunks come a few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Rows of an Arrow batch, and of one that is read from Parquet, meanwhile: rows that hold whole chunks come a few at a time."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.parquet.columnarReaderBatchSize": max(rows, 16)}
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -431,16 +494,36 @@ def _chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.mapInArrow(run, "chunk long, ids binary, ends binary, text binary")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Their rows, one at a time. At the end Arrow gives back what it holds for later use."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+    pa.default_memory_pool().release_unused()
+
+
+def _batches(rows: Iterator[tuple], schema: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some `most` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= most:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of each shard; they come sorted by shard."""
     at, held = None, []
-    for b in batches:
-        for row in b.to_pylist():
-            if row["shard"] != at and held:
-                yield at, held
-                held = []
-            at = row["shard"]
-            held.append(row)
+    for row in _rows(batches):
+        if row["shard"] != at and held:
+            yield at, held
+            held = []
+        at = row["shard"]
+        held.append(row)
     if held:
         yield at, held
 
@@ -471,93 +554,71 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     with _at_once(spark, 500):
         chunks = common.save(_chunked(docs, key, text), "chunks")
     size = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(common.tasks(spark), size // (8 * CHUNK) + 1)
+    shards = max(common.tasks(spark), size // SHARD + 1)
 
     told_schema = "shard int, chunk long, keys binary, shared binary"
 
+    marks_schema = "chunk long, shard int, many int, repeated long, frequent long, marks binary"
+    sent_schema = "shard int, chunk long, keys binary, strings binary, low binary, bytes binary"
+
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                if out := list(Chunk(row, length, shards).told()):
-                    yield _batch(out, told_schema)
+        for row in _rows(batches):
+            yield from _batches(Chunk(row, length, shards).told(), told_schema)
 
     def told_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row, length, shards)
-                c.marked(row["marked"] or [])
-                if out := list(c.told_strings()):
-                    yield _batch(out, told_schema)
+        for row in _rows(batches):
+            c = Chunk(row, length, shards)
+            c.marked(row["marked"] or [])
+            yield from _batches(c.told_strings(finer["strings"]), told_schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
             keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-            many = np.array([len(k) for k in keys])
-            shared = np.concatenate([np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=n) for r, n in zip(rows, many, strict=True)])
-            order, first, back = _groups(np.concatenate(keys))
-            times = np.diff(np.append(first, len(order)))
-            more = (times > 1) | (np.add.reduceat(shared[order], first, dtype=np.int64) > 0)
-            bits = np.stack([more[back], (more & (times >= HOT))[back]])
-            to = many.cumsum() - many
-            for a in range(0, len(rows), 500):
-                part = [(r["chunk"], shard, int(n), np.packbits(bits[:, t : t + n], axis=1).tobytes()) for r, n, t in zip(rows[a : a + 500], many[a : a + 500], to[a : a + 500], strict=True)]
-                yield _batch(part, "chunk long, shard int, many int, marks binary")
+            many = [len(k) for k in keys]
+            bits = told_again(np.concatenate(keys), np.concatenate([np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=n) for r, n in zip(rows, many, strict=True)]), HOT, COUNT)
+            ends = np.cumsum(many).tolist()
+            parts = (bits[:, e - n : e] for e, n in zip(ends, many, strict=True))
+            yield from _batches(((r["chunk"], shard, n, int(b[0].sum()), int(b[1].sum()), np.packbits(b, axis=1).tobytes()) for r, n, b in zip(rows, many, parts, strict=True)), marks_schema)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row, length, shards)
-                c.marked(row["marked"] or [])
-                c.segments(row["strings"] or [])
-                out = list(c.shipped())
-                if out:
-                    yield _batch(out, "shard int, chunk long, keys binary, strings binary, low binary, bytes binary")
+        for row in _rows(batches):
+            c = Chunk(row, length, shards)
+            c.marked(row["marked"] or [])
+            c.segments(row["strings"] or [])
+            yield from _batches(c.shipped(finer["sent"]), sent_schema)
 
     def sorted_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
-            keys, strings, low = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("keys", np.uint32), ("strings", np.uint8), ("low", np.int64)))
-            text = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-            counts = np.array([len(r["strings"]) for r in rows])
-            strings = strings.astype(np.int64)
-            sizes = strings + length - 1
-            begin = sizes.cumsum() - sizes
-            order, first, back = _groups(keys, strings, _digest(text, begin, length), _digest(text, begin + strings - 1, length))
-            least = np.minimum.reduceat(low[order], first)
-            pick = order[first]
-            least = lowest(_taken(text, begin[pick], sizes[pick]), sizes[pick], least, keys[pick], length)
-            to = strings[pick].cumsum() - strings[pick]
-            at = 0
-            for r, n in zip(rows, counts, strict=True):
-                own = back[at : at + n]
-                many = strings[at : at + n]
-                values = least[np.repeat(to[own] - many.cumsum() + many, many) + np.arange(many.sum())]
-                cut = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-                at += n
-                yield _batch([(r["chunk"], shard, values[cut].tobytes(), np.diff(np.append(cut, len(values))).astype(np.int32).tobytes())], "chunk long, shard int, least binary, runs binary")
+            yield from _batches(((chunk, shard, least, runs) for chunk, least, runs in answers(rows, length)), "chunk long, shard int, least binary, runs binary")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row, length, shards)
-                c.marked(row["marked"] or [])
-                c.segments(row["strings"] or [])
-                yield _batch(list(c.documents(row["found"] or [])), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        for row in _rows(batches):
+            c = Chunk(row, length, shards)
+            c.marked(row["marked"] or [])
+            c.segments(row["strings"] or [])
+            yield _batch(list(c.documents(row["found"] or [], finer["sent"])), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     def of_chunk(answers: DataFrame, name: str) -> DataFrame:
         """One row per chunk, with as many entries as it has shards."""
-        return answers.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in answers.columns if c != "chunk"])).alias(name)).hint("shuffle_hash")
+        used = [c for c in answers.columns if c not in ("chunk", "repeated", "frequent")]
+        return answers.groupBy("chunk").agg(F.collect_list(F.struct(*used)).alias(name)).hint("shuffle_hash")
 
-    def answered(rows: DataFrame, name: str) -> DataFrame:
+    def answered(rows: DataFrame, name: str, shards: int) -> tuple[DataFrame, int, int]:
+        """The answers, and for how many keys of chunks they say repeated, and frequent."""
         asked = rows.repartition(shards, "shard").sortWithinPartitions("shard")
-        return common.save(asked.mapInArrow(counted, "chunk long, shard int, many int, marks binary"), name)
+        out = common.save(asked.mapInArrow(counted, marks_schema), name)
+        return out, *(x or 0 for x in out.agg(F.sum("repeated"), F.sum("frequent")).first())
 
+    finer = {}  # shards that each shard is cut into, by what is dealt, so that a shard's share does not grow with what repeats
     with _at_once(spark, 2):
-        marks = answered(chunks.mapInArrow(told, told_schema), "marks")
+        marks, repeats, frequent = answered(chunks.mapInArrow(told, told_schema), "marks", shards)
         marked = chunks.join(of_chunk(marks, "marked"), "chunk", "left")
-        strings = answered(marked.mapInArrow(told_strings, told_schema), "strings")
+        finer["strings"] = frequent * 13 * 4 // (shards * TOLD) + 1  # strings of a fingerprint in the mean, bytes of a key
+        strings, again, _ = answered(marked.mapInArrow(told_strings, told_schema), "strings", shards * finer["strings"])
         marked = marked.join(of_chunk(strings, "strings"), "chunk", "left")
-        parts = marked.mapInArrow(sent, "shard int, chunk long, keys binary, strings binary, low binary, bytes binary")
-        parts = parts.repartition(shards, "shard").sortWithinPartitions("shard")
+        finer["sent"] = ((repeats - frequent) * 75 + again * 8) // (shards * SENT) + 1  # bytes of a segment, and of a string in a run
+        parts = marked.mapInArrow(sent, sent_schema)
+        parts = parts.repartition(shards * finer["sent"], "shard").sortWithinPartitions("shard")
         found = common.save(parts.mapInArrow(sorted_, "chunk long, shard int, least binary, runs binary"), "found")
         out = marked.join(of_chunk(found, "found"), "chunk", "left")
         out = common.save(out.mapInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "cleaned")

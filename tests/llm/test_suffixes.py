@@ -109,3 +109,38 @@ def test_segments_larger_than_a_lane_are_compared_string_by_string(monkeypatch):
     monkeypatch.setattr(suffixes, "LANE", 0)
     assert (in_step == suffixes.lowest(texts, sizes, low, owner, 12)).all()
     assert (in_step < np.repeat(low, sizes - 11)).any()
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_small_shares_of_a_shard(spark, monkeypatch, hot):
+    """Shards are cut by what is dealt, and a shard counts its keys range by range."""
+    for name, value in (("CHUNK", 3000), ("HOT", hot), ("TOLD", 500), ("SENT", 3000), ("COUNT", 50)):
+        monkeypatch.setattr(suffixes, name, value)
+    rows = odd_documents(7)
+    rows += [(i and i + 1000, t) for i, t in rows]  # all of it twice
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(plain(rows), key=key)
+
+
+def test_memory_of_a_chunk_that_repeats():
+    """All strings of a chunk of 2 MB are told, sent and removed: some bytes of memory for a byte of text, not hundreds."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(320_000)).encode()
+    row = {"chunk": 0, "ids": np.array([7]).tobytes(), "ends": np.array([len(text)]).tobytes(), "text": text}
+    state = lambda keys, kind: [{"shard": 0, "many": len(keys), "marks": np.packbits(np.repeat([[True], [kind > 1]], len(keys), 1), axis=1).tobytes()}]
+    for kind in (1, 2):
+        tracemalloc.start()
+        c = suffixes.Chunk(row, 50, 1)
+        c.marked(state(c.keys, kind))
+        c.segments(state(c.string_keys, 1) if len(c.string_keys) else [])
+        many = c.strings[c.order][c.first]
+        found = [{"shard": 0, "least": np.array([3]).tobytes(), "runs": np.array([many.sum()], np.int32).tobytes()}]
+        (out,) = c.documents(found)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out[:4] == (7, len(text), len(text), 1)
+        assert peak < 80 * len(text), peak / len(text)  # 94 when hashes of all strings and places in 64 bits were held
