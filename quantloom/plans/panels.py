@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import panel as pn
-from ..operators import timeseries as ts
 from ..sources import frames as fr
 from .catalog import query
 
@@ -23,9 +22,10 @@ purchases AS (SELECT ticker, day AS filing_date, CAST(l_partkey % 7 AS VARCHAR)
 
 
 def sources(spark, d) -> tuple[DataFrame, ...]:
+    """prices (days without one are left to monthly_panel), shares, accounts, purchases, splits."""
     li = fr.table(spark, d, "lineitem").withColumns({"ticker": F.col("l_suppkey"), "day": F.to_date("l_shipdate")})
     px = li.groupBy("ticker", "day").agg(fr.rounded(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("close"))
-    prices = ts.fill_days(px.withColumnRenamed("day", "date"), "ticker", "date", "close").select("ticker", "date", "close")
+    prices = px.withColumnRenamed("day", "date")
     shares = li.where("l_linenumber = 1 AND l_orderkey % 4 = 0").groupBy("ticker", F.col("day").alias("end")).agg(F.avg("l_quantity").alias("q")).select("ticker", "end", fr.rounded(F.col("q") * 1e5 * (1 + F.col("ticker") % 40), 2).alias("val"))
     splits = li.where("l_quantity >= 49 AND l_linenumber = 2 AND l_orderkey % 5 = 0").groupBy("ticker", F.col("day").alias("date")).agg(F.when(F.min("l_orderkey") % 2 == 0, 2.0).otherwise(0.5).alias("ratio"))
     price, total = F.col("l_extendedprice"), lambda c, n: fr.rounded(F.sum(c), n)
@@ -57,4 +57,4 @@ panel14 AS (SELECT h.date, h.ticker, coalesce(n, 0) AS insider_buyers, coalesce(
 @query("q_panel", "date ticker ~insider_buyers ~insider_share ~revenue_growth ~above_average ~momentum ~near_high ~volatility ~month_return ~gross_margin ~shares_change ~accruals ~log_cap ~fwd_ret", PANEL, "SELECT *, ln(mcap) AS log_cap FROM panel14")
 def q_panel(spark, d):
     """The panel of companies worth more than two billion: eleven features, market value and the next month's return."""
-    return pn.monthly_panel(*sources(spark, d)).withColumn("log_cap", F.ln("mcap"))
+    return pn.monthly_panel(*sources(spark, d), carried=True).withColumn("log_cap", F.ln("mcap"))

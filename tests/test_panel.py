@@ -103,3 +103,39 @@ def test_ties_round_as_in_sql(spark):
     x = [k / 100 / q for k in range(1000000, 1003000, 7) for q in (16.0, 32.0, 48.0)] + [-0.5e-6, 0.5e-6, -1.0000005, 0.0, float("inf")]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(x)), "i int, x double").repartition(1).sortWithinPartitions("i").select(fr.rounded("x", 6)).collect()]
     assert got == [r[0] for r in duckdb.execute("select round(x, 6) from (select unnest($1::double[]) as x)", [x]).fetchall()]
+
+
+def gaps(t, d, c):
+    """Prices on some days only; T4 begins late and ends early."""
+    return None if (d.toordinal() * 7 + int(t[1])) % 5 < 2 or t == "T4" and not dt.date(2015, 5, 6) <= d <= dt.date(2018, 4, 17) else 60.0 if t == "T2" and d.year == 2016 else c
+
+
+def test_carried_prices_equal_filled_ones(spark):
+    from quantloom.operators import timeseries as ts
+
+    prices, *rest = tables(spark, gaps)
+    filled = ts.fill_days(prices, "ticker", "date", "close").select("ticker", "date", "close")
+    want = sorted(map(tuple, pn.monthly_panel(filled, *rest).collect()))
+    assert len(want) > 100 and {t for _, t, *_ in want} == {f"T{k}" for k in range(5)}
+    assert sorted(map(tuple, pn.monthly_panel(prices, *rest, carried=True).collect())) == want
+
+
+def test_price_windows_stand_at_month_ends_only(spark, monkeypatch):
+    """No window of prices slides over all days; blocks smaller than a company make no difference."""
+    import numpy as np
+
+    prices, *rest = tables(spark, gaps)
+    plan = pn.monthly_panel(prices, *rest)._jdf.queryExecution().executedPlan().toString()
+    assert f"-{pn.YEAR - 1}" not in plan
+    monkeypatch.setattr(pn, "BLOCK", 100)
+    rows = pn.month_ends(prices, False).collect()
+    days = {t: [(r.date, r.close) for r in sorted(prices.where(F.col("ticker") == t).collect(), key=lambda r: r.date)] for t in {r.ticker for r in rows}}
+    assert len(rows) == len({(t, d.year, d.month) for t, x in days.items() for d, _ in x})
+    for r in rows:
+        x = [(d, c) for d, c in days[r.ticker] if (d - dt.date(1970, 1, 1)).days <= r.at]
+        c = np.array([c for _, c in x])
+        back = np.diff(c) / c[:-1]
+        near = lambda v: v if v is None else pytest.approx(v)
+        assert r.close == c[-1] and r.momentum == near(c[-22] / c[-253] - 1 if len(c) > 252 else None) and r.month_return == near(c[-1] / c[-22] - 1 if len(c) > 21 else None)
+        assert r.near_high == near(c[-1] / c[-252:].max() if len(c) >= 200 else None) and r.volatility == near(back[-252:].std(ddof=1) * 252**0.5 if len(back) >= 200 else None)
+        assert r.above_average == (float(c[-50:].mean() > c[-200:].mean()) if len(c) >= 200 else None) or c[-200:].std() == 0
